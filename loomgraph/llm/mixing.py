@@ -6,8 +6,9 @@ is taken for certain, the fraction is rounded by the pivotal method. Two rows wi
 meet, and mass (words times probability) moves from one to the other until one of the two is 0 or 1; chance
 decides the direction so that each row's expectation stays. The fold over a bounded bucket of rows leaves one
 fractional row; the residuals of all buckets are folded again, level by level: a reduction tree whose fan-in
-is `fan_in`, so no task sees more than a bucket. The words that a source takes miss its target by less than
-its longest row.
+is `fan_in`, so no task sees more than a bucket. Within a bucket the longest rows meet first, so that the
+many short ones can settle them. The one row of a source that is fractional at the root goes to the nearer
+whole number: the words that a source takes miss its target by at most half of its longest row.
 
 Chance comes from hashes of the seed, the level and the row, so reruns agree.
 
@@ -80,12 +81,12 @@ def pivotal(rows: DataFrame, most_rows: int, seed: int = 0, fan_in: int = 64) ->
         buckets = max(1, -(-most_rows // fan_in))
         x = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k"), F.lit(buckets)))
         x = x.withColumn("u", _uniform(F.lit(seed + 1), F.lit(level), F.col("k"), F.col("s")))
-        x = x.groupBy("src", "b").agg(F.array_sort(F.collect_list(F.struct("u", "k", "s", "p"))).alias("items"))
+        x = x.groupBy("src", "b").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "u", "k", "s", "p"))).alias("items"))
         x = scratch(x.select("src", F.expr(_FOLD).alias("f")).select("src", "f.*"), f"pivotal{level}")
         done.append(x.select("src", F.explode("done").alias("d")).select("src", "d.k", "d.s", "d.x"))
         rows, level = x.select("src", "k", "s", "p"), level + 1
         if buckets == 1:
-            last = rows.select("src", "k", "s", F.when(_uniform(F.lit(seed + 2), F.col("k")) < F.col("p"), 1).otherwise(0).cast("long").alias("x"))
+            last = rows.select("src", "k", "s", F.when(F.col("p") >= 0.5, 1).otherwise(0).cast("long").alias("x"))
             break
         most_rows = buckets
     out = whole.unionByName(last)
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     most = targets.agg(F.max("n")).first()[0] or 0
     # a row for each source; the optimizer broadcasts it only below its own limit
     same = F.col("a.src").eqNullSafe(F.col("t.src"))
-    q = F.col("target") / F.col("source_size")
+    q = F.try_divide(F.col("target"), F.col("source_size"))
     x = sizes.where("size > 0").alias("a").join(targets.alias("t"), same).select("k", "a.src", F.col("size").alias("s"), "source_size", "target", F.floor(q).alias("whole"), (q - F.floor(q)).alias("p"))
     rounded = pivotal(x.select("src", "k", "s", "p"), most, seed, fan_in)
     taken = rounded.alias("a").join(targets.alias("t"), same).select("k", "a.src", F.col("s").alias("size"), "source_size", "target", (F.floor(q) + F.col("x")).alias("copies"))
