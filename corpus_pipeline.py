@@ -1,8 +1,47 @@
-"""The corpus pipeline: STAGES over documents."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, source mix, packing."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import mixing, packing, quality_rules, simhash, substring_dedup
+from loomgraph.llm.common import scratch, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the strict policy rejects go."""
+    return quality_rules.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return simhash.keep_one(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that have occurred before are cut out."""
+    return substring_dedup.dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: its bin, the bin's capacity and the piece's offset in it."""
+    return packing.best_fit(docs).withColumnRenamed("key", "doc_id")
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("substring_dedup", substrings), ("source_mix", mix), ("best_fit_packing", pack)]
+
+#: Fingerprints by XXH64 and hash-driven rounding have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing, quality_rules
+from loomgraph.llm import mixing, packing, quality_rules, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": packing.op1,
+        "op5_substring_dedup": substring_dedup.op5,
         "op7_quality_rules": quality_rules.op7,
+        "op9_simhash": simhash.op9,
         "op10_mixing": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.OP7_SQL}
+    return {"op5_substring_dedup": substring_dedup.OP5_SQL, "op7_quality_rules": quality_rules.OP7_SQL}
