@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing, packing, quality_rules, simhash, substring_dedup
+from loomgraph.llm import html_extract, language_id, lm_scoring, media_columns, mixing, packing, quality_rules, simhash, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1,
+        "op2_lm_scoring": lm_scoring.op2,
+        "op3_media_columns": media_columns.op3,
+        "op4_language_id": language_id.op4,
         "op5_substring_dedup": substring_dedup.op5,
+        "op6_warc": warc.op6,
         "op7_quality_rules": quality_rules.op7,
+        "op8_html_extraction": html_extract.op8,
         "op9_simhash": simhash.op9,
         "op10_mixing": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring_dedup.OP5_SQL, "op7_quality_rules": quality_rules.OP7_SQL}
+    """Only where SQL can express the method."""
+    return {"op5_substring_dedup": substring_dedup.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL}
