@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,12 @@ def scratch(df: DataFrame, name: str, sort: list[str] | None = None, codec: str
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are gone: it learns of them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle by key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

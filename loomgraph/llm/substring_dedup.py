@@ -8,12 +8,13 @@ automaton is built in the task that gets the text which may match it.
 
 1. Every window names an anchor: the least hash among its runs of `gram` words. Equal windows have equal
    anchors at equal offsets. Consecutive windows with the same anchor form a unit (at most
-   window - gram + 1 of them).
-2. Units whose anchor occurs once can match nothing. The others' texts are read, and equal units are brought
-   down to one with the place of its first occurrence; later copies of a unit go whole.
-3. Distinct units are sharded by anchor. In each shard they are streamed in the order of their first
-   occurrence: matching statistics against the suffix automaton of the units before give the windows that
-   have occurred; then the unit joins the automaton.
+   window - gram + 1 of them), named by its anchor and a hash of its words. Each task brings equal units of
+   its own rows down to the first; the others are repeats already.
+2. Units meet by anchor, each as anchor, hash and place only. Later copies of a unit are repeats whole. The
+   first copy is settled too unless its anchor has other units, whose windows it may share in part.
+3. The texts of those first copies are sharded by anchor. In each shard they are streamed in the order of
+   document and place: matching statistics against the suffix automaton of the units before give the windows
+   that have occurred; then the unit joins the automaton.
 4. Each document's removed windows are merged into maximal spans and cut out.
 
 Defined results: a null text has no words. Rows that share key and text are one document (each gets its
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh, scratch, slices, table
+from loomgraph.llm.common import fresh, release, scratch, slices, table
 
 WINDOW = 20
 GRAM = 8
@@ -116,75 +117,135 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: int = GRAM, shard_words: int = 100_000) -> DataFrame:
-    """docs has _h (hash of the text). Returns key, h, spans: an array of (start, bits) whose bits are removed windows."""
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.col(f"`{text}`").alias("text"))
+def _first(key: np.ndarray, h: np.ndarray, s: np.ndarray, a: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in the order a, u, key, h, s: the first row of each unit, and those that repeat that very row."""
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (u[1:] != u[:-1])])
+    at = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    return new, ~new & (key == key[at]) & (h == h[at]) & (s == s[at])
+
+
+UNITS = "a long, u long, key long, h int, s int, n int"
+
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unit_rows(own: DataFrame, window: int, gram: int, most_rows: int = 2_000_000) -> DataFrame:
+    """own: key, h, text. Returns UNITS: of equal units in a task's rows the first goes on; the others are known to be
+    repeats, have n below 0 and in place of the anchor a number that spreads them."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(parts: list) -> pa.RecordBatch:
+            key, h, s, n, a, u = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((s, h, key, u, a))
+            key, h, s, n, a, u = (x[order] for x in (key, h, s, n, a, u))
+            first, same = _first(key, h, s, a, u)
+            a = np.where(first, a, (key * 1_000_003 + s) * -0x61C8864680B583EB)
+            n = np.where(first, n, -n)
+            cols = (a, u, key, h.astype(np.int32), s.astype(np.int32), n.astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(x[~same]) for x in cols], ["a", "u", "key", "h", "s", "n"])
+
+        held, rows = [], 0
         for b in slices(batches):
-            got = [units(split(t.as_py()), window, gram) for t in b.column(2)]
-            n = [len(x[0]) for x in got]
-            cols = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in (0, 1)]
-            cols += [pa.array(np.concatenate([x[k] for x in got]).astype(kind)) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "h", "a", "s", "n"])
+            for k, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                w = split(t.as_py())
+                if len(w) < window:
+                    continue
+                a, s, n = units(w, window, gram)
+                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+                flat, starts = b" ".join(w), ends[s] - 1 - np.fromiter((len(w[i]) for i in s), np.int64, len(s))
+                u = np.fromiter((xxh64_intdigest(flat[i:j]) for i, j in zip(starts.tolist(), (ends[s + n + window - 2] - 1).tolist(), strict=True)), np.uint64, len(s))
+                held.append((np.full(len(s), k, np.int64), np.full(len(s), h, np.int64), s.astype(np.int64), n.astype(np.int64), a, u.view(np.int64)))
+                rows += len(s)
+            if rows > most_rows:
+                yield close(held)
+                held, rows = [], 0
+        if held:
+            yield close(held)
 
-    a = scratch(own.where("key is not null and text is not null").mapInArrow(anchors, "key long, h long, a long, s int, n int"), "anchors", codec="lz4")
-    again = a.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    places = a.join(again, "a").groupBy("key", "h").agg(F.collect_list(F.struct("s", "n", "a")).alias("at"))
+    return own.mapInArrow(run, UNITS)
+
+
+def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: int = GRAM, shard_words: int = 100_000) -> DataFrame:
+    """Returns key, h, spans: an array of (s, bits), removed windows as bits from window s on."""
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.col(f"`{text}`").alias("text")).where("key is not null and text is not null")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "h", "s", "n", "a", "u", "open"]
+
+        def close(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, u, key, h, s, n = rows
+            local = n < 0
+            out = [x[local] for x in (key, h, s, -n)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), *[pa.array(np.zeros(len(out[0]), np.int64))] * 2, pa.array(np.zeros(len(out[0]), bool))], names)
+            a, u, key, h, s, n = (x[~local] for x in rows)
+            if not len(a):
+                return
+            first, same = _first(key, h, s, a, u)
+            start = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+            several = np.repeat(np.add.reduceat(first, start) > 1, np.diff(np.concatenate([start, [len(a)]])))
+            keep = ~first & ~same | first & several
+            z = np.where(first, a, 0), np.where(first, u, 0), first
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, h, s, n, *z)], names)
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            # the last anchor may go on in the next batch
+            cut_ = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            if cut_:
+                yield from close([x[:cut_] for x in rows])
+            held = [x[cut_:] for x in rows]
+        if held is not None:
+            yield from close(held)
+
+    rows = unit_rows(own, window, gram).repartition("a").sortWithinPartitions("a", "u", "key", "h", "s")
+    met = scratch(rows.mapInArrow(meet, "key long, h int, s int, n int, a long, u long, open boolean"), "met")
+    release(docs.sparkSession)
+    places = met.where("open").groupBy("key", "h").agg(F.collect_list(F.struct("s", "n", "a")).alias("at"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4 << 20):
-            rows = []
+            rows = {}
             for k, h, t, at in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 w = split(t)
-                rows += [(k, h, x["a"], x["s"], x["n"], b" ".join(w[x["s"] : x["s"] + x["n"] + window - 1])) for x in {(x["s"]): x for x in at}.values()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["key", "h", "a", "s", "n", "t"])
-
-    found = own.join(places, ["key", "h"]).select("key", "h", "text", "at").mapInArrow(texts, "key long, h long, a long, s int, n int, t binary")
-    found = scratch(found.withColumn("u", F.xxhash64("t")), "units")
-    distinct = found.groupBy("a", "u", "t").agg(F.min(F.struct("key", "h", "s")).alias("first"))
+                rows |= {(k, h, x["s"]): (x["a"], b" ".join(w[x["s"] : x["s"] + x["n"] + window - 1])) for x in at}
+            cols = [[r[0] for r in rows.values()], [r[1] for r in rows.values()], *([k[i] for k in rows] for i in range(3))]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["a", "t", "key", "h", "s"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(shard: list) -> pa.RecordBatch:
-            out, auto, ids = [], Automaton(), {}
-            for first, anchor, u, t in sorted(shard, key=lambda r: r[0]):
+            out, auto, ids, before = [], Automaton(), {}, None
+            for place, t in sorted(shard):
+                if place == before:  # a repeated row
+                    continue
+                before = place
                 tokens = [ids.setdefault(w, len(ids)) for w in t.split(b" ")]
                 hit = auto.longest(tokens)[window - 1 :]
-                out.append((anchor, u, *first, sum(1 << i for i, m in enumerate(hit) if m >= window)))
+                if bits := sum(1 << i for i, m in enumerate(hit) if m >= window):
+                    out.append((*place, bits))
                 auto.add(tokens)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["a", "u", "key", "h", "s", "bits"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["key", "h", "s", "bits"])
 
-        shard, group, at, size = [], [], None, 0
-        single = []
+        shard, at, size = [], None, 0
         for b in batches:
-            for anchor, u, t, first in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if anchor != at:
-                    # an anchor with one unit has nothing that its windows could match
-                    (shard if len(group) > 1 else single).extend(group)
-                    size += len(group) * (window + 5) if len(group) > 1 else 0
-                    group, at = [], anchor
-                    if size > shard_words:
-                        yield close(shard)
-                        shard, size = [], 0
-                    if len(single) > 10_000:
-                        yield alone(single)
-                        single = []
-                group.append(((first["key"], first["h"], first["s"]), anchor, u, t))
-        (shard if len(group) > 1 else single).extend(group)
+            for anchor, t, k, h, s in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if anchor != at and size > shard_words:
+                    yield close(shard)
+                    shard, size = [], 0
+                at = anchor
+                shard.append(((k, h, s), t))
+                size += window + 6
         yield close(shard)
-        yield alone(single)
-
-    def alone(single: list) -> pa.RecordBatch:
-        cols = [[r[1] for r in single], [r[2] for r in single], *([r[0][i] for r in single] for i in range(3)), [0] * len(single)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "u", "key", "h", "s", "bits"])
 
-    decided = distinct.select("a", "u", "t", "first").repartition("a").sortWithinPartitions("a").mapInArrow(decide, "a long, u long, key long, h long, s int, bits long")
-    decided = decided.select("a", "u", F.struct("key", "h", "s").alias("first"), "bits")
-    bits = F.when(F.struct("key", "h", "s") == F.col("first"), F.col("bits")).otherwise(F.expr("shiftleft(1L, n) - 1"))
-    hits = found.drop("t").join(decided, ["a", "u"]).select("key", "h", "s", bits.alias("bits")).where("bits <> 0")
+    opened = own.join(places, ["key", "h"]).select("key", "h", "text", "at").mapInArrow(texts, "a long, t binary, key long, h int, s int")
+    decided = scratch(opened.repartition("a").sortWithinPartitions("a").mapInArrow(decide, "key long, h int, s int, bits long"), "decided")
+    release(docs.sparkSession)
+    hits = met.where("not open").select("key", "h", "s", F.expr("shiftleft(1L, n) - 1").alias("bits")).unionByName(decided)
     return hits.groupBy("key", "h").agg(F.collect_list(F.struct("s", "bits")).alias("spans"))
 
 
@@ -208,7 +269,7 @@ def with_spans(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> tu
     """docs and, for each row, its removed windows (null: none)."""
     k, h, spans = fresh(docs, "_key", "_hash", "_spans")
     r = repeats(docs, key, text, window).select(F.col("key").alias(k), F.col("h").alias(h), F.col("spans").alias(spans))
-    x = docs.withColumns({k: F.col(f"`{key}`").cast("long"), h: F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    x = docs.withColumns({k: F.col(f"`{key}`").cast("long"), h: F.hash(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
     return x.join(r, [k, h], "left").drop(k, h), spans
 
 
