@@ -55,6 +55,38 @@ def test_lm_base_and_edges(spark, head):
     assert lm_scoring.score(docs.limit(0), "train").count() == 0
 
 
+def test_lm_groups_marginalise(spark):
+    """Two groups against sums by hand; a text's own group has no say in its score."""
+    rows = [(0, "a b a c", True, "x"), (1, "a a b", True, "x"), (2, "d e d", True, "y"), (3, "a f", True, None), (4, "a d", False, "x"), (5, "a d", False, "y"), (6, "unseen", False, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean, lang string")
+    got = {r.key: r.score for r in lm_scoring.score(docs, "train", group="lang").collect()}
+    c = {g: Counter(w for _, t, train, k in rows if train and k == g for w in t.split()) for g in ("x", "y", None)}
+    every, ends = sum(c.values(), Counter()), 4
+    own = lm_scoring.word_counts(docs.selectExpr("text", "cast(case when not train then -1 when lang = 'x' then 0 when lang = 'y' then 1 else 2 end as int) as g"), 3)
+    lat = [lm_scoring.Lattice(w) for w in lm_scoring.fit(own, lm_scoring.arcs(), 3)]
+    end = (ends + 0.5) / (every.total() + ends + 1)
+
+    def by_hand(text):
+        p = 0.0
+        for k, g in enumerate(("x", "y", None)):
+            spare = (sum(v == 1 for v in c[g].values()) + 1) / (c[g].total() + 2)
+            o = (sum(v == 1 and every[w] > 1 for w, v in c[g].items()) + 1) / (sum(v == 1 for v in c[g].values()) + 2)
+            q = (sum(t and j == g for *_, t, j in rows) + 0.5) / (ends + 1.5)
+            for w in text.split():
+                low = o * (0.1 * math.exp(lat[3].forward(w.encode())) + 0.9 * every[w] / every.total()) if every[w] else (1 - o) * math.exp(lat[k].forward(w.encode()))
+                q *= (1 - end) * ((1 - spare) * c[g][w] / c[g].total() + spare * low)
+            p += q * end
+        return math.log10(p)
+
+    assert got[4] == got[5]
+    assert all(abs(got[i] - by_hand(t)) < 1e-9 for i, t, *_ in rows)
+
+
+def test_lm_held_out_beats_the_base(spark):
+    held = [r for r in lm_scoring.op2(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_language_id_held_out_accuracy(spark):
     out = language_id.op4(spark, SF).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
