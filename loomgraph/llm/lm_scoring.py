@@ -236,7 +236,14 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1 + groups), b.column(2 + groups), *out], ["w", "c", "n", *lps])
 
     scored = scratch(words.select("w", *cs, "c", "n").mapInArrow(marginals, ", ".join(["w binary", "c long", "n long", *(f"{x} double" for x in lps)])), "scored")
-    top = scored.orderBy(F.desc("n"), "w").limit(head_words).select("w", "c", *lps).toPandas()
+    # words by the size of their count, in sixteenths of a power of two (1,024 sizes at most): whole sizes from the top, as far as they fit
+    step, left, least = F.floor(F.log2("n") * 16), head_words, 1 << 20
+    for r in sorted(scored.groupBy(step.alias("b")).agg(F.count("*").alias("m")).collect(), reverse=True):
+        left -= r.m
+        if left < 0:
+            break
+        least = r.b
+    top = scored.where(step >= least).select("w", "c", *lps).toPandas()  # head_words rows at most
     head = spark.sparkContext.broadcast((list(top["w"].map(bytes)), top["c"].to_numpy(np.int64), top[lps].to_numpy(float)))
     log_end, log_no_end = math.log10(p_end), math.log10(1 - p_end)
     base_end = math.log10(ends + 0.1) - scale
