@@ -61,14 +61,14 @@ def arcs(path: str = VOCABULARY) -> dict[str, float]:
 
 
 def trie(weights: dict[str, float]) -> dict:
-    """Nested dicts by character; the value under None is (piece, weight)."""
+    """Nested dicts by character; the value under None is (piece, weight, its exponential)."""
     root: dict = {}
     for piece, w in weights.items():
         if not (piece.startswith("<0x") or piece == "</s>"):
             node = root
             for c in piece:
                 node = node.setdefault(c, {})
-            node[None] = (piece, w)
+            node[None] = (piece, w, math.exp(w))
     return root
 
 
@@ -79,6 +79,15 @@ def plus(a: float, b: float) -> float:
 class Lattice:
     def __init__(self, weights: dict[str, float]):
         self.root, self.byte = trie(weights), [weights[f"<0x{b:02X}>"] for b in range(256)]
+        self.chars: dict[str, tuple] = {}
+
+    def char(self, c: str) -> tuple[tuple[str, ...], float, float]:
+        """A character's bytes as pieces, their weight and its exponential."""
+        if (got := self.chars.get(c)) is None:
+            raw = c.encode("utf-8", "surrogateescape")
+            w = sum(self.byte[b] for b in raw)
+            got = self.chars[c] = tuple(f"<0x{b:02X}>" for b in raw), w, math.exp(w)
+        return got
 
     def forward(self, word: bytes, keep: bool = False):
         """log of the sum over all segmentations; with keep also the table and the arcs (start, end, piece, weight)."""
@@ -90,8 +99,7 @@ class Lattice:
             a = alpha[i]
             node = self.root.get(c)
             # any character can be spelled by its bytes
-            raw = c.encode("utf-8", "surrogateescape")
-            w = sum(self.byte[b] for b in raw)
+            raw, w, _ = self.char(c)
             x = a + w
             alpha[i + 1] = x if alpha[i + 1] == none else plus(alpha[i + 1], x)
             if keep:
@@ -110,22 +118,55 @@ class Lattice:
                 node = node.get(text[j])
         return (alpha, used) if keep else alpha[n]
 
-    def expect(self, word: bytes, counts: Counter, weight: float = 1.0) -> None:
-        """Adds the expected uses of each piece over all segmentations of the word."""
+    def expect(self, word: bytes, *counts: Counter) -> None:
+        """Adds the expected uses of each piece over all segmentations of the word.
+
+        Words of up to 32 characters are far from where products of weights underflow and are summed
+        directly, longer ones in log space.
+        """
+        n = len(START) + len(word.decode("utf-8", "surrogateescape"))
+        for piece, p in self.uses(word) if n <= 32 else self.uses_log(word):
+            for c in counts:
+                if isinstance(piece, tuple):
+                    for b in piece:
+                        c[b] = c.get(b, 0.0) + p
+                else:
+                    c[piece] = c.get(piece, 0.0) + p
+
+    def uses(self, word: bytes) -> Iterator[tuple]:
+        text = START + word.decode("utf-8", "surrogateescape")
+        n, used = len(text), []
+        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+        alpha[0] = beta[n] = 1.0
+        for i, c in enumerate(text):
+            a = alpha[i]
+            raw, _, w = self.char(c)
+            alpha[i + 1] += a * w
+            used.append((i, i + 1, raw, w))
+            node, j = self.root.get(c), i
+            while node is not None:
+                j += 1
+                if (hit := node.get(None)) is not None:
+                    alpha[j] += a * hit[2]
+                    used.append((i, j, hit[0], hit[2]))
+                if j == n:
+                    break
+                node = node.get(text[j])
+        total = alpha[n]
+        for i, j, piece, w in reversed(used):
+            x = w * beta[j]
+            beta[i] += x
+            yield piece, alpha[i] * x / total
+
+    def uses_log(self, word: bytes) -> Iterator[tuple]:
         alpha, used = self.forward(word, True)
         n, none = len(alpha) - 1, -math.inf
         beta = [none] * (n + 1)
         beta[n] = 0.0
-        for i, j, _, w in reversed(used):
+        for i, j, piece, w in reversed(used):
             x = w + beta[j]
             beta[i] = x if beta[i] == none else plus(beta[i], x)
-        for i, j, piece, w in used:
-            p = weight * math.exp(alpha[i] + w + beta[j] - alpha[n])
-            if isinstance(piece, bytes):
-                for b in piece:
-                    counts[f"<0x{b:02X}>"] += p
-            else:
-                counts[piece] += p
+            yield piece, math.exp(alpha[i] + x - alpha[n])
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -168,12 +209,7 @@ def fit(words: DataFrame, first: dict[str, float], groups: int = 1) -> list[dict
         for b in batches:
             has = np.array([b.column(1 + k).to_numpy() > 0 for k in range(groups)]).T
             for w, of in zip(b.column(0).to_pylist(), has, strict=True):
-                own: Counter = Counter()
-                lattice.expect(w, own)
-                for k in np.flatnonzero(of):
-                    c = counts[k]
-                    for piece, x in own.items():
-                        c[piece] += x
+                lattice.expect(w, *[counts[k] for k in np.flatnonzero(of)])
         for k, c in enumerate(counts):
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.int32()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.float64())], ["g", "piece", "x"])
 

@@ -32,6 +32,12 @@ def test_lattice_sums_all_segmentations():
         long = sum(x * (1 if p.startswith("<0x") else len(p.encode())) for p, x in counts.items())
         assert abs(long - len((lm_scoring.START + word).encode())) < 1e-9
     assert math.isfinite(lat.forward(b"x" * 5000))
+    for word in (b"another", "é\udc80".encode("utf-8", "surrogatepass"), b"ab" * 15):
+        direct, logs = Counter(), Counter()
+        for got, uses in ((direct, lat.uses), (logs, lat.uses_log)):
+            for piece, p in uses(word):
+                got[piece] += p
+        assert direct.keys() == logs.keys() and all(abs(direct[k] - logs[k]) < 1e-9 for k in logs)
 
 
 @pytest.mark.parametrize("head", [3, 100_000])
