@@ -127,3 +127,46 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Null where a vector is all zero."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+#: Texts that consumers of these columns look for.
+UNCLASSIFIED = "Not explicitly classified by judge"
+NO_LINKS = "No linked entities in this chunk."
+LINKS_HEAD = "Linked entities (use these Wikipedia URLs as entity URIs):"
+
+
+def classifications(raw: Column, statements: Column) -> Column:
+    """A judge's lines ("0: GOOD - reason") as an array of (index, statement, classification, reason), by index.
+
+    Other lines are passed over. Statements without a line are BAD; an index beyond the statements keeps an
+    empty statement, and one beyond a long is passed over. Null texts have no lines, null arrays no statements.
+    """
+    given = F.coalesce(statements, F.array().cast("array<string>"))
+    pattern = r"(?i)^(\d+):\s*(GOOD|BAD)\s*[-–:]\s*(.+)"
+    lines = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), strip), lambda x: x.rlike(pattern) & F.regexp_extract(x, pattern, 1).try_cast("long").isNotNull())
+    said = F.transform(
+        lines,
+        lambda x: F.struct(
+            F.regexp_extract(x, pattern, 1).cast("long").alias("index"), F.upper(F.regexp_extract(x, pattern, 2)).alias("classification"), strip(F.regexp_extract(x, pattern, 3)).alias("reason")
+        ),
+    )
+    text = lambda i: F.coalesce(F.get(given, F.least(i, F.size(given)).cast("int")), F.lit(""))
+    full = F.transform(said, lambda r: F.struct(r["index"].alias("index"), text(r["index"]).alias("statement"), r["classification"].alias("classification"), r["reason"].alias("reason")))
+    every = F.transform(given, lambda s, i: F.struct(i.cast("long").alias("index"), s.alias("statement"), F.lit("BAD").alias("classification"), F.lit(UNCLASSIFIED).alias("reason")))
+    known = F.transform(said, lambda r: r["index"])
+    rest = F.filter(every, lambda r: ~F.array_contains(known, r["index"]))
+    # lines of equal index stay in their order
+    return F.array_sort(F.concat(full, rest), lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0))
+
+
+def good_share(found: Column, statements: Column) -> Column:
+    """GOOD classifications for each statement; 0 where there is no statement."""
+    return F.coalesce(F.try_divide(F.size(F.filter(found, lambda r: r["classification"] == "GOOD")), F.greatest(F.size(statements), F.lit(0))), F.lit(0.0))
+
+
+def entity_context(links: Column) -> Column:
+    """links: array of (label, href). A line for each label, the first link of a label wins."""
+    labels = F.transform(links, lambda x: x["label"])
+    first = F.filter(links, lambda x, i: F.array_position(labels, x["label"]) == i + 1)
+    lines = F.transform(first, lambda x: F.concat(F.lit("  - ["), x["label"], F.lit("]("), x["href"], F.lit(")")))
+    return F.when(F.size(links) > 0, F.concat_ws("\n", F.lit(LINKS_HEAD), F.array_join(lines, "\n"))).otherwise(F.lit(NO_LINKS))

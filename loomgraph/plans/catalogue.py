@@ -431,6 +431,25 @@ def render_statements(spark, sf_dir):
     return c.select("conv_id", F.concat(F.lit("**Statements:** "), F.size("t"), F.lit("\n\n"), F.array_join(lines, "\n")).alias("cell"))
 
 
+@query("""WITH s AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents), u AS (SELECT doc_id, l, len(l) AS n, unnest(range(0, len(l) + 1)) AS i FROM s)
+SELECT doc_id, i AS index, CASE WHEN i = n THEN '' ELSE l[i + 1] END AS statement, CASE WHEN i = n OR i % 3 = 0 THEN 'GOOD' ELSE 'BAD' END AS classification,
+CASE WHEN i = n THEN 'extra' WHEN i % 3 = 0 THEN 'fine' WHEN i % 3 = 1 THEN 'no' ELSE 'Not explicitly classified by judge' END AS reason, CASE WHEN n = 0 THEN CAST(0 AS DOUBLE) ELSE CAST((n + 2) // 3 + 1 AS DOUBLE) / n END AS score FROM u""")
+def judge_completion(spark, sf_dir):
+    """Lines of documents as statements; a stand-in judge speaks of two in three and of one that isn't there."""
+    lines = F.filter(F.split(body(), "\n"), lambda x: F.trim(x) != "")
+    x = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
+    said = F.transform("l", lambda x, i: F.concat(i.cast("string"), F.when(i % 3 == 0, ": good - fine").when(i % 3 == 1, ":BAD: no ").otherwise(" nothing")))
+    x = x.withColumn("c", T.classifications(F.concat_ws("\n", F.concat(F.size("l"), F.lit(": GOOD – extra")), F.array_join(said, "\n")), F.col("l")))
+    return x.select("doc_id", T.good_share(F.col("c"), F.col("l")).alias("score"), F.inline("c"))
+
+
+@query(f"""WITH {ANCHORS_SQL}, f AS (SELECT page_id, label, arg_min(href, pos) AS href, min(pos) AS pos FROM a GROUP BY 1, 2)
+SELECT p.page_id, coalesce('Linked entities (use these Wikipedia URLs as entity URIs):' || chr(10) || string_agg('  - [' || label || '](' || href || ')', chr(10) ORDER BY pos), 'No linked entities in this chunk.') AS context
+FROM pages p LEFT JOIN f ON p.page_id = f.page_id GROUP BY p.page_id""")
+def entity_context(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.entity_context(T.anchors(F.coalesce("html", F.lit("")))).alias("context"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -50,6 +50,22 @@ def test_links_and_keys(spark):
     assert one(spark, ["A/b c~d*é"], lambda c: T.wiki_url(c, "")) == ["A/b_c~d%2A%C3%A9"]
 
 
+def test_classifications(spark):
+    raw = "1: bad – too vague\n\n 0 : GOOD - x\n0: Good: yes: it is \n7: GOOD - beyond\nprose 2: GOOD - x\n99999999999999999999: BAD - x\n1: GOOD - again"
+    df = spark.createDataFrame([(raw, ["a", "b", "c"]), (None, ["d"]), ("", []), (None, None)], "raw string, s array<string>")
+    c = T.classifications(F.col("raw"), F.col("s"))
+    got = df.select(c.alias("c"), T.good_share(c, F.col("s")).alias("v")).collect()
+    assert [tuple(r) for r in got[0].c] == [(0, "a", "GOOD", "yes: it is"), (1, "b", "BAD", "too vague"), (1, "b", "GOOD", "again"), (2, "c", "BAD", T.UNCLASSIFIED), (7, "", "GOOD", "beyond")]
+    assert got[0].v == 1.0
+    assert [tuple(r) for r in got[1].c] == [(0, "d", "BAD", T.UNCLASSIFIED)] and got[1].v == 0.0
+    assert [(r.c, r.v) for r in got[2:]] == [([], 0.0), ([], 0.0)]
+
+
+def test_entity_context(spark):
+    got = one(spark, ["[A](/wiki/A) [B](/wiki/B) [A](/wiki/C)", "none"], lambda c: T.entity_context(T.links(c)))
+    assert got == [T.LINKS_HEAD + "\n  - [A](/wiki/A)\n  - [B](/wiki/B)", T.NO_LINKS]
+
+
 def test_sections(spark):
     t = "intro\n== A ==\n=== B ===\nx\n== C ==\n"
     df = spark.createDataFrame([(t, "T")], "text string, title string").withColumn("h", T.sections("text", "title"))
