@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADER = re.compile(r"\n(==+\s+.+?\s+==+)\n")
@@ -95,3 +95,30 @@ def split_recursive(text: str, size: int = 2000, overlap: int = 128, separators:
         held.append(p)
     close()
     return out
+
+
+def recursive_chunks(docs: DataFrame, key: str, text: str, size: int = 2000, overlap: int = 128) -> DataFrame:
+    """key, chunk_num, chunk: each text by split_recursive(); null and empty texts have no chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, i, c) for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, c in enumerate(split_recursive(x or "", size, overlap))]
+            kinds = (pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["key", "chunk_num", "chunk"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "key long, chunk_num int, chunk string")
+
+
+def positions(chunks: Column, text: Column) -> Column:
+    """Where each chunk begins in the text, searched from one past the beginning of the last; that very place if it isn't found.
+
+    Positions count code points from 0. Null where chunks or text are null.
+    """
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(a, c):
+        hit = F.call_function("locate", c, text, a["at"] + 1)
+        found = F.when(hit > 0, hit - 1).otherwise(a["at"])
+        return F.struct((found + 1).alias("at"), F.array_append(a["out"], found).alias("out"))
+
+    return F.when(text.isNotNull(), F.aggregate(chunks, first, step, lambda a: a["out"]))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,3 +83,13 @@ def valid_turtle(text: str | None) -> bool:
             else:
                 return False
     return want == "s" and not stack
+
+
+def is_valid_turtle(text: Column) -> Column:
+    """valid_turtle() over a column, in Arrow batches; null counts as an empty text."""
+
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(valid_turtle).astype(bool)
+
+    return run(text)

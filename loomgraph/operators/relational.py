@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import cosine
+from loomgraph.functions.text import cosine, entity_key, entity_uri
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -46,17 +46,55 @@ def top_k(queries: DataFrame, terms: DataFrame, qid: str, tid: str, k: int = 5,
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def upsert_entities(mentions: DataFrame) -> DataFrame:
-    """mentions: key, ord, label, type, uri, description, chunk, alias. First label, type and uri; distinct descriptions, chunks and aliases, sorted."""
-    some = lambda c: F.array_sort(F.collect_set(F.when(F.col(c).cast("string") != "", F.col(c))))
-    return mentions.groupBy("key").agg(
+WIKI = "https://en.wikipedia.org"
+
+
+def upsert_entities(mentions: DataFrame, source_url: str | None = None) -> DataFrame:
+    """mentions: key, ord, label, type, uri, description, chunk, alias and, where known, wikidata.
+
+    Label and type of the first mention; the first wikidata id; distinct descriptions and chunks in the order
+    they first came in, distinct aliases sorted; empty and null values don't count. A mention's address takes
+    the place of the one before unless that is on the encyclopedia; the first mention's address is made from
+    source_url (null without one) if it has none. Copies of a value are combined before the shuffle, so an
+    entity's group holds its distinct values only.
+    """
+    has = "wikidata" in mentions.columns
+    x = mentions.withColumn("uri", F.nullif("uri", F.lit("")))
+    on_wiki = F.col("uri").startswith(WIKI)
+    one = x.groupBy("key").agg(
         F.min_by("label", "ord").alias("label"),
         F.min_by("type", "ord").alias("type"),
-        F.min_by("uri", "ord").alias("uri"),
-        some("description").alias("descriptions"),
-        some("chunk").alias("source_chunks"),
-        some("alias").alias("aliases"),
+        F.min_by(F.struct("uri"), "ord").alias("_first"),
+        F.min_by("uri", F.when(on_wiki, F.col("ord"))).alias("_wiki"),
+        F.max_by("uri", F.when(F.col("uri").isNotNull(), F.col("ord"))).alias("_last"),
+        *([F.min_by("wikidata", F.when(F.col("wikidata") != "", F.col("ord"))).alias("wikidata")] if has else []),
+    )
+    made = F.coalesce("_first.uri", entity_uri(F.lit(source_url), F.col("type"), F.col("label")))
+    one = one.withColumn("uri", F.when(made.startswith(WIKI), made).otherwise(F.coalesce("_wiki", "_last", made)))
+    named = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in ("description", "chunk", "alias")])
+    values = x.select("key", "ord", F.inline(named)).where("value <> ''").groupBy("key", "name", "value").agg(F.min("ord").alias("ord"))
+    came = lambda c: F.array_sort(F.collect_list(F.when(F.col("name") == c, F.struct("ord", "value"))))
+    lists = values.groupBy("key").agg(
+        F.transform(came("description"), lambda v: v["value"]).alias("descriptions"),
+        F.transform(came("chunk"), lambda v: v["value"].cast(mentions.schema["chunk"].dataType)).alias("source_chunks"),
+        F.array_sort(F.transform(came("alias"), lambda v: v["value"])).alias("aliases"),
     )
+    out = one.join(lists, "key", "left")
+    full = lambda c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)).alias(c)
+    return out.select("key", "label", "type", "uri", *map(full, lists.columns[1:]), *(["wikidata"] if has else []))
+
+
+def alias_targets(mentions: DataFrame) -> DataFrame:
+    """alias_key, key: which entity an alias stands for; the last mention wins."""
+    x = mentions.where("alias <> ''").select(entity_key(F.col("alias")).alias("alias_key"), "key", "ord")
+    return x.groupBy("alias_key").agg(F.max_by("key", "ord").alias("key"))
+
+
+def lookup_entities(labels: DataFrame, label: str, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Each label's entity key as found: the alias's entity if the label is an alias, else the label's own; null if there is none."""
+    x = labels.withColumn("_k", entity_key(F.col(label)))
+    x = x.join(aliases.select(F.col("alias_key").alias("_k"), F.col("key").alias("_a")), "_k", "left").withColumn("_c", F.coalesce("_a", "_k"))
+    return x.join(entities.select(F.col("key").alias("_c"), F.col("key").alias("found")), "_c", "left").select(*labels.columns, "found")
 
 
 def weighted_sample(rows: DataFrame, key: str, weight: Column, k: int, seed: str = "42") -> DataFrame:

@@ -1 +1,5 @@
+"""Registered queries."""
 
+from loomgraph.plans import catalogue, extraction
+
+__all__ = ["catalogue", "extraction"]

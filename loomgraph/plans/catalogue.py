@@ -116,7 +116,7 @@ def wiki_url_encode(spark, sf_dir):
     return x.select("label", T.wiki_url(F.col("label"), "https://en.wikipedia.org/wiki/").alias("url"), T.slug(F.col("label")).alias("slug"))
 
 
-@query(f"""WITH {ANCHORS_SQL} SELECT key, arg_min(label, ord) AS label, arg_min(href, ord) AS uri, count(DISTINCT page_id) AS n_pages,
+@query(f"""WITH {ANCHORS_SQL} SELECT key, arg_min(label, ord) AS label, arg_max(href, ord) AS uri, count(DISTINCT page_id) AS n_pages,
 array_to_string(list_sort(list_distinct(list(label))), '|') AS aliases FROM (SELECT *, page_id * 100000 + pos AS ord, {KEY_SQL.format(x='label')} AS key FROM a) GROUP BY key""")
 def registry_upsert(spark, sf_dir):
     x = anchors(spark, sf_dir).select(T.entity_key(F.col("label")).alias("key"), (F.col("page_id") * 100000 + F.col("pos")).alias("ord"), "label", F.lit("Thing").alias("type"), F.col("href").alias("uri"), F.lit(None).cast("string").alias("description"), F.col("page_id").alias("chunk"), F.col("label").alias("alias"))

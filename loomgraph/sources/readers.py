@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import strip
+
 #: Titles and prefixes that page lists leave out.
 NAMESPACES = ("Special:", "Wikipedia:", "File:", "Template:", "Category:", "Portal:")
 CELL = "array<struct<cell_type:string,source:array<string>>>"
@@ -47,3 +49,41 @@ def vocabulary(documents: DataFrame, prefix: str = "schema:") -> DataFrame:
         first3("schema:rangeIncludes").alias("range"),
         ids(get("rdfs:subClassOf"))[0].alias("parent"),
     ).where("term_type is not null")
+
+
+def signed_cells(cells: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """cells: by, cell_idx, cell_type, source. Markdown cells that a raw cell signs as `kind`: by, cell_idx, source, sig.
+
+    Both layouts of signatures count; a raw cell that isn't JSON signs nothing. The header cell has no signature.
+    """
+    w = Window.partitionBy(*by).orderBy("cell_idx")
+    x = cells.select(*by, "cell_idx", "cell_type", "source", F.lead("cell_type").over(w).alias("next"), F.lead("source").over(w).alias("raw"))
+    x = x.where("cell_type = 'markdown' and next = 'raw' and cell_idx > 0").withColumn("sig", F.try_parse_json("raw"))
+    get = lambda p: F.try_variant_get("sig", p, "string")
+    return x.where(F.coalesce(get("$._type"), get("$.type")) == kind).select(*by, "cell_idx", "source", "sig")
+
+
+def head_value(source: Column, name: str) -> Column:
+    """The text after **name:** at the start of a line; null where there is none."""
+    return F.nullif(F.regexp_extract(source, rf"(?m)^\*\*{name}:\*\*[ \t]*(.*)$", 1), F.lit(""))
+
+
+def cell_body(source: Column) -> Column:
+    """What follows the first line ---, trimmed; empty where there is none."""
+    return strip(F.regexp_extract(source, r"(?s)(?:^|\n)---(?:\n(.*))?$", 1))
+
+
+def chunk_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, chunk_num (from 0), section_context, text, cid of chunk cells."""
+    n = F.regexp_extract(head_value(F.col("source"), "Chunk"), r"^(\d+)", 1).try_cast("int")
+    cid = F.coalesce(F.try_variant_get("sig", '$["dcterms:identifier"]', "string"), F.try_variant_get("sig", "$.cid", "string"), F.lit(""))
+    x = signed_cells(cells, by, "chunk")
+    return x.select(*by, (F.coalesce(n, F.lit(1)) - 1).alias("chunk_num"), F.coalesce(head_value(F.col("source"), "Context"), F.lit("")).alias("section_context"), cell_body(F.col("source")).alias("text"), cid.alias("cid"))
+
+
+def statement_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, chunk_num (from 1), section_context, statements of statement cells; statements are numbered lines."""
+    lines = F.filter(F.transform(F.split(cell_body(F.col("source")), "\n"), strip), lambda x: x.rlike(r"^\d"))
+    n = F.regexp_extract(head_value(F.col("source"), "Chunk"), r"^(\d+)", 1).try_cast("int")
+    x = signed_cells(cells, by, "statements")
+    return x.select(*by, n.alias("chunk_num"), F.coalesce(head_value(F.col("source"), "Context"), F.lit("")).alias("section_context"), F.transform(lines, lambda s: F.regexp_replace(s, r"^\d.*?\. ", "")).alias("statements"))

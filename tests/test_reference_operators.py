@@ -79,7 +79,18 @@ def test_as_of_and_upsert(spark):
     assert sorted((r.pos, r.v) for r in R.as_of(p, m, ["k"], "pos", "start", "v", "Introduction").collect()) == [(0, "Introduction"), (5, "a"), (9, "b")]
     rows = spark.createDataFrame([("k", 1, "L", "T", "u", "d", 1, "x"), ("k", 0, "M", "T", "w", "", 2, "y")], "key string, ord int, label string, type string, uri string, description string, chunk int, alias string")
     r = R.upsert_entities(rows).first()
-    assert (r.label, r.uri, r.descriptions, r.source_chunks, r.aliases) == ("M", "w", ["d"], [1, 2], ["x", "y"])
+    assert (r.label, r.uri, r.descriptions, r.source_chunks, r.aliases) == ("M", "u", ["d"], [2, 1], ["x", "y"])
+    wiki = R.WIKI + "/wiki/A"
+    shape = "key string, ord int, label string, type string, uri string, description string, chunk int, alias string, wikidata string"
+    rows = [("a", 0, "A", "T", None, "z", None, "Al", None), ("a", 1, "A", "T", wiki, "b", 4, "", "Q1"), ("a", 2, "A", "T", "late", "z", 3, "Al", "Q2"), ("b", 3, "B", "T", None, None, None, None, None), ("c", 4, "C", "T", "", "", None, "Al", "")]
+    df = spark.createDataFrame(rows, shape)
+    got = {r.key: r for r in R.upsert_entities(df, "http://x").collect()}
+    assert (got["a"].uri, got["a"].descriptions, got["a"].source_chunks, got["a"].aliases, got["a"].wikidata) == (wiki, ["z", "b"], [4, 3], ["Al"], "Q1")
+    assert (got["b"].uri, got["b"].descriptions, got["b"].wikidata, got["c"].uri) == ("http://x#t_b", [], None, "http://x#t_c")
+    assert R.upsert_entities(df, R.WIKI + "/wiki/P").where("key = 'a'").first().uri == R.WIKI + "/wiki/P#t_a"
+    labels = spark.createDataFrame([("AL ",), ("b",), ("none",)], "label string")
+    found = R.lookup_entities(labels, "label", R.upsert_entities(df), R.alias_targets(df)).collect()
+    assert {r.label: r.found for r in found} == {"AL ": "c", "b": "b", "none": None}
 
 
 def test_turtle_validity():
