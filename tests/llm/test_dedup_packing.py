@@ -23,7 +23,7 @@ def test_fingerprint_bits():
     assert simhash.fingerprint("One two") == xxh64_intdigest(b"one two", 42)
 
 
-def brute_components(fps, most=3):
+def brute_components(fps, most=3, also=lambda a, b: False):
     ids = sorted(fps)
     up = {i: i for i in ids}
 
@@ -34,7 +34,7 @@ def brute_components(fps, most=3):
 
     for i in ids:
         for j in ids:
-            if j < i and (fps[i] ^ fps[j]).bit_count() <= most:
+            if j < i and ((fps[i] ^ fps[j]).bit_count() <= most or also(i, j)):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -77,6 +77,35 @@ def test_near_duplicates_rows(spark):
     assert simhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def shingles(text):
+    w = (text or "").lower().encode().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_texts_are_linked(spark):
+    rnd = random.Random(5)
+    base = [[f"w{rnd.randint(0, 5000)}" for _ in range(300)] for _ in range(12)]
+    texts = []
+    for i, w in enumerate(base):
+        texts.append((i * 10, " ".join(w)))
+        for k in range(1, 4):
+            edited = list(w)
+            for at in rnd.sample(range(300), 3):
+                edited[at] = "new" + str(k)
+            texts.append((i * 10 + k, " ".join(edited)))
+        half = w[:150] + [f"z{rnd.randint(0, 5000)}" for _ in range(150)]
+        texts.append((i * 10 + 5, " ".join(half)))
+    texts += [(200, None), (201, ""), (202, "one"), (203, "one"), (203, "two")]
+    got = {(r.key, r.component_id) for r in simhash.near_duplicates(frame(spark, texts), least=0.8).collect()}
+    by = dict(texts)
+    for a, b in got - {(203, 203), (203, 202)}:
+        assert a == b or not by[a] or len(shingles(by[a]) & shingles(by[b])) > 0.6 * len(shingles(by[a]) | shingles(by[b]))
+    assert {(i * 10 + k, i * 10) for i in range(12) for k in range(4)} <= got
+    assert {(i * 10 + 5, i * 10 + 5) for i in range(12)} <= got
+    assert (201, 200) in got
+    assert simhash.near_duplicates(frame(spark, texts).limit(0), least=0.8).count() == 0
+
+
 def brute_removed(texts, window):
     seen, out = set(), {}
     for i, t in sorted(dict(texts).items()):
@@ -162,7 +191,12 @@ def test_pipeline_stages(spark):
         rows = out.collect()
         if name == "simhash_near_dedup":
             fps = {r.doc_id: simhash.fingerprint(r.text) for r in docs.collect()}
-            assert {r.doc_id for r in rows} == set(brute_components(fps).values())
+            kept, texts = {r.doc_id for r in rows}, {r.doc_id: shingles(r.text) for r in docs.collect()}
+            like = lambda a, b: 10 * len(texts[a] & texts[b]) >= 8 * len(texts[a] | texts[b]) > 0
+            least = set(brute_components(fps, also=like).values())
+            assert least <= kept <= set(brute_components(fps).values())
+            # pairs whose fingerprints are so near that their candidates are as good as certain
+            assert kept <= set(brute_components(fps, also=lambda a, b: like(a, b) and (fps[a] ^ fps[b]).bit_count() <= 6).values())
         if name == "substring_dedup":
             want = brute_removed([(r.doc_id, r.text) for r in docs.collect()], 20)
             assert {r.doc_id: tuple(r.text.encode().split()) for r in rows} == {i: tuple(k.split()) for i, (n, _, k) in want.items() if k or not n}
