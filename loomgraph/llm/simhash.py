@@ -13,7 +13,8 @@ but the largest against all other parts. A cell holds 8 bytes for each distinct
 
 Fingerprints of texts that share 0.8 of their five-word shingles differ in about 3 to 12 bits, too many for the
 grid. near_duplicates(least=0.8), which the pipeline uses, therefore adds candidates that agree in randomly drawn
-bits, holds them against the same two bounds, at 14 bits, and lets their shingle sets decide.
+bits and differ in at most 14, and lets their shingle sets decide. Here the bits don't decide, so a forest would
+hide pairs behind candidates that fail: every pair of a cell is a candidate, unless it is linked already.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other. Repeated rows get
 equal results. Empty tables give empty results.
@@ -199,6 +200,74 @@ def cell_links(points: DataFrame, choose: list[int], most: int, stars: bool) ->
     return grid.mapInArrow(run, "u long, v long")
 
 
+def cell_pairs(points: DataFrame, choose: list[int], part: range, most: int) -> DataFrame:
+    """points: fp, distinct, and root. Returns u, v: every pair within `most` bits and of different roots that agrees
+    under one of the masks of `part` and under none before it in `choose`, once.
+
+    Cells of up to 64 are paired by their members' distance in the sorted rows, a batch at once. In larger ones each
+    root's members but those of the largest meet the others in blocks.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(choose[c]))).alias("cell")) for c in part])
+    grid = points.select("fp", "root", F.explode(cells).alias("x")).select("x.c", "x.cell", "fp", "root")
+    grid = grid.repartition("c", "cell").sortWithinPartitions("c", "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.uint64(m) for m in choose]
+
+        def new(c: np.ndarray, fp: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ok = (root[i] != root[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= most)
+            i, j = i[ok], j[ok]
+            x, of = fp[i] ^ fp[j], c[i]
+            ok = np.ones(len(i), bool)
+            for k in range(int(of.max(initial=0))):
+                ok &= (of <= k) | ((x & bits[k]) != 0)
+            a, b = fp[i[ok]].view(np.int64), fp[j[ok]].view(np.int64)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+        def large(c: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+            _, which, size = np.unique(root, return_inverse=True, return_counts=True)
+            order = np.lexsort((which, size[which]))
+            c, fp, root = c[order], fp[order], root[order]
+            n = len(fp) - size.max()
+            step = max(1, (1 << 21) // len(fp))
+            for k in range(0, n, step):
+                i, j = np.nonzero(np.bitwise_count(fp[k : min(n, k + step), None] ^ fp[None, k:]) <= most)
+                yield from new(c, fp, root, i[i < j] + k, j[i < j] + k)
+
+        def close(c: np.ndarray, cell: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (cell[1:] != cell[:-1])) + 1, [len(c)]])
+            sizes = np.diff(starts)
+            ends = np.repeat(starts[1:], sizes)
+            i = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+            for k in range(1, 64):
+                i = i[i + k < ends[i]]
+                if not len(i):
+                    break
+                yield from new(c, fp, root, i, i + k)
+            for g in np.flatnonzero(sizes > 64):
+                yield from large(*(x[starts[g] : starts[g + 1]] for x in (c, fp, root)))
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [x.to_numpy() for x in b.columns]
+            rows[2] = rows[2].view(np.uint64)
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            # the last cell may go on in the next batch
+            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from close(*(x[:cut] for x in rows))
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield from close(*held)
+
+    return grid.mapInArrow(run, "u long, v long")
+
+
 def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """key, hashes: the distinct XXH64 of each text's shingles (the whole of a shorter text)."""
 
@@ -215,16 +284,24 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, hashes array<long>")
 
 
-def similar(docs: DataFrame, key: str, text: str, nodes: DataFrame, roots: DataFrame, choose: list[int], least: float, words: int) -> DataFrame:
+def similar(docs: DataFrame, key: str, text: str, nodes: DataFrame, roots: DataFrame, choose: list[int], whole: bool, least: float, words: int) -> DataFrame:
     """u, v: links between components (u, root) whose texts are similar: `least` or more of all their shingles are common.
 
-    Candidates are fingerprints that agree under one of the masks and differ in at most WIDE bits; their
-    shingle sets decide. Only documents of candidates from different components are read again.
+    Candidates are fingerprints that agree under one of the masks and differ in at most WIDE bits: each cell's forest
+    or, as a whole, all pairs from different components. Their shingle sets decide. Only documents of candidates from
+    different components are read again.
     """
-    r = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    r = scratch(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     side = lambda c: r.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_key"), F.col("root").alias(f"{c}_root"))
-    found = [scratch(cell_links(nodes.select("fp", F.col("fp").alias("e")), choose[i : i + 32], WIDE, False).distinct(), "candidates") for i in range(0, len(choose), 32)]
-    pairs = reduce(DataFrame.unionByName, found).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    if whole:
+        found = []
+        for i in range(0, len(choose), 32):
+            found.append(scratch(cell_pairs(r.select("fp", "root"), choose, range(i, min(i + 32, len(choose))), WIDE), "candidates"))
+            release(docs.sparkSession)
+        pairs = reduce(DataFrame.unionByName, found)
+    else:
+        found = cell_links(nodes.select("fp", F.col("fp").alias("e")), choose, WIDE, False)
+        pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = scratch(pairs.join(side("u"), "u").join(side("v"), "v").where("u_root <> v_root").select("u", "v", "u_key", "v_key"), "pairs")
     ids = scratch(pairs.select(F.col("u_key").alias("_id")).unionByName(pairs.select(F.col("v_key").alias("_id"))).distinct(), "ids")
     some = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text")).join(ids, F.col("_key") == F.col("_id"), "left_semi")
@@ -239,9 +316,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     """Returns key, fp, component_id (the smallest key that is reachable): a row for each row of docs.
 
     With `least`, texts that share that part of their distinct shingles of `words` words are linked as well:
-    first those that a few masks find, which brings hot groups together, then the others between components.
-    These candidates are found with a probability that falls with the distance of the fingerprints: 0.9999 at
-    6 bits, 0.97 at 8, 0.71 at 10 and 0.35 at 12.
+    first some that a few masks find, which brings hot groups together, then all pairs between components.
+    A pair is a candidate with a probability that falls with the distance of its fingerprints alone, whatever
+    else is in its cells: 0.9999 at 6 bits, 0.97 at 8, 0.71 at 10, 0.35 at 12 and none above 14.
     """
     fps = scratch(fingerprints(docs, key, text, shingle), "fps")
     nodes = fps.groupBy("fp").agg(F.min("key").alias("first"))
@@ -249,8 +326,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     roots = components(edges)
     if least is not None:
         choose = samples()
-        for part in (choose[:FIRST], choose[FIRST:]):
-            more = similar(docs, key, text, nodes, roots, part, least, words)
+        for part, whole in ((choose[:FIRST], False), (choose, True)):
+            more = similar(docs, key, text, nodes, roots, part, whole, least, words)
             roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more))
             release(docs.sparkSession)
     labels = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -106,6 +106,57 @@ def test_similar_texts_are_linked(spark):
     assert simhash.near_duplicates(frame(spark, texts).limit(0), least=0.8).count() == 0
 
 
+def test_similar_texts_of_a_template_family_are_linked(spark):
+    """Most candidates of a cell fail the shingle check here; none may hide one that passes."""
+    rnd = random.Random(8)
+    template, texts, pairs = [f"t{rnd.randint(0, 5000)}" for _ in range(250)], [], []
+    for i in range(600):
+        own = [f"w{rnd.randint(0, 50000)}" for _ in range(50)]
+        texts.append(" ".join(template + own))
+        if i % 10 == 0:
+            for k in rnd.sample(range(50), 3):
+                own[k] = f"y{i}_{k}"
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(" ".join(template + own))
+    got = {r.key: r.component_id for r in simhash.near_duplicates(frame(spark, enumerate(texts)), least=0.8).collect()}
+    found = 0
+    for a, b in pairs:
+        x, s, t = simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b]), shingles(texts[a]), shingles(texts[b])
+        if 10 * len(s & t) >= 8 * len(s | t) and x.bit_count() <= simhash.WIDE and any(not x & m for m in simhash.samples()):
+            assert got[a] == got[b], (a, b)
+            found += 1
+    assert found > 50 and len(set(got.values())) > 500
+
+
+def brute_pairs(fps, roots, choose, part, most):
+    out = Counter()
+    for i, a in enumerate(fps):
+        for j in range(i):
+            x = a ^ fps[j]
+            first = next((c for c, m in enumerate(choose) if not x & m), None)
+            if roots[i] != roots[j] and x.bit_count() <= most and first in part:
+                out[tuple(sorted((simhash.signed(a), simhash.signed(fps[j]))))] += 1
+    return out
+
+
+def test_cell_pairs_are_all_pairs_once(spark):
+    rnd = random.Random(9)
+    hub = rnd.getrandbits(64)
+    fps = [rnd.getrandbits(64) for _ in range(100)]
+    for _ in range(500):
+        g = hub
+        for b in rnd.sample(range(64), rnd.randint(1, 9)):
+            g ^= 1 << b
+        fps.append(g)
+    fps = list(dict.fromkeys(fps))
+    roots = [rnd.choice([0, 0, 0, i]) for i in range(len(fps))]
+    df = spark.createDataFrame([(simhash.signed(f), r) for f, r in zip(fps, roots, strict=True)], "fp long, root long").repartition(4)
+    choose = [0xFF, 0xF, *simhash.samples(4, 12)]
+    for part in (range(0, 2), range(2, 6)):
+        got = Counter((r.u, r.v) for r in simhash.cell_pairs(df, choose, part, 10).collect())
+        assert got == brute_pairs(fps, roots, choose, part, 10) and got
+
+
 def brute_removed(texts, window):
     seen, out = set(), {}
     for i, t in sorted(dict(texts).items()):
