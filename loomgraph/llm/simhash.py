@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import release, scratch, slices, table
+from loomgraph.llm.common import fresh, release, scratch, slices, table
 from loomgraph.llm.components import Forest, components
 
 LOW = 0x5555555555555555
@@ -336,9 +336,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3, least: float | None = 0.8) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest key (of rows that share it, any one)."""
-    kept = near_duplicates(docs, key, text, most, least=least).select("component_id").distinct()
-    return docs.join(kept, F.col(f"`{key}`") == F.col("component_id"), "left_semi").dropDuplicates([key])
+    """One row of each group of near-duplicates: that with the smallest key (null keys come last, rows that share a
+    key are ordered by a hash of key and text).
+
+    Rows are named by that hash; rows that share key and text are one, of which any stays.
+    """
+    (h,) = fresh(docs, "_row")
+    x = docs.withColumn(h, F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    groups = near_duplicates(x, h, text, most, least=least).select("key", "component_id").distinct()
+    ids = x.select(F.col(h).alias("key"), F.col(f"`{key}`").alias("id")).distinct()
+    least_row = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))
+    kept = groups.join(ids, "key").groupBy("component_id").agg(least_row.alias("row")).select(F.col("row.key").alias(h))
+    return x.join(kept, h, "left_semi").dropDuplicates([h]).drop(h)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

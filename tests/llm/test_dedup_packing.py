@@ -77,6 +77,14 @@ def test_near_duplicates_rows(spark):
     assert simhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_text(spark):
+    """A null id and ids that several texts share."""
+    texts = [(None, "alone and without any id at all"), (None, "both have a copy"), (4, "both have a copy"), (6, "first text of six"), (6, "another thing that is also called six"), (None, "copies without id"), (None, "copies without id"), (6, "first text of six")]
+    for least in (None, 0.8):
+        kept = simhash.keep_one(frame(spark, texts), least=least).collect()
+        assert Counter((r.doc_id, r.text) for r in kept) == Counter({texts[0]: 1, texts[2]: 1, texts[3]: 1, texts[4]: 1, texts[5]: 1})
+
+
 def shingles(text):
     w = (text or "").lower().encode().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
