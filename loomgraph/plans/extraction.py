@@ -162,7 +162,11 @@ def baseline_lookup(spark, sf_dir):
 SELECT a.s AS membership, a.o AS member, b.o AS begin, c.o AS organization FROM (SELECT DISTINCT s, 'ex:p' || l_partkey AS o FROM m) a JOIN (SELECT DISTINCT s, strftime(l_shipdate, '%Y-%m-%d') AS o FROM m WHERE l_linenumber > 1) b ON a.s = b.s
 JOIN (SELECT DISTINCT s, 'ex:s' || l_suppkey AS o FROM m WHERE l_suppkey % 3 = 0) c ON a.s = c.s""")
 def bgp_membership(spark, sf_dir):
-    """Memberships with member, organisation and begin: a star of three patterns; some have no begin."""
+    """Memberships with member, organisation and begin: a star of three patterns, which leaves out incomplete ones.
+
+    The tables have no gaps, so two are made: a first line item has no begin, and a supplier whose key isn't a
+    multiple of 3 stands for an organisation that is unknown, so that its memberships have none.
+    """
     li = table(spark, sf_dir, "lineitem")
     s = F.concat(F.lit("ex:m"), "l_orderkey", F.lit("_"), "l_linenumber")
     edge = lambda p, o, where="true": li.where(where).select(s.alias("s"), F.lit(p).alias("p"), o.alias("o")).distinct()
