@@ -18,8 +18,9 @@ automaton is built in the task that gets the text which may match it.
 4. Each document's removed windows are merged into maximal spans and cut out.
 
 Defined results: a null text has no words. Rows that share key and text are one document (each gets its
-result); rows that share a key but not a text are ordered by a hash of the text. Empty tables give empty
-results; extra columns never meet the operator's own.
+result); rows that share a key but not a text are ordered by a hash of the text. A null key has the place of
+2^62 and 62 bits of a hash of the text: after all lesser keys, in the order of that hash; it stays null in the
+results. Empty tables give empty results; extra columns never meet the operator's own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import fresh, release, scratch, slices, table
@@ -113,6 +114,12 @@ def units(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[n
     return g[at[first]].view(np.int64), first, np.diff(np.concatenate([first, [n]]))
 
 
+def place(key: str, text: str) -> Column:
+    """A row's key in the order of documents."""
+    unnamed = F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.coalesce(F.col(f"`{key}`").cast("long"), unnamed)
+
+
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -166,7 +173,7 @@ def unit_rows(own: DataFrame, window: int, gram: int, most_rows: int = 2_000_000
 
 def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: int = GRAM, shard_words: int = 100_000) -> DataFrame:
     """Returns key, h, spans: an array of (s, bits), removed windows as bits from window s on."""
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.col(f"`{text}`").alias("text")).where("key is not null and text is not null")
+    own = docs.where(F.col(f"`{text}`").isNotNull()).select(place(key, text).alias("key"), F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.col(f"`{text}`").alias("text"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "h", "s", "n", "a", "u", "open"]
@@ -269,7 +276,7 @@ def with_spans(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> tu
     """docs and, for each row, its removed windows (null: none)."""
     k, h, spans = fresh(docs, "_key", "_hash", "_spans")
     r = repeats(docs, key, text, window).select(F.col("key").alias(k), F.col("h").alias(h), F.col("spans").alias(spans))
-    x = docs.withColumns({k: F.col(f"`{key}`").cast("long"), h: F.hash(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    x = docs.withColumns({k: place(key, text), h: F.hash(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
     return x.join(r, [k, h], "left").drop(k, h), spans
 
 

@@ -198,6 +198,22 @@ def test_substring_dedup(spark):
     assert substring_dedup.removed(frame(spark, []).limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_without_a_key(spark):
+    rnd = random.Random(6)
+    some = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    with_key, between = some(30), some(25)
+    texts = [(None, f"{with_key} {some(10)}"), (8, f"{some(5)} {with_key}"), (None, f"{some(7)} {between}"), (None, f"{between} {some(9)}"), (None, None)]
+    order = [(r.p, r.text) for r in frame(spark, texts[:-1]).select(substring_dedup.place("doc_id", "text").alias("p"), "text").collect()]
+    assert min(order)[0] == 8 and len(dict(order)) == 4
+    want = brute_removed(order, 20)
+    assert sorted(k for _, k, _ in want.values()) == [0, 0, 25, 30] and want[8][1] == 0
+    got = substring_dedup.removed(frame(spark, texts)).collect()
+    assert Counter((r.n_words, r.n_removed) for r in got) == Counter([*((n, k) for n, k, _ in want.values()), (0, 0)])
+    assert Counter(r.key for r in got) == Counter([None] * 4 + [8])
+    out = substring_dedup.dedup(frame(spark, texts)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(i if i == 8 else None, kept.decode()) for i, (_, _, kept) in want.items()] + [(None, None)])
+
+
 def test_automaton_matching_statistics():
     rnd = random.Random(7)
     a, seen = substring_dedup.Automaton(), []
