@@ -9,7 +9,9 @@ Of records with equal payloads of at least `least` bytes, that with the smallest
 others are revisits of it; shorter payloads are always responses.
 
 Defined results: a null page is an empty payload. Rows with the same key and payload are one resource: each
-is written, and none revisits itself. Empty tables give empty results.
+is written, and none revisits itself. Rows that share a key but not a payload are told apart by their digests. A
+null key has an empty number in its record, which is read as null; such a page is always a response and no other
+revisits it. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS = "key long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, uri string"
 
 
-def record(key: int, uri: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(key: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record as a gzip member."""
     body = HTTP + (payload if refers_to is None else b"")
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{key}>",
+        "WARC-Record-ID": f"<urn:page:{'' if key is None else key}>",
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": "".join((uri or "").split()),
         "Content-Type": "application/http; msgtype=response",
@@ -89,8 +91,8 @@ def with_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", ur
     x = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{uri}`").alias("uri"), text.alias("html"), F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).alias("size"))
     # only digests with several keys are joined: a narrow table
     first = x.where(F.col("size") >= least).select("key", "digest").groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first")
-    again = x.where(F.col("size") >= least).select("key", "digest").join(first, "digest").where("key > first").select("key", F.col("first").alias("refers_to")).distinct()
-    return x.join(again, "key", "left").select("key", "uri", "html", "digest", "refers_to")
+    again = x.where(F.col("size") >= least).select("key", "digest").join(first, "digest").where("key > first").select("key", "digest", F.col("first").alias("refers_to")).distinct()
+    return x.join(again, ["key", "digest"], "left").select("key", "uri", "html", "digest", "refers_to")
 
 
 def write(pages: DataFrame, key: str = "page_id", html: str = "html", uri: str = "url", least: int = LEAST, archive_bytes: int = 8 << 20) -> DataFrame:
@@ -121,7 +123,10 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
-        number = lambda x: int(x.strip("<>").rpartition(":")[2]) if x else None
+        def number(x):
+            digits = x.strip("<>").rpartition(":")[2] if x else ""
+            return int(digits) if digits else None
+
         for b in batches:
             for blob in b.column(0):
                 rows = []
@@ -143,8 +148,9 @@ def op6(spark, sf_dir: str) -> DataFrame:
     archives = scratch(write(table(spark, sf_dir, "pages")), "warc", codec="uncompressed")
     x = scratch(read(archives, payloads=False).drop("payload", "uri"), "records")
     # a revisit has no payload of its own: its length is that of the record it refers to
-    size = x.where("record_type = 'response'").join(x.where("refers_to is not null").select(F.col("refers_to").alias("key")).distinct(), "key").select(F.col("key").alias("refers_to"), F.col("payload_bytes").alias("full")).dropDuplicates(["refers_to"])
-    return x.join(size, "refers_to", "left").select(F.col("key").alias("page_id"), F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    again = x.where("refers_to is not null").select(F.col("refers_to").alias("key"), "payload_digest").distinct()
+    size = x.where("record_type = 'response'").join(again, ["key", "payload_digest"]).select(F.col("key").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("full")).dropDuplicates(["refers_to", "payload_digest"])
+    return x.join(size, ["refers_to", "payload_digest"], "left").select(F.col("key").alias("page_id"), F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """

@@ -159,6 +159,24 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_keys_that_are_shared_or_null(spark, tmp_path):
+    import duckdb
+
+    a, b, c, short = "<p>" + "a" * 120, "<p>" + "b" * 150, "<p>" + "c" * 180, "<p>hi"
+    rows = [(1, "u", a), (2, "u", b), (4, "u", a), (4, "u", b), (4, "u", c), (5, "u", c), (5, "u", short), (None, "u", a), (None, "u", c), (None, "u", short)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read(warc.write(pages.repartition(3))).collect()
+    full = Counter({(1, a): 1, (2, b): 1, (4, c): 1, (5, short): 1, (None, a): 1, (None, c): 1, (None, short): 1})
+    assert Counter((r.key, bytes(r.payload).decode()) for r in got if r.record_type == "response") == full
+    assert sorted((r.key, r.refers_to) for r in got if r.record_type == "revisit") == [(4, 1), (4, 2), (5, 4)]
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({warc.OP6_SQL})").fetchall()
+    assert Counter(map(tuple, warc.op6(spark, str(tmp_path)).select(*columns).collect())) == Counter(want)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><header><h1>Head  line</h1></header><p>First <a href="y">link</a> text &amp; more.<p>Short.<br>Next &lt;b&gt;
 <aside>Side</aside><form>Mail <input></form><div class="ad">Buy</div><p>Last.</p><section id="comments"><p>Nice post!</p></section></article><footer>&copy; x</footer></body></html>"""
