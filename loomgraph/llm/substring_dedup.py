@@ -3,24 +3,33 @@
 A window is `window` consecutive words. A window whose word sequence starts earlier too, in the order of
 document and place, is removed with all its words.
 
-The reference is the corpus itself, which has no size bound, so its shards aren't broadcast: each shard's
-automaton is built in the task that gets the text which may match it.
+The reference is the corpus itself, which has no size bound. It is cut in shards of bounded size; each shard's
+automaton goes to all tasks that hold text which may match it, and only to these (fragment and replicate, in
+place of a broadcast to every task). Hashes only choose what is streamed: every removed window is found by
+matching statistics against an automaton.
 
-1. Every window names an anchor: the least hash among its runs of `gram` words. Equal windows have equal
+1. Filter. Every window names an anchor: the least hash among its runs of `gram` words. Equal windows have equal
    anchors at equal offsets. Consecutive windows with the same anchor form a unit (at most
-   window - gram + 1 of them), named by its anchor and a hash of its words. Each task brings equal units of
-   its own rows down to the first; the others are repeats already.
-2. Units meet by anchor, each as anchor, hash and place only. Later copies of a unit are repeats whole. The
-   first copy is settled too unless its anchor has other units, whose windows it may share in part.
-3. The texts of those first copies are sharded by anchor. In each shard they are streamed in the order of
-   document and place: matching statistics against the suffix automaton of the units before give the windows
-   that have occurred; then the unit joins the automaton.
+   window - gram + 1 of them), named by its anchor and a hash of its words. Units meet by anchor, as numbers only;
+   those whose anchor occurs nowhere else are settled: none of their windows occurs twice. Of equal units the
+   first is part of the reference.
+2. Shards. Reference units are dealt by anchor; anchors with more than `many` of them (a common phrase in
+   unlike texts) are dealt window by window instead, by a hash of the window. Where one anchor has more than
+   `heavy` units (a passage that very many documents share), its units are spread over several tasks and its part
+   of the reference goes to each of them.
+3. Matching statistics. A shard's automaton is built from its reference units in the order of document and place,
+   so each of its states knows where its words first start. Units stream past it: a window that is found, and
+   that first starts before its own place, is removed. Equal units are walked once.
 4. Each document's removed windows are merged into maximal spans and cut out.
 
+Two unlike units with equal 64-bit hashes and equal anchors would leave the later one out of the reference: its
+copies would stay. No word is ever removed by a hash.
+
 Defined results: a null text has no words. Rows that share key and text are one document (each gets its
-result); rows that share a key but not a text are ordered by a hash of the text. A null key has the place of
-2^62 and 62 bits of a hash of the text: after all lesser keys, in the order of that hash; it stays null in the
-results. Empty tables give empty results; extra columns never meet the operator's own.
+result); rows that share a key but not a text are ordered by a 32-bit hash of the text, and such of them as share that
+too are taken as one place. A null key has the place of 2^62 and 62 bits of a hash of the text: after all lesser
+keys, in the order of that hash; it stays null in the results. Of equal windows the first stays. Empty tables give
+empty results; extra columns never meet the operator's own. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -40,15 +49,20 @@ GRAM = 8
 
 
 class Automaton:
-    """Suffix automaton over sequences of hashable tokens, grown text by text."""
+    """Suffix automaton over sequences of hashable tokens, grown text by text. Each state knows which text its words
+    ended in first, and where: texts are added in the order of their places."""
 
     def __init__(self):
-        self.next, self.link, self.len = [{}], [-1], [0]
+        self.next, self.link, self.len, self.first, self.texts = [{}], [-1], [0], [None], 0
 
     def longest(self, tokens: list) -> list[int]:
         """Matching statistics: for each place the length of the longest match that ends there."""
+        return [n for _, n in self.walk(tokens)]
+
+    def walk(self, tokens: list) -> Iterator[tuple[int, int]]:
+        """State and length of the longest match that ends at each place."""
         nxt, link, ln = self.next, self.link, self.len
-        v, n, out = 0, 0, []
+        v, n = 0, 0
         for c in tokens:
             while v and c not in nxt[v]:
                 v = link[v]
@@ -56,13 +70,23 @@ class Automaton:
             if c in nxt[v]:
                 v = nxt[v][c]
                 n += 1
-            out.append(n)
+            yield v, n
+
+    def firsts(self, tokens: list, window: int) -> list[tuple[int, int, int]]:
+        """For each window that occurs: its number in tokens, the first text that has it, and its number there."""
+        link, ln, first, out = self.link, self.len, self.first, []
+        for end, (v, n) in enumerate(self.walk(tokens)):
+            if n >= window:
+                while ln[link[v]] >= window:
+                    v = link[v]
+                text, at = first[v]
+                out.append((end - window + 1, text, at - window + 1))
         return out
 
     def add(self, tokens: list) -> None:
         nxt, link, ln = self.next, self.link, self.len
         last = 0
-        for c in tokens:
+        for at, c in enumerate(tokens):
             if (q := nxt[last].get(c)) is not None:
                 if ln[q] == ln[last] + 1:
                     last = q
@@ -73,6 +97,7 @@ class Automaton:
             nxt.append({})
             ln.append(ln[last] + 1)
             link.append(0)
+            self.first.append((self.texts, at))
             p = last
             while p != -1 and c not in nxt[p]:
                 nxt[p][c] = cur
@@ -81,6 +106,7 @@ class Automaton:
                 q = nxt[p][c]
                 link[cur] = q if ln[q] == ln[p] + 1 else self._clone(p, q, c)
             last = cur
+        self.texts += 1
 
     def _clone(self, p: int, q: int, c) -> int:
         nxt, link, ln = self.next, self.link, self.len
@@ -88,6 +114,7 @@ class Automaton:
         nxt.append(dict(nxt[q]))
         ln.append(ln[p] + 1)
         link.append(link[q])
+        self.first.append(self.first[q])
         link[q] = k
         while p != -1 and nxt[p].get(c) == q:
             nxt[p][c] = k
@@ -95,23 +122,37 @@ class Automaton:
         return k
 
 
-def units(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each unit."""
+#: Odd multipliers of the hashes.
+MIX, BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[:1] = 1
+    return np.multiply.accumulate(x)
+
+
+def units(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchor hash, hash of the words, first window and number of windows of each unit."""
     from xxhash import xxh64_intdigest
 
     n = len(words) - window + 1
     if n < 1:
         z = np.zeros(0, np.int64)
-        return z, z, z
+        return z, z, z, z
     w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     g = np.zeros(len(words) - gram + 1, np.uint64)
     for k in range(gram):
-        g = (g ^ w[k : k + len(g)]) * np.uint64(0x9E3779B97F4A7C15)
+        g = (g ^ w[k : k + len(g)]) * np.uint64(MIX)
         g ^= g >> np.uint64(29)
     span = window - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(n)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    return g[at[first]].view(np.int64), first, np.diff(np.concatenate([first, [n]]))
+    size = np.diff(np.concatenate([first, [n]]))
+    # a polynomial of the words' hashes, by sums from the text's start
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers(len(w), BASE))])
+    u = (sums[first + size + window - 1] - sums[first]) * powers(len(w), pow(BASE, -1, 1 << 64))[first]
+    return g[at[first]].view(np.int64), u.view(np.int64), first, size
 
 
 def place(key: str, text: str) -> Column:
@@ -131,129 +172,213 @@ def _first(key: np.ndarray, h: np.ndarray, s: np.ndarray, a: np.ndarray, u: np.n
     return new, ~new & (key == key[at]) & (h == h[at]) & (s == s[at])
 
 
-UNITS = "a long, u long, key long, h int, s int, n int"
+PLAIN, FORCED, MARK, COPY = range(4)
+UNITS = "r long, a long, u long, key long, h int, s int, n int, k int"
 
 
-def unit_rows(own: DataFrame, window: int, gram: int, most_rows: int = 2_000_000) -> DataFrame:
-    """own: key, h, text. Returns UNITS: of equal units in a task's rows the first goes on; the others are known to be
-    repeats, have n below 0 and in place of the anchor a number that spreads them."""
-    from xxhash import xxh64_intdigest
+def unit_rows(own: DataFrame, window: int, gram: int, most_rows: int = 200_000, crowd: int = 64) -> DataFrame:
+    """own: key, h, text. Returns UNITS: a row for each unit, r says where it goes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list) -> pa.RecordBatch:
-            key, h, s, n, a, u = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((s, h, key, u, a))
-            key, h, s, n, a, u = (x[order] for x in (key, h, s, n, a, u))
-            first, same = _first(key, h, s, a, u)
-            a = np.where(first, a, (key * 1_000_003 + s) * -0x61C8864680B583EB)
-            n = np.where(first, n, -n)
-            cols = (a, u, key, h.astype(np.int32), s.astype(np.int32), n.astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(x[~same]) for x in cols], ["a", "u", "key", "h", "s", "n"])
+    Of equal units in a run of rows the first goes on by its anchor; COPY is a later one, which goes anywhere. An
+    anchor with more than `crowd` unlike units in the run sends them by anchor and hash, and a MARK by its anchor.
+    FORCED units are known not to be alone.
+    """
 
+    def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = (x.view(np.uint64) ^ (y.view(np.uint64) * np.uint64(BASE))) * np.uint64(MIX)
+        return (z ^ (z >> np.uint64(31))).view(np.int64)
+
+    def close(parts: list) -> pa.RecordBatch:
+        key, h, s, n, a, u = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((s, h, key, u, a))
+        key, h, s, n, a, u = (x[order] for x in (key, h, s, n, a, u))
+        first, same = _first(key, h, s, a, u)
+        copy = ~first & ~same
+        start = np.flatnonzero(first)
+        several = np.zeros(len(a), bool)
+        several[start] = np.add.reduceat(copy, start) > 0
+        anchor = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+        crowded = np.add.reduceat(first, anchor) > crowd
+        spread = np.repeat(crowded, np.diff(np.concatenate([anchor, [len(a)]])))
+        r = np.where(copy, mix(key, s), np.where(spread, mix(a, u), a))
+        k = np.where(copy, COPY, np.where(spread | several, FORCED, PLAIN))
+        marks, keep = a[anchor[crowded]], ~same
+        zero = np.zeros(len(marks), np.int64)
+        cols = [np.concatenate([x[keep], y]) for x, y in ((r, marks), (a, marks), (u, zero), (key, zero), (h, zero), (s, zero), (n, zero), (k, zero + MARK))]
+        kinds = [x.split()[1] for x in UNITS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64 if t == "long" else np.int32)) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in UNITS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in slices(batches):
             for k, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 w = split(t.as_py())
                 if len(w) < window:
                     continue
-                a, s, n = units(w, window, gram)
-                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-                flat, starts = b" ".join(w), ends[s] - 1 - np.fromiter((len(w[i]) for i in s), np.int64, len(s))
-                u = np.fromiter((xxh64_intdigest(flat[i:j]) for i, j in zip(starts.tolist(), (ends[s + n + window - 2] - 1).tolist(), strict=True)), np.uint64, len(s))
-                held.append((np.full(len(s), k, np.int64), np.full(len(s), h, np.int64), s.astype(np.int64), n.astype(np.int64), a, u.view(np.int64)))
+                a, u, s, n = units(w, window, gram)
+                held.append((np.full(len(s), k, np.int64), np.full(len(s), h, np.int64), s.astype(np.int64), n.astype(np.int64), a, u))
                 rows += len(s)
-            if rows > most_rows:
-                yield close(held)
-                held, rows = [], 0
+                if rows > most_rows:
+                    yield close(held)
+                    held, rows = [], 0
         if held:
             yield close(held)
 
     return own.mapInArrow(run, UNITS)
 
 
-def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: int = GRAM, shard_words: int = 100_000) -> DataFrame:
-    """Returns key, h, spans: an array of (s, bits), removed windows as bits from window s on."""
-    own = docs.where(F.col(f"`{text}`").isNotNull()).select(place(key, text).alias("key"), F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.col(f"`{text}`").alias("text"))
+def candidates(rows: DataFrame) -> DataFrame:
+    """rows: UNITS. Returns a, key, h, s, n, ref: units whose anchor isn't alone; ref: the first of its kind here.
+
+    Sorted rows stream past, one is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+
+        def out(x: list[np.ndarray], ref: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+            _, a, _, key, h, s, n, _ = x
+            return pa.RecordBatch.from_arrays([pa.array(y[keep]) for y in (a, key, h, s, n, ref)], ["a", "key", "h", "s", "n", "ref"])
+
+        def settle(x: list[np.ndarray], after: int | None) -> pa.RecordBatch:
+            nonlocal before
+            a, u, k = x[1], x[2], x[7]
+            as_before = np.concatenate([[before is not None and before[0] == a[0]], a[1:] == a[:-1]])
+            as_after = np.concatenate([as_before[1:], [after is not None and a[-1] == after]])
+            equal = as_before & np.concatenate([[before is not None and before[1] == u[0]], u[1:] == u[:-1]])
+            before = (a[-1], u[-1]) if k[-1] != MARK else (a[-1], None)
+            if len(k) > 1:
+                equal[1:] &= k[:-1] != MARK
+            return out(x, ~equal, (k != MARK) & (as_before | as_after | (k == FORCED)))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "h", "s", "n", "a", "u", "open"]
-
-        def close(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, u, key, h, s, n = rows
-            local = n < 0
-            out = [x[local] for x in (key, h, s, -n)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), *[pa.array(np.zeros(len(out[0]), np.int64))] * 2, pa.array(np.zeros(len(out[0]), bool))], names)
-            a, u, key, h, s, n = (x[~local] for x in rows)
-            if not len(a):
-                return
-            first, same = _first(key, h, s, a, u)
-            start = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
-            several = np.repeat(np.add.reduceat(first, start) > 1, np.diff(np.concatenate([start, [len(a)]])))
-            keep = ~first & ~same | first & several
-            z = np.where(first, a, 0), np.where(first, u, 0), first
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, h, s, n, *z)], names)
-
-        held = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            copy = x[7] == COPY
+            if copy.any():
+                y = [c[copy] for c in x]
+                yield out(y, np.zeros(len(y[0]), bool), np.ones(len(y[0]), bool))
+                x = [c[~copy] for c in x]
             if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            # the last anchor may go on in the next batch
-            cut_ = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            if cut_:
-                yield from close([x[:cut_] for x in rows])
-            held = [x[cut_:] for x in rows]
+                x = [np.concatenate(y) for y in zip(held, x, strict=True)]
+            if not len(x[0]):
+                continue
+            if len(x[0]) > 1:
+                yield settle([c[:-1] for c in x], x[1][-1])
+            held = [c[-1:] for c in x]
         if held is not None:
-            yield from close(held)
+            yield settle(held, None)
 
-    rows = unit_rows(own, window, gram).repartition("a").sortWithinPartitions("a", "u", "key", "h", "s")
-    met = scratch(rows.mapInArrow(meet, "key long, h int, s int, n int, a long, u long, open boolean"), "met")
-    release(docs.sparkSession)
-    places = met.where("open").groupBy("key", "h").agg(F.collect_list(F.struct("s", "n", "a")).alias("at"))
+    return rows.mapInArrow(run, "a long, key long, h int, s int, n int, ref boolean")
+
+
+def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: int = GRAM, shard_units: int = 4096, many: int = 1024, heavy: int = 50_000, crowd: int = 64) -> DataFrame:
+    """Returns key, h, spans: an array of (s, bits), removed windows as bits from window s on.
+
+    A shard has about shard_units units of at most 2 * window words, so its automaton at most some 200,000 states.
+    """
+    spark = docs.sparkSession
+    own = docs.where(F.col(f"`{text}`").isNotNull()).select(place(key, text).alias("key"), F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.col(f"`{text}`").alias("text"))
+    rows = unit_rows(own, window, gram, crowd=crowd).repartition("r").sortWithinPartitions("a", "u", "key", "h", "s")
+    met = scratch(candidates(rows), "met")
+    release(spark)
+    # anchors in need of care; the optimizer broadcasts them only below its own limit
+    crowds = met.groupBy("a").agg(F.count("*").alias("m"), F.count_if("ref").alias("d")).where((F.col("m") > heavy) | (F.col("d") > many))
+    crowds = scratch(crowds.select("a", (F.col("d") > many).alias("hot"), F.when(F.col("d") > many, 1).otherwise(F.ceil(F.col("m") / heavy)).cast("int").alias("z")), "crowds")
+    met_ = met.join(crowds, "a", "left").select("a", "key", "h", "s", "n", "ref", F.coalesce("hot", F.lit(False)).alias("hot"), F.coalesce("z", F.lit(1)).alias("z"))
+    n = met_.where("ref").agg(F.sum(F.when(F.col("hot"), F.col("n")).otherwise(1))).first()[0] or 0
+    shards = max(1, -(-n // shard_units))
+    places = met_.groupBy("key", "h").agg(F.collect_list(F.struct("s", "n", "a", "ref", "hot", "z")).alias("at"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units with equal texts are one row with all their places."""
+        from xxhash import xxh64_intdigest
+
+        def out(rows: dict) -> pa.RecordBatch:
+            place = [list(zip(*p, strict=True)) for p in rows.values()]
+            cols = [[r[i] for r in rows] for i in range(4)] + [[p[i] for p in place] for i in range(3)]
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), *(pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32())))
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["g", "z", "other", "t", "key", "h", "s"])
+
+        rows, size = {}, 0
         for b in slices(batches, 4 << 20):
-            rows = {}
             for k, h, t, at in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 w = split(t)
-                rows |= {(k, h, x["s"]): (x["a"], b" ".join(w[x["s"] : x["s"] + x["n"] + window - 1])) for x in at}
-            cols = [[r[0] for r in rows.values()], [r[1] for r in rows.values()], *([k[i] for k in rows] for i in range(3))]
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["a", "t", "key", "h", "s"])
+                for x in at:
+                    s, n = x["s"], x["n"]
+                    every = range(x["z"])
+                    for i, m in [(s + j, 1) for j in range(n)] if x["hot"] else [(s, n)]:
+                        u = b" ".join(w[i : i + m + window - 1])
+                        g = (xxh64_intdigest(u) if x["hot"] else x["a"]) % shards
+                        # the reference goes to all tasks of its anchor
+                        for z in every if x["ref"] else (every[(k * 31 + i) % len(every)],):
+                            rows.setdefault((g, z, not x["ref"], u), []).append((k, h, i))
+                            size += 1
+                if size > 50_000:
+                    yield out(rows)
+                    rows, size = {}, 0
+        if rows:
+            yield out(rows)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(shard: list) -> pa.RecordBatch:
-            out, auto, ids, before = [], Automaton(), {}, None
-            for place, t in sorted(shard):
-                if place == before:  # a repeated row
-                    continue
-                before = place
-                tokens = [ids.setdefault(w, len(ids)) for w in t.split(b" ")]
-                hit = auto.longest(tokens)[window - 1 :]
-                if bits := sum(1 << i for i, m in enumerate(hit) if m >= window):
-                    out.append((*place, bits))
-                auto.add(tokens)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["key", "h", "s", "bits"])
+        found: list = []
 
-        shard, at, size = [], None, 0
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], ["key", "h", "s", "bits"])
+            found.clear()
+            return batch
+
+        class Shard:
+            def __init__(self):
+                self.own, self.auto, self.ids, self.places, self.known = [], None, {}, [], {}
+
+            def build(self) -> None:
+                self.auto, seen = Automaton(), set()
+                for p, t in sorted((p, t) for t, places in self.own for p in places):
+                    if t not in seen:
+                        seen.add(t)
+                        self.auto.add([self.ids.setdefault(w, len(self.ids)) for w in t.split(b" ")])
+                        self.places.append(p)
+
+            def stream(self, t: bytes, places: list) -> None:
+                if (hits := self.known.get(t)) is None:
+                    hits = self.known[t] = []
+                    for i, text, at in self.auto.firsts([self.ids.get(w, -1) for w in t.split(b" ")], window):
+                        k, h, s = self.places[text]
+                        hits.append((i, (k, h, s + at)))
+                for k, h, s in places:
+                    if bits := sum(1 << i for i, p in hits if p < (k, h, s + i)):
+                        found.append((k, h, s, bits))
+
+            def close(self) -> None:
+                if self.auto is None:
+                    self.build()
+                for t, places in self.own:
+                    self.stream(t, places)
+
+        shard, at = Shard(), None
         for b in batches:
-            for anchor, t, k, h, s in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                if anchor != at and size > shard_words:
-                    yield close(shard)
-                    shard, size = [], 0
-                at = anchor
-                shard.append(((k, h, s), t))
-                size += window + 6
-        yield close(shard)
-
-    opened = own.join(places, ["key", "h"]).select("key", "h", "text", "at").mapInArrow(texts, "a long, t binary, key long, h int, s int")
-    decided = scratch(opened.repartition("a").sortWithinPartitions("a").mapInArrow(decide, "key long, h int, s int, bits long"), "decided")
-    release(docs.sparkSession)
-    hits = met.where("not open").select("key", "h", "s", F.expr("shiftleft(1L, n) - 1").alias("bits")).unionByName(decided)
-    return hits.groupBy("key", "h").agg(F.collect_list(F.struct("s", "bits")).alias("spans"))
+            for g, z, other, t, *p in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+                if (g, z) != at:
+                    shard.close()
+                    shard, at = Shard(), (g, z)
+                places = list(zip(*p, strict=True))
+                if not other:
+                    shard.own.append((t, places))
+                    continue
+                if shard.auto is None:
+                    shard.build()
+                shard.stream(t, places)
+            if len(found) > 20_000:
+                yield out()
+        shard.close()
+        yield out()
+
+    streamed = own.join(places, ["key", "h"]).select("key", "h", "text", "at")
+    streamed = streamed.mapInArrow(texts, "g long, z int, other boolean, t binary, key array<long>, h array<int>, s array<int>")
+    decided = scratch(streamed.repartition("g", "z").sortWithinPartitions("g", "z", "other").mapInArrow(decide, "key long, h int, s int, bits long"), "decided")
+    release(spark)
+    return decided.groupBy("key", "h").agg(F.collect_list(F.struct("s", "bits")).alias("spans"))
 
 
 def cut(words: list[bytes], spans: list[dict] | None, window: int = WINDOW) -> list[bytes]:

@@ -214,6 +214,24 @@ def test_substring_dedup_of_rows_without_a_key(spark):
     assert Counter((r.doc_id, r.text) for r in out) == Counter([(i if i == 8 else None, kept.decode()) for i, (_, _, kept) in want.items()] + [(None, None)])
 
 
+def test_substring_dedup_of_crowded_anchors(spark):
+    """A phrase in unlike texts and a passage in many texts, with limits so low that every way is taken."""
+    rnd = random.Random(11)
+    some = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    phrase, passage = some(14), some(35)
+    texts = [(i, f"{some(rnd.randint(8, 20))} {phrase} {some(12)} {passage if i % 2 else some(9)} {some(5)}") for i in range(60)]
+    texts += [(100 + i, f"{some(3)} {t}" if i % 2 else f"{t} {some(4)}") for i, (_, t) in enumerate(texts[:20])]
+    texts += [(50, texts[50][1]), (200, None)]
+    want = brute_removed(texts, 20)
+    for limits in ({"many": 3, "heavy": 1000, "crowd": 2}, {"many": 1000, "heavy": 4, "crowd": 1000}, {"many": 3, "heavy": 4, "crowd": 3, "shard_units": 16}):
+        got = substring_dedup.repeats(frame(spark, texts).repartition(7), "doc_id", "text", **limits).collect()
+        for i, t in dict(texts).items():
+            w = (t or "").encode().split()
+            spans = [x for r in got if r.key == i for x in r.spans]
+            assert len(w) - len(substring_dedup.cut(w, spans)) == want[i][1], (limits, i)
+    assert sum(k > 0 for _, k, _ in want.values()) > 40
+
+
 def test_automaton_matching_statistics():
     rnd = random.Random(7)
     a, seen = substring_dedup.Automaton(), []
@@ -222,6 +240,9 @@ def test_automaton_matching_statistics():
         subs = {tuple(s[i:j]) for s in seen for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
         want = [max((k for k in range(1, e + 2) if tuple(t[e + 1 - k : e + 1]) in subs), default=0) for e in range(len(t))]
         assert a.longest(t) == want
+        place = lambda x: next(((i, s.index(x)) for i, s in ((i, ["|".join(map(str, s[k : k + 3])) for k in range(len(s) - 2)]) for i, s in enumerate(seen)) if x in s), None)
+        first = [(k, *place("|".join(map(str, t[k : k + 3])))) for k in range(len(t) - 2) if place("|".join(map(str, t[k : k + 3])))]
+        assert a.firsts(t, 3) == first
         a.add(t)
         seen.append(t)
 
