@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,24 +54,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, name: str, sort: list[str] | None = None, codec: str = "zstd") -> DataFrame:
     """Writes a frame as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The files go when the session's file system closes.
+    The files go by discard(), else when the session's file system closes; the shuffles behind them at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are gone: it learns of them when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that scratch() wrote and that no frame in use reads any more."""
+    for f in frames:
+        fs, p = _files(f.sparkSession, f.scratch_path)
+        fs.delete(p, True)
 
 
 def tasks(spark: SparkSession) -> int:

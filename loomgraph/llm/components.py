@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import scratch
+from loomgraph.llm.common import discard, scratch
 
 
 class Forest:
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, e = e, scratch(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
         if (now := mark(e)) == was:
             break
         was = now

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh, release, scratch, slices, table
+from loomgraph.llm.common import discard, fresh, scratch, slices, table
 
 WINDOW = 20
 GRAM = 8
@@ -276,11 +276,9 @@ def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: in
 
     A shard has about shard_units units of at most 2 * window words, so its automaton at most some 200,000 states.
     """
-    spark = docs.sparkSession
     own = docs.where(F.col(f"`{text}`").isNotNull()).select(place(key, text).alias("key"), F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"), F.col(f"`{text}`").alias("text"))
     rows = unit_rows(own, window, gram, crowd=crowd).repartition("r").sortWithinPartitions("a", "u", "key", "h", "s")
     met = scratch(candidates(rows), "met")
-    release(spark)
     # anchors in need of care; the optimizer broadcasts them only below its own limit
     crowds = met.groupBy("a").agg(F.count("*").alias("m"), F.count_if("ref").alias("d")).where((F.col("m") > heavy) | (F.col("d") > many))
     crowds = scratch(crowds.select("a", (F.col("d") > many).alias("hot"), F.when(F.col("d") > many, 1).otherwise(F.ceil(F.col("m") / heavy)).cast("int").alias("z")), "crowds")
@@ -377,7 +375,7 @@ def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: in
     streamed = own.join(places, ["key", "h"]).select("key", "h", "text", "at")
     streamed = streamed.mapInArrow(texts, "g long, z int, other boolean, t binary, key array<long>, h array<int>, s array<int>")
     decided = scratch(streamed.repartition("g", "z").sortWithinPartitions("g", "z", "other").mapInArrow(decide, "key long, h int, s int, bits long"), "decided")
-    release(spark)
+    discard(met, crowds)
     return decided.groupBy("key", "h").agg(F.collect_list(F.struct("s", "bits")).alias("spans"))
 
 
