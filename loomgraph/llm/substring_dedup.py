@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +58,8 @@ class Automaton:
 
     def longest(self, tokens: list) -> list[int]:
         """Matching statistics: for each place the length of the longest match that ends there."""
-        return [n for _, n in self.walk(tokens)]
-
-    def walk(self, tokens: list) -> Iterator[tuple[int, int]]:
-        """State and length of the longest match that ends at each place."""
         nxt, link, ln = self.next, self.link, self.len
-        v, n = 0, 0
+        v, n, out = 0, 0, []
         for c in tokens:
             while v and c not in nxt[v]:
                 v = link[v]
@@ -70,17 +67,26 @@ class Automaton:
             if c in nxt[v]:
                 v = nxt[v][c]
                 n += 1
-            yield v, n
+            out.append(n)
+        return out
 
     def firsts(self, tokens: list, window: int) -> list[tuple[int, int, int]]:
         """For each window that occurs: its number in tokens, the first text that has it, and its number there."""
-        link, ln, first, out = self.link, self.len, self.first, []
-        for end, (v, n) in enumerate(self.walk(tokens)):
+        nxt, link, ln, first, out = self.next, self.link, self.len, self.first, []
+        v, n = 0, 0
+        for end, c in enumerate(tokens, 1 - window):
+            while (to := nxt[v].get(c)) is None and v:
+                v = link[v]
+                n = ln[v]
+            if to is not None:
+                v = to
+                n += 1
             if n >= window:
                 while ln[link[v]] >= window:
                     v = link[v]
+                    n = ln[v]
                 text, at = first[v]
-                out.append((end - window + 1, text, at - window + 1))
+                out.append((end, text, at - window + 1))
         return out
 
     def add(self, tokens: list) -> None:
@@ -299,17 +305,19 @@ def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: in
 
         rows, size = {}, 0
         for b in slices(batches, 4 << 20):
-            for k, h, t, at in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            at = b.column(3)
+            of, fields = at.offsets.to_pylist(), [c.to_pylist() for c in at.flatten().flatten()]
+            of = [x - of[0] for x in of]
+            for row, (k, h, t) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
                 w = split(t)
-                for x in at:
-                    s, n = x["s"], x["n"]
-                    every = range(x["z"])
-                    for i, m in [(s + j, 1) for j in range(n)] if x["hot"] else [(s, n)]:
-                        u = b" ".join(w[i : i + m + window - 1])
-                        g = (xxh64_intdigest(u) if x["hot"] else x["a"]) % shards
+                flat, ends = b" ".join(w), list(accumulate(map(len, w), lambda x, y: x + y + 1, initial=-1))
+                for s, n, a, ref, hot, every in zip(*(c[of[row] : of[row + 1]] for c in fields), strict=True):
+                    for i, m in [(s + j, 1) for j in range(n)] if hot else [(s, n)]:
+                        u = flat[ends[i] + 1 : ends[i + m + window - 1]]
+                        g = (xxh64_intdigest(u) if hot else a) % shards
                         # the reference goes to all tasks of its anchor
-                        for z in every if x["ref"] else (every[(k * 31 + i) % len(every)],):
-                            rows.setdefault((g, z, not x["ref"], u), []).append((k, h, i))
+                        for z in range(every) if ref else ((k * 31 + i) % every,):
+                            rows.setdefault((g, z, not ref, u), []).append((k, h, i))
                             size += 1
                 if size > 50_000:
                     yield out(rows)
@@ -331,22 +339,34 @@ def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: in
                 self.own, self.auto, self.ids, self.places, self.known = [], None, {}, [], {}
 
             def build(self) -> None:
-                self.auto, seen = Automaton(), set()
-                for p, t in sorted((p, t) for t, places in self.own for p in places):
+                self.auto, ids, seen = Automaton(), self.ids, {}
+                for p, t in sorted((min(places), t) for t, places in self.own):
                     if t not in seen:
-                        seen.add(t)
-                        self.auto.add([self.ids.setdefault(w, len(self.ids)) for w in t.split(b" ")])
+                        seen[t] = [ids.setdefault(w, len(ids)) for w in t.split(b" ")]
+                        self.auto.add(seen[t])
                         self.places.append(p)
+                for t, tokens in seen.items():
+                    self.walk(t, tokens)
+
+            def walk(self, t: bytes, tokens: list) -> tuple:
+                """Windows that occur, each with its first place, and all of them as bits; the last of those places."""
+                hits = []
+                for i, text, at in self.auto.firsts(tokens, window):
+                    k, h, s = self.places[text]
+                    hits.append((i, (k, h, s + at)))
+                got = self.known[t] = hits, sum(1 << i for i, _ in hits), max((p for _, p in hits), default=None)
+                return got
 
             def stream(self, t: bytes, places: list) -> None:
-                if (hits := self.known.get(t)) is None:
-                    hits = self.known[t] = []
-                    for i, text, at in self.auto.firsts([self.ids.get(w, -1) for w in t.split(b" ")], window):
-                        k, h, s = self.places[text]
-                        hits.append((i, (k, h, s + at)))
-                for k, h, s in places:
-                    if bits := sum(1 << i for i, p in hits if p < (k, h, s + i)):
-                        found.append((k, h, s, bits))
+                hits, every, last = self.known.get(t) or self.walk(t, [self.ids.get(w, -1) for w in t.split(b" ")])
+                if every:
+                    for p in places:
+                        if last < p:
+                            found.append((*p, every))
+                        else:
+                            k, h, s = p
+                            if bits := sum(1 << i for i, q in hits if q < (k, h, s + i)):
+                                found.append((k, h, s, bits))
 
             def close(self) -> None:
                 if self.auto is None:
@@ -356,11 +376,14 @@ def repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gram: in
 
         shard, at = Shard(), None
         for b in batches:
-            for g, z, other, t, *p in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+            of = b.column(4).offsets.to_pylist()
+            every = list(zip(*(b.column(c).flatten().to_pylist() for c in (4, 5, 6)), strict=True))
+            of = [x - of[0] for x in of]
+            for row, (g, z, other, t) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
                 if (g, z) != at:
                     shard.close()
                     shard, at = Shard(), (g, z)
-                places = list(zip(*p, strict=True))
+                places = every[of[row] : of[row + 1]]
                 if not other:
                     shard.own.append((t, places))
                     continue
