@@ -1,20 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. First pass: a block is boilerplate if it stands in a
-boilerplate container (menu, header, footer, sidebar, form, advert, notice, comments), or if most of its
-text is links; it is content if it stands in the article, or if it is long and dense in stop words; short
-blocks and those of middling density stay undecided. Second pass: an undecided block takes the label of the
-nearest decided blocks before and after it: that which both have, else that of the nearer one, of equally
-near ones boilerplate.
-
-Defined results: a null or empty page has no text. A page that ends within a tag, an element or a character
-reference is read as far as it goes. Repeated rows get equal results.
+The page is cut into blocks at block-level tags. The elements that a block stands in are evidence: a boilerplate
+container (menu, header, footer, sidebar, form, advert, notice, comments) or an article.
+
+First pass, in this order. Links: a block most of whose text is links is boilerplate, but in an article only
+if it is a list of at least three; other linked text there stays undecided. Container: what is left of a
+boilerplate container is boilerplate, however it reads. Density: long blocks with some stop words and shorter ones with many
+are content; long ones with hardly any are boilerplate, but in an article undecided. Short blocks stay undecided.
+
+Second pass: an undecided block takes the label of the nearest blocks before and after it that the first pass decided by
+their text: that which both have, else that of the nearer one. In an article only the same article's blocks count; of
+equally near ones, and where it has none, the article itself decides for content. Elsewhere containers count too, and the
+doubt is for boilerplate.
+
+Defined results: a null or empty page has no text, an empty table no rows. A page that ends within a tag, an element or a
+character reference is read as far as it goes. Pages of any length are read whole. Repeated rows, and rows that share a key,
+get a result each; a null key stays null. Extra columns are never read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -24,9 +32,12 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import slices, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select math object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BAD_TAGS = frozenset("nav header footer aside form button menu dialog head".split())
+RAW = frozenset("script style textarea title template iframe".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr "
+    "html legend li main menu nav ol optgroup option p pre script search section select style summary table tbody td template tfoot th thead title tr ul".split()
+)
+BAD_TAGS = frozenset("nav header footer aside form button select menu dialog head".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 #: Parts of class names and ids that name boilerplate, as whole words between hyphens, underscores and changes of case.
@@ -42,7 +53,7 @@ STOP_WORDS = frozenset(
     "el los las y del una por con para su al lo como más pero sus este entre cuando muy sin sobre".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 GOOD, BAD, OPEN = 1, -1, 0
@@ -64,25 +75,34 @@ def boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters in links, in a boilerplate container, in the article: for each block with text."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    parts, linked, links = [], 0, 0
-    bad = main = 0
+@dataclass(frozen=True)
+class Block:
+    text: str
+    linked: int  # characters in links, but for white space
+    links: int
+    bad: bool  # in a boilerplate container
+    article: int  # number of the innermost article, 0 for none
+
+
+def blocks(html: str) -> list[Block]:
+    """The blocks with text, in the order of the page."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, int]] = []
+    parts, linked, n_links = [], 0, 0
+    bad = links = articles = article = 0
 
     def close() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, n_links
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, linked, bad > 0, main > 0))
-        parts, linked = [], 0
+            out.append(Block(text, linked, n_links, bad > 0, article))
+        parts, linked, n_links = [], 0, int(links > 0)
 
     def drop() -> None:
-        nonlocal bad, main, links
-        tag, b, m = stack.pop()
+        nonlocal bad, article, links
+        tag, b, outer = stack.pop()
         bad -= b
-        main -= m
+        article = outer
         links -= tag == "a"
 
     def text(s: str) -> None:
@@ -111,13 +131,15 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
         if m[0][-1] != ">":  # cut off within the tag
             break
         if m[1]:
-            if tag not in INLINE:
+            if tag in BLOCK:
                 close()
             if any(t == tag for t, _, _ in stack):
                 while stack[-1][0] != tag:
                     drop()
                 drop()
             continue
+        if tag in BLOCK:
+            close()
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -125,77 +147,97 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag == "br":
             parts.append(" ")
-        if tag not in INLINE:
-            close()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these end an open one of their kind
-                limit = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr",), "th": ("tr",)}.get(tag, ("div", "section", "article", "td", "li"))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        while len(stack) > k:
-                            drop()
-                        break
-                    if stack[k][0] in limit:
-                        break
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these end an open one of their kind
+            limit = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr",), "th": ("tr",)}.get(tag, ("div", "section", "article", "td", "li"))
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    while len(stack) > k:
+                        drop()
+                    break
+                if stack[k][0] in limit:
+                    break
         if tag not in VOID:
             b = boilerplate(tag, m[3])
             # a header within the article holds its title
-            if tag == "header" and main and not bad:
+            if tag == "header" and article and not bad:
                 b = False
-            stack.append((tag, b, tag in MAIN_TAGS))
+            stack.append((tag, b, article))
             bad += b
-            main += tag in MAIN_TAGS
+            if tag in MAIN_TAGS:
+                articles += 1
+                article = articles
             links += tag == "a"
+            n_links += tag == "a"
     close()
     return out
 
 
-def label(block: tuple[str, int, bool, bool], long: int = 140, dense: float = 0.25, sparse: float = 0.12, linky: float = 0.5) -> int:
-    """First pass."""
-    text, linked, bad, main = block
-    if bad:
-        return BAD
-    size = sum(map(len, text.split()))
-    if linked > linky * size:
-        return OPEN if main and size < long / 2 else BAD
-    if main:
-        return GOOD
-    w = re.findall(r"[^\W\d_]+", text.lower())
+def label(block: Block, long: int = 140, dense: float = 0.25, sparse: float = 0.12, linky: float = 0.5) -> tuple[int, str]:
+    """First pass: the label and the rule that gave it."""
+    size = sum(map(len, block.text.split()))
+    if block.linked > linky * size:
+        if block.bad or not block.article or block.links >= 3:
+            return BAD, "links"
+        return OPEN, ""
+    if block.bad:
+        return BAD, "container"
+    w = re.findall(r"[^\W\d_]+", block.text.lower())
     stop = sum(x in STOP_WORDS for x in w) / max(1, len(w))
-    if size >= long:
-        return GOOD if stop >= sparse else BAD
-    return GOOD if stop >= dense and len(w) >= 8 else OPEN
+    if stop >= sparse and size >= long or stop >= dense and len(w) >= 8:
+        return GOOD, "density"
+    if size >= long and not block.article:
+        return BAD, "density"
+    return OPEN, ""
 
 
-def inherit(labels: list[int]) -> list[int]:
-    """Second pass."""
+def nearest(labels: list[int]) -> list[tuple[int | None, int | None]]:
+    """For each place the nearest decided ones before and after it."""
     n = len(labels)
     before, after = [None] * n, [None] * n
     last = None
     for i in range(n):
-        last = i if labels[i] else last
         before[i] = last
+        last = i if labels[i] else last
     last = None
     for i in range(n - 1, -1, -1):
-        last = i if labels[i] else last
         after[i] = last
+        last = i if labels[i] else last
+    return list(zip(before, after, strict=True))
+
+
+def inherit(labels: list[int], doubt: int = BAD) -> list[int]:
+    """Second pass over one run of blocks."""
     out = []
-    for i, x in enumerate(labels):
-        a, b = before[i], after[i]
+    for i, (x, (a, b)) in enumerate(zip(labels, nearest(labels), strict=True)):
         if x:
             out.append(x)
         elif a is None or b is None:
             k = b if a is None else a
-            out.append(BAD if k is None else labels[k])
+            out.append(doubt if k is None else labels[k])
         elif labels[a] == labels[b]:
             out.append(labels[a])
         else:
-            out.append(BAD if i - a == b - i else labels[a if i - a < b - i else b])
+            out.append(doubt if i - a == b - i else labels[a if i - a < b - i else b])
+    return out
+
+
+def classify(found: list[Block]) -> list[tuple[int, str]]:
+    """Both passes: each block's label and the rule that gave it, `neighbours` in the second pass."""
+    first = [label(b) for b in found]
+    out = list(zip(inherit([x for x, _ in first]), (rule or "neighbours" for _, rule in first), strict=True))
+    runs: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if b.article and first[i][1] != "container":
+            runs.setdefault(b.article, []).append(i)
+    for places in runs.values():
+        for i, x in zip(places, inherit([first[i][0] for i in places], GOOD), strict=True):
+            out[i] = x, out[i][1]
     return out
 
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    return "\n\n".join(b[0] for b, x in zip(found, inherit([label(b) for b in found]), strict=True) if x == GOOD)
+    return "\n\n".join(b.text for b, (x, _) in zip(found, classify(found), strict=True) if x == GOOD)
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 from hashlib import sha256
+from html.parser import HTMLParser
 
 import pytest
 
@@ -190,6 +191,61 @@ def test_html(spark):
     soup = "<div>Menu</div><div>" + "The cat is on the mat and it is of the house. " * 5 + "</div><div>So be it.</div><div>" + "It was for the dog that they have come to us. " * 5 + "</div><div><a>One</a> <a>Two</a></div>"
     assert [x[:8] for x in html_extract.main_text(soup).split("\n\n")][-3:] == ["The cat ", "So be it", "It was f"]
     assert html_extract.inherit([1, 0, 0, -1, 0]) == [1, 1, -1, -1, -1]
+    assert html_extract.inherit([1, 0, -1], 1) == [1, 1, -1] and html_extract.inherit([0], 1) == [1]
+    assert html_extract.main_text("<article><p>Energy is <math><mi>E</mi></math> and <canvas>c</canvas> ok<noscript> so</noscript>.") == "Energy is E and c ok so."
+    assert html_extract.main_text(f"<article><p><a href=x>{'linked ' * 20}</a></p>") == ("linked " * 20).strip()
+    assert html_extract.main_text("<article><p data-x=don't>One.</p><p title='a > b'>Two.</p>") == "One.\n\nTwo."
+    assert html_extract.main_text("<article><p>It was for the dog that they have come to us.</p><p><a>One</a> <a>Two</a> <a>Three</a></p></article>") == "It was for the dog that they have come to us."
+    assert len(html_extract.main_text("<article>" + "<p>The cat is on the mat.</p>" * 50_000)) == 50_000 * 24 - 2
     assert html_extract.inherit([0, 0]) == [-1, -1]
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r.key, r.n_chars) for r in html_extract.extract(df).collect()) == [(1, 58), (1, 58), (2, 0)]
+    clash = spark.createDataFrame([(1, "u", PAGE, "k", "t"), (None, "u", PAGE, "k", "t")], "page_id long, url string, html string, key string, text string")
+    assert Counter((r.key, r.n_chars) for r in html_extract.extract(clash).collect()) == Counter([(None, 58), (1, 58)])
+    assert html_extract.extract(clash.limit(0)).count() == 0
+
+
+class Tree(HTMLParser):
+    """The text of articles by a plain walk with the standard parser, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.out, self.parts = [], [], []
+
+    def close_block(self):
+        t = " ".join("".join(self.parts).split())
+        if t and any(x in ("article", "main") for x, _ in self.stack) and not any(bad for _, bad in self.stack):
+            self.out.append(t)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        if tag in html_extract.BLOCK:
+            self.close_block()
+        if tag not in html_extract.VOID:
+            self.stack.append((tag, tag in ("nav", "footer", "aside", "form", "script", "style", "head") or any(k == "class" and v for k, v in attrs)))
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self.close_block()
+        if any(x == tag for x, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def test_html_against_a_plain_walk(spark):
+    """Every page of the table: the same text; each rule decides some blocks, the second pass too."""
+    rules = Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        walk = Tree()
+        walk.feed(r.html or "")
+        walk.close()
+        walk.close_block()
+        found = html_extract.blocks(r.html or "")
+        rules.update(rule for _, rule in html_extract.classify(found))
+        assert html_extract.main_text(r.html) == "\n\n".join(walk.out), r.page_id
+    assert set(rules) == {"links", "container", "density", "neighbours"} and rules["density"] > 1000 and rules["neighbours"] > 100, rules
