@@ -129,3 +129,85 @@ def baseline_input(config: Column, devset: Column, size: Column, extractor: Colu
 def improvement(optimized: Column, baseline: Column) -> Column:
     """Null where there is no baseline, or one of zero."""
     return F.when(baseline != 0, optimized - baseline)
+
+
+#: Texts of the property search and of prompts that consumers look for.
+PROPERTY_NONE = "No matches found. DO NOT emit a made-up triple. Skip this statement or use rdfs:comment to preserve the information as text."
+PROPERTY_WARNING = "WARNING: No good matches found (all scores < 0.5).\nDO NOT emit a random/unrelated triple.\nOptions: 1) Skip this statement, 2) Use rdfs:comment to store as text"
+PROPERTY_WEAK, PROPERTY_WEAK_NOTE = "\nWeak matches (DO NOT USE):", " - TOO LOW, DO NOT USE"
+NO_CLASSES, NO_PROPERTIES, NO_EXAMPLES = "No specific classes needed.", "No specific properties needed.", "Use standard RDF patterns."
+
+
+def property_answer(matches: Column) -> Column:
+    """matches: array of (prefix, score, uri, domain, range, description, hint), best first. What the property search tells its caller."""
+    points = lambda r: F.concat(r["prefix"], F.lit(" ("), F.format_string("%.2f", r["score"]), F.lit(")"))
+    good = F.filter(matches, lambda r: r["score"] >= 0.5)
+    weak = F.slice(F.filter(matches, lambda r: r["score"] < 0.5), 1, 2)
+    entry = lambda r: F.concat_ws(
+        "\n", F.concat(F.lit("\n  "), points(r)), F.concat(F.lit("    URI: "), r["uri"]), after("    Domain (subject type): ", r["domain"]), after("    Range (object type): ", r["range"]),
+        after("    Description: ", F.left(r["description"], F.lit(150))), after("    HOW TO USE: ", r["hint"]),
+    )
+    strong = F.concat_ws("\n", F.lit(GOOD_HEAD), F.array_join(F.transform(good, entry), "\n"))
+    poor = F.concat_ws("\n", F.lit(PROPERTY_WARNING), F.lit(PROPERTY_WEAK), F.array_join(F.transform(weak, lambda r: F.concat(F.lit("  "), points(r), F.lit(PROPERTY_WEAK_NOTE))), "\n"))
+    return F.when(F.coalesce(F.size(matches), F.lit(0)) <= 0, PROPERTY_NONE).when(F.size(good) > 0, strong).otherwise(poor)
+
+
+def class_line(uri: Column, label: Column, description: Column) -> Column:
+    name = F.coalesce(label, F.element_at(F.split(uri, "/"), -1))
+    return F.concat(F.lit("- "), name, F.lit(" ("), uri, F.lit("): "), F.coalesce(description, F.lit("No description")))
+
+
+def property_lines(uri: Column, label: Column, description: Column, domain: Column, range_: Column) -> Column:
+    name = F.coalesce(label, F.element_at(F.split(uri, "/"), -1))
+    kinds = F.concat(F.lit("  Domain: "), F.coalesce(domain, F.lit("Any")), F.lit(", Range: "), F.coalesce(range_, F.lit("Any")))
+    return F.concat_ws("\n", F.concat(F.lit("- "), name, F.lit(" ("), uri, F.lit(")")), after("  Description: ", description), kinds)
+
+
+def examples_text(examples: Column, most: int = 5) -> Column:
+    """examples: an array. The first ones as Turtle blocks."""
+    blocks = F.transform(F.slice(examples, 1, most), lambda x: F.concat(F.lit("```turtle\n"), x, F.lit("\n```")))
+    return F.when(F.coalesce(F.size(examples), F.lit(0)) > 0, F.array_join(blocks, "\n")).otherwise(NO_EXAMPLES)
+
+
+def numbered(statements: Column, form: str = "list") -> Column:
+    """Statements as lines: `1. x` (list), `[1] x` (ids) or `0: x` (index)."""
+    made = {
+        "list": lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s),
+        "ids": lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s),
+        "index": lambda s, i: F.concat(i.cast("string"), F.lit(": "), s),
+    }
+    return F.array_join(F.transform(statements, made[form]), "\n")
+
+
+def chunk_cell(context: Column, number: Column, total: Column, text: Column) -> Column:
+    """number: from 1."""
+    return F.concat(F.lit("**Context:** "), context, F.lit("\n**Chunk:** "), number.cast("string"), F.lit(" of "), total.cast("string"), F.lit("\n\n---\n\n"), text, F.lit("\n"))
+
+
+def statements_cell(context: Column, number: Column, total: Column, statements: Column) -> Column:
+    head = F.concat(F.lit("**Context:** "), context, F.lit("\n**Chunk:** "), number.cast("string"), F.lit(" of "), total.cast("string"), F.lit("\n**Statements:** "), F.size(statements).cast("string"))
+    return F.concat(head, F.lit("\n\n---\n\n"), numbered(statements), F.lit("\n"))
+
+
+def sample_cell(title: Column, views: Column, index: Column, total: Column) -> Column:
+    """JSON of a sampled page, indented by two."""
+    object_ = F.to_json(F.struct(title.alias("title")))
+    first = F.substring(object_, F.lit(2), F.length(object_) - 2)
+    first = F.concat(F.lit('"title": '), F.substring(first, F.lit(9), F.length(first)))
+    pair = lambda k, v: F.concat(F.lit(f'"{k}": '), v.cast("string"))
+    return F.concat(F.lit("{\n  "), F.concat_ws(",\n  ", first, pair("views", views), pair("index", index), pair("total", total)), F.lit("\n}"))
+
+
+def emit_many(triples: Column) -> Column:
+    """triples: array of (statement_id, subject, predicate, object). (valid triples, issues, answer) of a call that emits several.
+
+    Without a subject, predicate or object a triple is an issue; of equal ones the first counts.
+    """
+    lacks = lambda t: F.array_compact(F.array(*[F.when(given(t[c]).isNull(), F.lit(f"'{c}'")) for c in ("subject", "predicate", "object")]))
+    numbered_ = F.transform(triples, lambda t, i: F.struct(t.alias("t"), lacks(t).alias("lacks"), i.alias("i")))
+    issues = F.transform(F.filter(numbered_, lambda x: F.size(x["lacks"]) > 0), lambda x: F.concat(F.lit("item "), x["i"].cast("string"), F.lit(": missing ["), F.array_join(x["lacks"], ", "), F.lit("]")))
+    valid = F.transform(F.filter(numbered_, lambda x: F.size(x["lacks"]) == 0), lambda x: x["t"])
+    kept = F.array_distinct(valid)
+    lines = F.array_join(F.transform(kept, lambda t: F.concat_ws(" ", t["subject"], t["predicate"], t["object"], F.lit("."))), "\n")
+    answer = F.when((F.size(kept) == 0) & (F.size(issues) > 0), F.concat(F.lit("ERROR: "), F.array_join(F.slice(issues, 1, 5), "; "))).when(F.size(issues) > 0, F.concat(lines, F.lit("\n("), F.size(issues).cast("string"), F.lit(" errors skipped)"))).otherwise(lines)
+    return F.struct(kept.alias("triples"), issues.alias("issues"), answer.alias("answer"))

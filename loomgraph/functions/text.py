@@ -31,12 +31,20 @@ def slug(title: Column) -> Column:
     return F.translate(F.lower(title), " /", "__")
 
 
-def wiki_url(title: Column, base: str) -> Column:
+def _quote(c: Column) -> Column:
     """Percent-encoded as in a path: slashes and tildes stay."""
-    x = F.url_encode(F.translate(title, " ", "_"))
+    x = F.url_encode(c)
     for a, b in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.concat(F.lit(base), x)
+    return x
+
+
+def wiki_url(title: Column, base: str) -> Column:
+    """Blanks of the page's name become underscores; a section after # is kept and encoded by itself."""
+    at = F.instr(title, "#")
+    page, section = F.left(title, at - 1), F.substring(title, at + 1, F.length(title))
+    whole = F.concat(F.lit(base), _quote(F.translate(title, " ", "_")))
+    return F.when(at > 0, F.concat(F.lit(base), _quote(F.translate(page, " ", "_")), F.lit("#"), _quote(section))).otherwise(whole)
 
 
 def month_name(s: Column) -> Column:
@@ -85,6 +93,24 @@ def links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("label"), F.regexp_extract(m, pattern, 2).alias("href")))
 
 
+def article_links(text: Column, base: str) -> Column:
+    """Markdown links to articles only (/wiki/...), as an array of (label, href), in order; base is put before the addresses."""
+    found = F.filter(links(text), lambda x: x["href"].startswith("/wiki/") & (F.length(x["href"]) > 6))
+    return F.transform(found, lambda x: F.struct(x["label"].alias("label"), F.concat(F.lit(base), x["href"]).alias("href")))
+
+
+def link_map(links: Column) -> Column:
+    """links: array of (label, href). Label to address; the last link of a label wins."""
+    labels = F.transform(links, lambda x: x["label"])
+    last = F.filter(links, lambda x, i: ~F.array_contains(F.slice(labels, i + 2, F.greatest(F.size(labels) - i - 1, F.lit(0))), x["label"]))
+    return F.map_from_entries(last)
+
+
+def first_given(*columns: Column) -> Column:
+    """The first that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
 def anchors(html: Column) -> Column:
     """HTML anchors: an array of (label, href), in order."""
     pattern = '<a href="([^"]*)">([^<]*)</a>'

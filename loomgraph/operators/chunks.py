@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,24 +75,25 @@ def split_recursive(text: str, size: int = 2000, overlap: int = 128, separators:
     sep = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(sep) + 1 :]
     parts = list(text) if sep == "" else [p for p in text.split(sep) if p]
-    out, held = [], []
+    out, held, size_of, size_held = [], deque(), len(sep), 0  # size_held: of the held parts joined
 
     def close():
         joined = sep.join(held).strip()
         if joined:
             out.append(joined)
 
-    width = lambda xs: sum(map(len, xs)) + len(sep) * max(0, len(xs) - 1)
     for p in parts:
         if len(p) > size and finer:
             close()
             held.clear()
+            size_held = 0
             out += split_recursive(p, size, overlap, finer)
             continue
-        if held and width([*held, p]) > size:
+        if held and size_held + size_of + len(p) > size:
             close()
-            while held and (width(held) > overlap or width([*held, p]) > size):
-                held.pop(0)
+            while held and (size_held > overlap or size_held + size_of + len(p) > size):
+                size_held -= len(held.popleft()) + (size_of if held else 0)
+        size_held += len(p) + (size_of if held else 0)
         held.append(p)
     close()
     return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import cosine, entity_key, entity_uri
+from loomgraph.functions.names import fresh
+from loomgraph.functions.text import cosine, dot, entity_key, entity_uri
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -16,19 +19,21 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def as_of(probes: DataFrame, marks: DataFrame, by: list[str], at: str, mark: str, value: str, default: str | None = None) -> DataFrame:
     """Last mark at or before each probe, by union and a running last value: one shuffle by `by`, no range join."""
-    p = probes.select("*", F.lit(None).cast(marks.schema[value].dataType).alias("_v"), F.col(at).alias("_at"), F.lit(1).alias("_probe"))
-    m = marks.select(*by, F.col(value).alias("_v"), F.col(mark).alias("_at"), F.lit(0).alias("_probe"))
+    v, t, is_probe = fresh(probes.select("*", F.lit(0).alias(value)) if value not in probes.columns else probes, "_v", "_at", "_probe")
+    p = probes.select("*", F.lit(None).cast(marks.schema[value].dataType).alias(v), F.col(at).alias(t), F.lit(1).alias(is_probe))
+    m = marks.select(*by, F.col(value).alias(v), F.col(mark).alias(t), F.lit(0).alias(is_probe))
     x = p.unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_v", ignorenulls=True).over(w)
+    w = Window.partitionBy(*by).orderBy(t, is_probe).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(v, ignorenulls=True).over(w)
     x = x.withColumn(value, F.coalesce(found, F.lit(default)) if default is not None else found)
-    return x.where("_probe = 1").select(*probes.columns, value)
+    return x.where(F.col(is_probe) == 1).select(*probes.columns, value)
 
 
 def unchanged(new: DataFrame, signatures: DataFrame, keys: list[str], cid: str, from_cid: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose content has a signature already, and rows to work on: a semi and an anti join."""
-    sig = signatures.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(from_cid).alias("_from"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(cid) == F.col("_from")]
+    names = fresh(new, *[f"_{k}" for k in keys], "_from")
+    sig = signatures.select(*[F.col(k).alias(n) for k, n in zip(keys, names[:-1], strict=True)], F.col(from_cid).alias(names[-1]))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names[:-1], strict=True)] + [F.col(cid) == F.col(names[-1])]
     return new.join(sig, on, "left_semi"), new.join(sig, on, "left_anti")
 
 
@@ -92,9 +97,79 @@ def alias_targets(mentions: DataFrame) -> DataFrame:
 
 def lookup_entities(labels: DataFrame, label: str, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Each label's entity key as found: the alias's entity if the label is an alias, else the label's own; null if there is none."""
-    x = labels.withColumn("_k", entity_key(F.col(label)))
-    x = x.join(aliases.select(F.col("alias_key").alias("_k"), F.col("key").alias("_a")), "_k", "left").withColumn("_c", F.coalesce("_a", "_k"))
-    return x.join(entities.select(F.col("key").alias("_c"), F.col("key").alias("found")), "_c", "left").select(*labels.columns, "found")
+    k, a, c, found = fresh(labels, "_k", "_a", "_c", "found")
+    x = labels.withColumn(k, entity_key(F.col(label)))
+    x = x.join(aliases.select(F.col("alias_key").alias(k), F.col("key").alias(a)), k, "left").withColumn(c, F.coalesce(a, k))
+    return x.join(entities.select(F.col("key").alias(c), F.col("key").alias(found)), c, "left").select(*labels.columns, found)
+
+
+def endpoints(relations: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """relations: chunk, source_id, target_id, ...; mentions: chunk, id, label; entities: key, id.
+
+    Ids of a chunk's relations become those of the entities: by the chunk's own mentions, then by their labels in lower
+    case. Both ends must be among the chunk's mentions (of several with one id the least label); an end whose label is no
+    entity keeps its id.
+    """
+    rest = [c for c in relations.columns if c not in ("source_id", "target_id")]
+    one = mentions.groupBy("chunk", "id").agg(F.min("label").alias("label"))
+    known = one.join(entities.select("key", F.col("id").alias("global")), F.lower("label") == F.col("key"), "left")
+    end = lambda name: known.select("chunk", F.col("id").alias(name), F.coalesce("global", "id").alias(f"new_{name}"))
+    x = relations.join(end("source_id"), ["chunk", "source_id"]).join(end("target_id"), ["chunk", "target_id"])
+    return x.select(*rest, F.col("new_source_id").alias("source_id"), F.col("new_target_id").alias("target_id"))
+
+
+def merged_top_k(queries: DataFrame, terms: DataFrame, qid: str, tid: str, vocabulary: str, k: int = 5, least: float | None = 0.0) -> DataFrame:
+    """The k best of each vocabulary, then the k best of these, for each query; ties by id. Returns qid, vocabulary, tid, score, rank."""
+    pairs = terms.select(F.col(tid), F.col(vocabulary), F.col("embedding").alias("_t")).join(queries.select(F.col(qid), F.col("embedding").alias("_q")), F.lit(True))
+    scored = pairs.select(qid, vocabulary, tid, cosine(F.col("_q"), F.col("_t")).alias("score"))
+    if least is not None:
+        scored = scored.where(F.col("score") > least)
+    best = lambda x, *by: x.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), tid))).where(F.col("rank") <= k)
+    return best(best(scored, qid, vocabulary).drop("rank"), qid).select(qid, vocabulary, tid, "score", "rank")
+
+
+def library_search(queries: DataFrame, terms: DataFrame, qid: str, tid: str, kind: str, order: str, k: int = 20) -> DataFrame:
+    """qid, kind, tid, rank: the k best terms of all kinds by the plain product, then split by kind.
+
+    A query without an embedding gets the first k terms of each kind, in the library's order.
+    """
+    found = top_k(queries.where("embedding is not null"), terms, qid, tid, k, None, dot).select(qid, tid, "rank")
+    split = found.join(terms.select(tid, kind), tid).select(qid, kind, tid, F.row_number().over(Window.partitionBy(qid, kind).orderBy("rank")).alias("rank"))
+    first = terms.select(tid, kind, F.row_number().over(Window.partitionBy(kind).orderBy(order)).alias("rank")).where(F.col("rank") <= k)
+    return split.unionByName(queries.where("embedding is null").select(qid).join(first, F.lit(True)).select(qid, kind, tid, "rank"))  # k terms of each kind
+
+
+def nearest_rows(rows: DataFrame, vector: list[float], k: int = 10, *keys: str) -> DataFrame:
+    """The k rows least far from a vector, with their Euclidean distance."""
+    v = F.array(*[F.lit(float(x)) for x in vector])
+    gap = F.aggregate(F.zip_with("embedding", v, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select(*keys, F.sqrt(gap).alias("distance")).orderBy("distance", *keys).limit(k)
+
+
+def first_prefix(uris: DataFrame, uri: str, prefixes: DataFrame) -> DataFrame:
+    """uris with prefix: of the namespaces (ord, prefix, ns) that a URI begins with the first; null where there is none.
+
+    prefixes is a library's short list; the optimizer broadcasts it only below its own limit.
+    """
+    x = uris.select(uri).distinct().join(prefixes, F.expr(f"startswith({uri}, ns)")).groupBy(uri).agg(F.min_by("prefix", "ord").alias("prefix"))
+    return uris.join(x, uri, "left")
+
+
+def numbered(rows: DataFrame, order: str, name: str, per: int = 100_000) -> DataFrame:
+    """Adds the place of each row, from 1, in the order of a unique whole number; no window covers all rows.
+
+    Rows are dealt to equal ranges of the number, about `per` rows each if it is spread evenly; the counts of the
+    ranges before give each row's place.
+    """
+    r, c, before = fresh(rows, "_range", "_count", "_before")
+    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count(order)).first()
+    ranges = max(1, -(-n // per))
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
+    x = rows.withColumn(r, F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)))
+    counts = x.groupBy(r).agg(F.count("*").alias(c))
+    counts = counts.select(r, (F.sum(c).over(Window.orderBy(r)) - F.col(c)).alias(before))  # a row for each range
+    place = F.col(before) + F.row_number().over(Window.partitionBy(r).orderBy(order))
+    return x.join(counts, r).withColumn(name, place).drop(r, before)
 
 
 def weighted_sample(rows: DataFrame, key: str, weight: Column, k: int, seed: str = "42") -> DataFrame:
@@ -103,15 +178,18 @@ def weighted_sample(rows: DataFrame, key: str, weight: Column, k: int, seed: str
     return rows.orderBy(-F.log(u) / weight, key).limit(k)
 
 
-def seeded_split(rows: DataFrame, key: str, share: float, seed: str = "42") -> DataFrame:
+def seeded_split(rows: DataFrame, key: str, share: float, seed: str = "42", per: int = 100_000) -> DataFrame:
     """Adds split: train for floor(share * n) rows in the order of a hash, else dev.
 
-    Places are counted by range-partitioned sort, not in one task: the hash is uniform, so its leading byte
-    deals the rows; the counts of the leading bytes before give each row's place.
+    Places are counted range by range, not in one task: the hash is uniform, so its leading digits deal the rows, as
+    many of them as leave about `per` rows to a range; the counts of the ranges before give each row's place.
     """
-    x = rows.withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 2))
-    counts = x.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    split = F.when(place <= F.floor(F.col("_all") * F.lit(share)), "train").otherwise("dev")
-    return x.join(F.broadcast(before), "_b").withColumn("split", split).drop("_h", "_b", "_before", "_all")  # 256 rows
+    h, b, n, before, every = fresh(rows, "_h", "_b", "_n", "_before", "_all")
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / per), 16)))
+    x = rows.withColumn(h, F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))).withColumn(b, F.substring(h, 1, digits))
+    counts = x.groupBy(b).agg(F.count("*").alias(n))
+    up_to = F.sum(n).over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select(b, (up_to - F.col(n)).alias(before), F.sum(n).over(Window.partitionBy(F.lit(1))).alias(every))  # a row for each range
+    place = F.col(before) + F.row_number().over(Window.partitionBy(b).orderBy(h, key))
+    split = F.when(place <= F.floor(F.col(every) * F.lit(share)), "train").otherwise("dev")
+    return x.join(counts, b).withColumn("split", split).drop(h, b, before, every)

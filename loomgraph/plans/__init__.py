@@ -1,5 +1,5 @@
 """Registered queries."""
 
-from loomgraph.plans import catalogue, extraction
+from loomgraph.plans import catalogue, extraction, records
 
-__all__ = ["catalogue", "extraction"]
+__all__ = ["catalogue", "extraction", "records"]

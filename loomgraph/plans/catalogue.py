@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import render as N
 from loomgraph.functions import text as T
 from loomgraph.functions.cid import cid, cid_to_uri, uri_to_cid
 from loomgraph.operators import chunks as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import relational as R
 from loomgraph.session import table
+from loomgraph.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,15 +121,19 @@ def wiki_url_encode(spark, sf_dir):
 @query(f"""WITH {ANCHORS_SQL} SELECT key, arg_min(label, ord) AS label, arg_max(href, ord) AS uri, count(DISTINCT page_id) AS n_pages,
 array_to_string(list_sort(list_distinct(list(label))), '|') AS aliases FROM (SELECT *, page_id * 100000 + pos AS ord, {KEY_SQL.format(x='label')} AS key FROM a) GROUP BY key""")
 def registry_upsert(spark, sf_dir):
-    x = anchors(spark, sf_dir).select(T.entity_key(F.col("label")).alias("key"), (F.col("page_id") * 100000 + F.col("pos")).alias("ord"), "label", F.lit("Thing").alias("type"), F.col("href").alias("uri"), F.lit(None).cast("string").alias("description"), F.col("page_id").alias("chunk"), F.col("label").alias("alias"))
+    x = anchors(spark, sf_dir).select(T.entity_key(F.col("label")).alias("key"), F.struct("page_id", "pos").alias("ord"), "label", F.lit("Thing").alias("type"), F.col("href").alias("uri"), F.lit(None).cast("string").alias("description"), F.col("page_id").alias("chunk"), F.col("label").alias("alias"))
     return R.upsert_entities(x).select("key", "label", "uri", F.size("source_chunks").cast("long").alias("n_pages"), F.array_join("aliases", "|").alias("aliases"))
 
 
 @query(f"""WITH {ANCHORS_SQL}, k AS (SELECT {KEY_SQL.format(x='label')} AS key, min(label) AS canonical FROM a GROUP BY 1)
 SELECT page_id, pos, label, canonical FROM a LEFT JOIN k ON {KEY_SQL.format(x='a.label')} = k.key""")
 def alias_lookup(spark, sf_dir):
-    a = anchors(spark, sf_dir).withColumn("key", T.entity_key(F.col("label")))
-    return a.join(a.groupBy("key").agg(F.min("label").alias("canonical")), "key", "left").select("page_id", "pos", "label", "canonical")
+    """Each label is an alias of the least label with its key."""
+    a = anchors(spark, sf_dir)
+    aliases = R.alias_targets(a.select(F.col("label").alias("alias"), F.col("label").alias("key"), F.struct(F.lit(0).alias("o")).alias("ord"))).select("alias_key")
+    least = a.groupBy(T.entity_key(F.col("label")).alias("alias_key")).agg(F.min("label").alias("key"))
+    x = R.lookup_entities(a, "label", least.select("key"), aliases.join(least, "alias_key"))
+    return x.select("page_id", "pos", "label", F.col("found").alias("canonical"))
 
 
 def region_text(spark, sf_dir):
@@ -255,21 +261,15 @@ def bgp_count(spark, sf_dir):
     return G.match(order_triples(spark, sf_dir), [("?order", "ex:customer", "?customer"), ("?order", "ex:status", '"F"')]).groupBy("customer").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS u, 'n' || c_nationkey AS v FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS u, 'n' || c_nationkey AS v FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
 w AS (SELECT DISTINCT u AS root, u AS node, 0 AS depth FROM e WHERE u LIKE 'o%' UNION ALL SELECT root, v, depth + 1 FROM w JOIN e ON node = u WHERE depth < 3) SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2""")
 def prov_chain(spark, sf_dir):
     """Lineage: order, customer, nation, region."""
-    part = lambda t, a, b, x, y, w="true": table(spark, sf_dir, t).where(w).select(F.concat(F.lit(x), a).alias("u"), F.concat(F.lit(y), b).alias("v"))
-    e = part("customer", "c_custkey", "c_nationkey", "c", "n").unionByName(part("nation", "n_nationkey", "n_regionkey", "n", "r")).unionByName(part("orders", "o_orderkey", "o_custkey", "o", "c", "o_orderkey % 7 = 0"))
+    part = lambda t, a, b, x, y: table(spark, sf_dir, t).select(F.concat(F.lit(x), a).alias("u"), F.concat(F.lit(y), b).alias("v"))
+    e = part("customer", "c_custkey", "c_nationkey", "c", "n").unionByName(part("nation", "n_nationkey", "n_regionkey", "n", "r")).unionByName(part("orders", "o_orderkey", "o_custkey", "o", "c"))
     return G.hops(e, e.where("u like 'o%'").select("u").distinct(), 3)
 
 
-@query("""SELECT doc_id, '<ipfs://' || sha256(text) || '>' || chr(10) || '    a prov:Entity, repro:Data ;' || chr(10) || '    dcterms:identifier "' || sha256(text) || '" ;' || chr(10) || '    rdfs:label "' || source || '" .' AS ttl FROM documents""")
-def prov_ttl(spark, sf_dir):
-    h = F.sha2("text", 256)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<ipfs://"), h, F.lit('>\n    a prov:Entity, repro:Data ;\n    dcterms:identifier "'), h, F.lit('" ;\n    rdfs:label "'), "source", F.lit('" .')).alias("ttl"))
-
-
 COS_SQL = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(t.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])))"
 
 
@@ -297,8 +297,12 @@ def mock_embedding(spark, sf_dir):
 
 @query("SELECT 'User ' || user_id AS title, count(*) AS views FROM events WHERE user_id % 10 <> 0 GROUP BY user_id ORDER BY views DESC, user_id LIMIT 50")
 def pageviews_top(spark, sf_dir):
-    x = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("views")).where("user_id % 10 <> 0")
-    return x.orderBy(F.desc("views"), "user_id").limit(50).select(F.translate(F.concat(F.lit("User_"), "user_id"), "_", " ").alias("title"), "views")
+    """A response of the service, the thousand users with most events as its articles, read by the reader."""
+    x = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("views")).orderBy(F.desc("views"), "user_id").limit(1000)
+    article = F.concat(F.when(F.col("user_id") % 10 == 0, "Special:").otherwise(""), F.lit("User_"), "user_id")
+    a = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("views")).alias("o"), "user_id", article.alias("article"), "views"))), lambda r: F.struct(r["article"].alias("article"), r["views"].alias("views")))
+    response = x.agg(F.to_json(F.struct(F.array(F.struct(a.alias("articles"))).alias("items"))).alias("value"))
+    return readers.top_pages(response, 50)
 
 
 @query("""SELECT user_id, views FROM (SELECT user_id, count(*) AS views FROM events GROUP BY 1) ORDER BY -ln((CAST(('0x' || substr(md5('42:' || user_id), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0) / sqrt(views), user_id LIMIT 40""")
@@ -396,7 +400,7 @@ def prefix_block(spark, sf_dir):
 def kg_entities(spark, sf_dir):
     """Entities by label in lower case, numbered in the order of their first mention."""
     e = table(spark, sf_dir, "customer").groupBy(F.lower("c_mktsegment").alias("key")).agg(F.min("c_custkey").alias("first"))
-    return e.select("key", "first", F.concat(F.lit("segment_"), F.row_number().over(Window.orderBy("first"))).alias("id"))
+    return R.numbered(e, "first", "n").select("key", "first", F.concat(F.lit("segment_"), "n").alias("id"))
 
 
 @query("""SELECT o_orderkey, coalesce(c_name, '?') AS source_label, coalesce(n_name, '?') AS target_label FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 11 <> 0) ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
@@ -420,15 +424,13 @@ def sig_parse(spark, sf_dir):
 
 @query("""SELECT doc_id, '**Context:** ' || source || chr(10) || '**Chunk:** 1 of 1' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) AS cell FROM documents""")
 def render_chunk_cell(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("**Context:** "), "source", F.lit("\n**Chunk:** 1 of 1\n\n---\n\n"), "text", F.lit("\n")).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.chunk_cell(F.col("source"), F.lit(1), F.lit(1), F.col("text")).alias("cell"))
 
 
-@query("""SELECT conv_id, '**Statements:** ' || count(*) || chr(10) || chr(10) || string_agg((turn + 1) || '. ' || CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END, chr(10) ORDER BY turn) AS cell FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text FROM conversations) GROUP BY conv_id""")
+@query("""SELECT conv_id, '**Context:** Conversation' || chr(10) || '**Chunk:** 1 of 1' || chr(10) || '**Statements:** ' || count(*) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg((turn + 1) || '. ' || text, chr(10) ORDER BY turn) || chr(10) AS cell FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text FROM conversations) GROUP BY conv_id""")
 def render_statements(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    short = lambda x: F.when(F.length(x) > 60, F.concat(F.left(x, F.lit(60)), F.lit("..."))).otherwise(x)
-    lines = F.transform("t", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), short(x["text"])))
-    return c.select("conv_id", F.concat(F.lit("**Statements:** "), F.size("t"), F.lit("\n\n"), F.array_join(lines, "\n")).alias("cell"))
+    return c.select("conv_id", N.statements_cell(F.lit("Conversation"), F.lit(1), F.lit(1), F.transform("t", lambda x: x["text"])).alias("cell"))
 
 
 @query("""WITH s AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents), u AS (SELECT doc_id, l, len(l) AS n, unnest(range(0, len(l) + 1)) AS i FROM s)

@@ -14,6 +14,7 @@ from loomgraph.operators import wikitext as W
 from loomgraph.plans.catalogue import ANCHORS_SQL, COS_SQL, TRIPLES_SQL, anchors, body, cid_sql, incr_status, judge_completion, order_triples, query, turtle_block, vocab_topk
 from loomgraph.plans.catalogue import ORACLES
 from loomgraph.session import table
+from loomgraph.sources import artefacts as A
 from loomgraph.sources import readers
 
 LINES_SQL = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '')"
@@ -218,4 +219,5 @@ def turtle_validity(spark, sf_dir):
 @query("SELECT o_custkey AS slug, arg_max(o_orderkey, o_orderkey) AS run, count(*) AS n_runs FROM orders GROUP BY 1")
 def latest_run(spark, sf_dir):
     """Runs of each article (customer), and the one that a later run continues."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("slug")).agg(F.max("o_orderkey").alias("run"), F.count("*").alias("n_runs"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("slug"), F.col("o_orderkey").alias("run"))
+    return A.latest(runs, ["slug"], "run").join(runs.groupBy("slug").agg(F.count("*").alias("n_runs")), "slug").select("slug", "run", "n_runs")

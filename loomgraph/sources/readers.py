@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.cid import cid as content_id
+from loomgraph.functions.names import fresh
+from loomgraph.functions.provenance import parse_signature
 from loomgraph.functions.text import strip
 
 #: Titles and prefixes that page lists leave out.
@@ -76,7 +79,8 @@ def cell_body(source: Column) -> Column:
 def chunk_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     """by, chunk_num (from 0), section_context, text, cid of chunk cells."""
     n = F.regexp_extract(head_value(F.col("source"), "Chunk"), r"^(\d+)", 1).try_cast("int")
-    cid = F.coalesce(F.try_variant_get("sig", '$["dcterms:identifier"]', "string"), F.try_variant_get("sig", "$.cid", "string"), F.lit(""))
+    own = F.coalesce(F.try_variant_get("sig", '$["dcterms:identifier"]', "string"), F.try_variant_get("sig", "$.cid", "string"))
+    cid = F.coalesce(F.nullif(own, F.lit("")), content_id(F.col("source")))
     x = signed_cells(cells, by, "chunk")
     return x.select(*by, (F.coalesce(n, F.lit(1)) - 1).alias("chunk_num"), F.coalesce(head_value(F.col("source"), "Context"), F.lit("")).alias("section_context"), cell_body(F.col("source")).alias("text"), cid.alias("cid"))
 
@@ -87,3 +91,89 @@ def statement_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     n = F.regexp_extract(head_value(F.col("source"), "Chunk"), r"^(\d+)", 1).try_cast("int")
     x = signed_cells(cells, by, "statements")
     return x.select(*by, n.alias("chunk_num"), F.coalesce(head_value(F.col("source"), "Context"), F.lit("")).alias("section_context"), F.transform(lines, lambda s: F.regexp_replace(s, r"^\d.*?\. ", "")).alias("statements"))
+
+
+def _pairs(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Each cell with the type (next) and source (raw) of the one after it."""
+    w = Window.partitionBy(*by).orderBy("cell_idx")
+    return cells.select(*by, "cell_idx", "cell_type", "source", F.lead("cell_type").over(w).alias("next"), F.lead("source").over(w).alias("raw"))
+
+
+def sample_pages(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, title, views of sampled pages: pairs of raw cells from the second cell on; views default to 0, bad JSON is passed over."""
+    x = _pairs(cells, by).where("cell_type = 'raw' and next = 'raw' and cell_idx % 2 = 1")
+    v, s = F.try_parse_json("source"), F.try_parse_json("raw")
+    x = x.select(*by, "cell_idx", F.try_variant_get(v, "$.title", "string").alias("title"), F.coalesce(F.try_variant_get(v, "$.views", "long"), F.lit(0)).alias("views"), F.try_variant_get(s, "$._type", "string").alias("kind"))
+    return x.where("kind = 'sample_page' and title is not null").drop("kind")
+
+
+def content_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """First layout of chunks and facts: markdown cells from the third on, with or without a signature.
+
+    by, cell_num, content, text, breadcrumb, cid: number and id are the signature's, else the place among the
+    notebook's content cells and the id of the content.
+    """
+    x = _pairs(cells, by).where("cell_type = 'markdown' and cell_idx >= 2").withColumn("sig", parse_signature(F.col("raw")))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("cell_idx"))
+    found = F.regexp_extract("source", r"\*\*Context:\*\*\s*(.+)", 1)
+    at = F.instr("source", "---\n")
+    text = F.when(at > 0, strip(F.substring(F.col("source"), at + 4, F.length("source")))).otherwise(F.col("source"))
+    return x.select(
+        *by, F.coalesce("sig.cell", place).alias("cell_num"), F.col("source").alias("content"), text.alias("text"), F.coalesce(F.nullif(found, F.lit("")), F.lit("Unknown")).alias("breadcrumb"),
+        F.coalesce("sig.cid", content_id(F.col("source"))).alias("cid"),
+    )
+
+
+def fact_sets(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Facts of the first layout: by, chunk_num, section_context, statements (lines after ---, marked by a dash), cid, from_cid.
+
+    Cells without such a line are left out.
+    """
+    x = _pairs(cells, by).where("cell_type = 'markdown' and next = 'raw'").withColumn("v", F.try_parse_json("raw"))
+    get = lambda p: F.try_variant_get("v", p, "string")
+    lines = F.filter(F.split(cell_body(F.col("source")), "\n"), lambda s: s.startswith("- "))
+    n = F.regexp_extract(head_value(F.col("source"), "Chunk"), r"(\d+) of \d+", 1).try_cast("int")
+    x = x.where((get("$.type") == "facts") & F.col("source").contains("**Context:**"))
+    out = x.select(*by, n.alias("chunk_num"), F.coalesce(strip(head_value(F.col("source"), "Context")), F.lit("")).alias("section_context"), F.transform(lines, lambda s: strip(F.substring(s, 3, 1 << 30))).alias("statements"), get("$.cid").alias("cid"), get("$.from_cid").alias("from_cid"))
+    return out.where("size(statements) > 0")
+
+
+CLASSIFICATION = "struct<index:long,statement:string,classification:string,reason:string>"
+
+
+def classification_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, chunk_num, classifications, missing_facts, score, cid, from_cid: what the signatures of classification cells carry."""
+    x = signed_cells(cells.where("cell_idx >= 1"), by, "classifications")
+    get = lambda p, t: F.try_variant_get("sig", p, t)
+    return x.select(
+        *by, F.coalesce(get("$._chunk_num", "int"), F.lit(0)).alias("chunk_num"),
+        F.coalesce(F.from_json(get("$._classification_data.classifications", "string"), f"array<{CLASSIFICATION}>"), F.array().cast(f"array<{CLASSIFICATION}>")).alias("classifications"),
+        F.coalesce(get("$._classification_data.missing_facts", "string"), F.lit("")).alias("missing_facts"), F.coalesce(get("$._classification_data.score", "double"), F.lit(0.0)).alias("score"),
+        get('$["dcterms:identifier"]', "string").alias("cid"), F.regexp_replace(F.coalesce(get('$["prov:wasDerivedFrom"]["@id"]', "string"), F.lit("")), "ipfs://", "").alias("from_cid"),
+    )
+
+
+def with_hints(terms: DataFrame, hints: DataFrame, label: str = "label") -> DataFrame:
+    """terms with usage_hint: hints (label, hint) by label; null where there is none."""
+    (h,) = fresh(terms, "_label")
+    known = hints.select(F.col(label).alias(h), F.col("hint").alias("usage_hint"))
+    return terms.join(known, F.col(label) == F.col(h), "left").drop(h)
+
+
+def term_counts(terms: DataFrame) -> DataFrame:
+    return terms.agg(F.count_if(F.col("term_type") == "class").alias("n_classes"), F.count_if(F.col("term_type") == "property").alias("n_properties"), F.count("*").alias("n_terms"))
+
+
+def usable_facts(facts: DataFrame, text: str, statements: str) -> DataFrame:
+    """Cells that hold no error and at least one statement."""
+    return facts.where(~F.coalesce(F.col(text), F.lit("")).startswith("# Error:") & (F.size(statements) > 0))
+
+
+def bad_classifications(found: DataFrame) -> DataFrame:
+    """Rows of classification_cells(): the statements that are BAD, one a row."""
+    rest = [c for c in found.columns if c != "classifications"]
+    return found.select(*rest, F.inline("classifications")).where("classification = 'BAD'")
+
+
+def with_missing_facts(found: DataFrame) -> DataFrame:
+    return found.where("missing_facts <> '' and lower(missing_facts) <> 'none'")
