@@ -5,11 +5,14 @@ slots, and the bitwise and of an n-gram's slots is the set of all languages that
 vote by population counts for each language, from which the share that false positives alone would give (the
 filter's fill to the power of probes) is taken out; the language with the highest corrected share decides.
 
+A slot is one number of 8 to 64 bits; beyond 64 languages it has several.
+
 Learned are the n-grams whose share of a language's n-grams is at least `least_share`, so a language has at
 most 1 / least_share of them and the filter's size is fixed. Counts cover all training texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is every text if nothing
-could be learned. Ties go to the first language in order. Repeated rows get equal results.
+could be learned. Ties go to the first language in order. Repeated rows get equal results; a null key stays null. Texts of
+any length are read whole, empty tables give empty results, extra columns are never read.
 """
 
 from __future__ import annotations
@@ -92,35 +95,34 @@ def fit(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[list[str], n
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rows = counts.join(total, "lang").where(F.col("n") >= F.col("total") * least_share).select("lang", "g").toPandas()
     langs = sorted(rows["lang"].unique())
-    if len(langs) > 64:
-        raise ValueError("a slot has 64 bits")
-    kind = next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(langs) <= n)
-    table_ = np.zeros(SLOTS, kind)
+    kind = next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (1 << 30, np.uint64)) if len(langs) <= n)
+    table_ = np.zeros((max(1, -(-len(langs) // 64)), SLOTS), kind)
     for i, lang in enumerate(langs):
         g = rows.loc[rows["lang"] == lang, "g"].to_numpy(np.int64).astype(np.uint32)
         for p in range(PROBES):
-            table_[slots(g, p)] |= kind(1 << i)
+            table_[i // 64, slots(g, p)] |= kind(1 << i % 64)
     return langs, table_
 
 
 def predict(docs: DataFrame, langs: list[str], filter_: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns key, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)  # at most 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)  # at most 8 MB for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = shared.value
         kind = slot.dtype.type
-        noise = np.array([np.mean((slot >> kind(i)) & kind(1)) ** PROBES for i in range(len(langs))])
+        bit = lambda x, i: (x[i // 64] >> kind(i % 64)) & kind(1)
+        noise = np.array([np.mean(bit(slot, i)) ** PROBES for i in range(len(langs))])
         for b in slices(batches, 4 << 20):
             texts, letters = b.column(1).to_pylist(), b.column(2).to_pylist()
             code, size = grams(texts)
-            found = slot[slots(code, 0)]
+            found = slot[:, slots(code, 0)]
             for p in range(1, PROBES):
-                found &= slot[slots(code, p)]
+                found &= slot[:, slots(code, p)]
             ends = np.cumsum(size)
             share = np.zeros((len(texts), len(langs)))
             for i in range(len(langs)):
-                total = np.concatenate([[0], np.cumsum((found >> kind(i)) & kind(1), dtype=np.int64)])
+                total = np.concatenate([[0], np.cumsum(bit(found, i), dtype=np.int64)])
                 hits = total[ends] - total[ends - size]
                 share[:, i] = np.clip((hits / np.maximum(size, 1) - noise[i]) / max(1e-9, 1 - noise[i]), 0, 1)
             best = share.argmax(axis=1) if langs else np.zeros(len(texts), int)

@@ -111,6 +111,27 @@ def test_language_id_edges(spark):
     assert {r.lang_pred for r in language_id.predict(docs, langs, f).collect()} == {"und"}
 
 
+def test_language_id_with_many_languages(spark):
+    """More languages than a number has bits; hits recomputed by sets."""
+    import numpy as np
+
+    text = lambda i: f"{chr(0x4E00 + 5 * i)}{chr(0x4E01 + 5 * i)}{chr(0x4E02 + 5 * i)} word"
+    rows = [(i, text(i), f"l{i:03}", "k", "g") for i in range(70)]
+    docs = spark.createDataFrame([*rows, (None, text(3), None, "k", "g")], "doc_id long, text string, lang string, key string, g string")
+    langs, f = language_id.fit(docs.select("text", "lang"), least_share=0.0)
+    assert len(langs) == 70 and f.shape == (2, language_id.SLOTS)
+    got = {r.key: (r.lang_pred, r.score) for r in language_id.predict(docs, langs, f).collect()}
+    assert {k: x for k, (x, _) in got.items()} == {i: f"l{i:03}" for i in range(70)} | {None: "l003"}
+    of = [set(language_id.grams([text(i)])[0].tolist()) for i in range(70)]
+    code = language_id.grams([text(5)])[0]
+    noise = [float(np.mean((f[i // 64] >> np.uint64(i % 64)) & np.uint64(1))) ** language_id.PROBES for i in range(70)]
+    share = [max(0.0, (sum(c in of[i] for c in code.tolist()) / len(code) - noise[i]) / (1 - noise[i])) for i in range(70)]
+    assert abs(got[5][1] - share[5] / sum(share)) < 1e-9
+    long = spark.createDataFrame([(1, text(1) * 50_000, "x")], "doc_id long, text string, key string")
+    assert language_id.predict(long, langs, f).first().lang_pred == "l001"
+    assert language_id.predict(docs.limit(0), langs, f).count() == 0
+
+
 def test_bloom_has_no_false_negatives(spark):
     import numpy as np
 
