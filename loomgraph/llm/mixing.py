@@ -70,16 +70,24 @@ aggregate(items, named_struct('k', cast(null as bigint), 's', 0L, 'p', 0D, 'done
 
 
 def pivotal(rows: DataFrame, most_rows: int, seed: int = 0, fan_in: int = 64) -> DataFrame:
-    """rows: src, k (a long that names the row), s (size over 0), p (in [0, 1)). Returns src, k, s, x (0 or 1).
+    """rows: src, k (a long that names the row), s (size over 0), p (in [0, 1)). Returns src, k, s, x (0 or 1), m (how many rows).
 
-    most_rows: of one source; from it follows the number of levels. Rows that share a k stay apart.
+    most_rows: of one source; from it follows the number of levels. Rows that are equal in all four are counted and settled
+    among themselves first: m of them take floor(m * p) and leave one row with the rest, so no group of copies is ever in
+    one bucket.
     """
     done, level = [], 0
-    whole = rows.where("p <= 0").select("src", "k", "s", F.lit(0).cast("long").alias("x"))
-    rows = rows.where("p > 0")
+    by = rows.groupBy("src", "k", "s", "p").agg(F.count("*").alias("m"))
+    by = by.withColumn("all", F.col("m") * F.col("p"))
+    # what remains of several copies is kept to a whole number where it is one but for the last digits
+    part = F.when(F.abs(F.col("all") - F.round("all")) < 1e-9 * F.col("m"), 0.0).otherwise(F.col("all") - F.floor("all"))
+    by = by.withColumn("rest", F.when(F.col("m") == 1, F.col("p")).otherwise(part)).withColumn("up", F.round(F.col("all") - F.col("rest")).cast("long"))
+    by = scratch(by.select("src", "k", "s", "m", "rest", "up"), "copies")
+    certain = by.select("src", "k", "s", F.lit(1).cast("long").alias("x"), F.col("up").alias("m")).unionByName(by.select("src", "k", "s", F.lit(0).cast("long").alias("x"), (F.col("m") - F.col("up") - (F.col("rest") > 0).cast("long")).alias("m")))
+    rows = by.where("rest > 0").select("src", "k", "s", F.col("rest").alias("p"))
     while True:
         buckets = max(1, -(-most_rows // fan_in))
-        x = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k"), F.lit(buckets)))
+        x = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k", "s"), F.lit(buckets)))
         x = x.withColumn("u", _uniform(F.lit(seed + 1), F.lit(level), F.col("k"), F.col("s")))
         x = x.groupBy("src", "b").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "u", "k", "s", "p"))).alias("items"))
         x = scratch(x.select("src", F.expr(_FOLD).alias("f")).select("src", "f.*"), f"pivotal{level}")
@@ -89,14 +97,14 @@ def pivotal(rows: DataFrame, most_rows: int, seed: int = 0, fan_in: int = 64) ->
             last = rows.select("src", "k", "s", F.when(F.col("p") >= 0.5, 1).otherwise(0).cast("long").alias("x"))
             break
         most_rows = buckets
-    out = whole.unionByName(last)
+    out = last
     for d in done:
         out = out.unionByName(d)
-    return out
+    return out.withColumn("m", F.lit(1).cast("long")).unionByName(certain.where("m > 0"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, seed: int = 0, fan_in: int = 64) -> DataFrame:
-    """Returns key, src, size, source_size, target, copies: one row for each row of docs."""
+def mix_counts(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float, ...], most_copies: int, seed: int, fan_in: int) -> DataFrame:
+    """Returns key, src, size, source_size, target, copies, m: m rows of docs are taken `copies` times each."""
     # the words of the texts are counted once, into a narrow table
     sizes = scratch(docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{source}`").alias("src"), count_words(F.col(f"`{text}`")).alias("size")), "sizes")
     targets = scratch(source_targets(sizes, weights, most_copies), "targets")
@@ -106,12 +114,19 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     q = F.try_divide(F.col("target"), F.col("source_size"))
     x = sizes.where("size > 0").alias("a").join(targets.alias("t"), same).select("k", "a.src", F.col("size").alias("s"), "source_size", "target", F.floor(q).alias("whole"), (q - F.floor(q)).alias("p"))
     rounded = pivotal(x.select("src", "k", "s", "p"), most, seed, fan_in)
-    taken = rounded.alias("a").join(targets.alias("t"), same).select("k", "a.src", F.col("s").alias("size"), "source_size", "target", (F.floor(q) + F.col("x")).alias("copies"))
-    none = sizes.where("size = 0").alias("a").join(targets.alias("t"), same).select("k", "a.src", "size", "source_size", "target", F.lit(0).cast("long").alias("copies"))
+    taken = rounded.alias("a").join(targets.alias("t"), same).select("k", "a.src", F.col("s").alias("size"), "source_size", "target", (F.floor(q) + F.col("x")).alias("copies"), "m")
+    none = sizes.where("size = 0").alias("a").join(targets.alias("t"), same).select("k", "a.src", "size", "source_size", "target", F.lit(0).cast("long").alias("copies"), F.lit(1).cast("long").alias("m"))
     return taken.unionByName(none)
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, seed: int = 0, fan_in: int = 64) -> DataFrame:
+    """Returns key, src, size, source_size, target, copies: one row for each row of docs."""
+    x = mix_counts(docs, key, text, source, weights, most_copies, seed, fan_in)
+    one = x.where("m = 1").drop("m")
+    return one.unionByName(x.where("m > 1").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("i", "m"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, seed: int = 0, fan_in: int = 64) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with docs' own columns.
 
     Rows are named by a hash of all their columns; rows that are equal in all columns are one row with
@@ -119,7 +134,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """
     h, c = fresh(docs, "_row", "_copies")
     x = docs.select("*", F.xxhash64(*[F.col(f"`{n}`") for n in docs.columns]).alias(h))
-    copies = mix(x, h, text, source, **how).groupBy(F.col("k").alias(h)).agg(F.sum("copies").alias(c)).where(F.col(c) > 0)
+    copies = mix_counts(x, h, text, source, weights, most_copies, seed, fan_in).groupBy(F.col("k").alias(h)).agg(F.sum(F.col("copies") * F.col("m")).alias(c)).where(F.col(c) > 0)
     first = x.dropDuplicates([h])
     return first.join(copies, h).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(c)))).select(*[F.col(f"`{n}`") for n in docs.columns])
 

@@ -72,3 +72,22 @@ def test_mixed_rows_and_empty(spark):
     assert out.count() == sum(want.values())
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_mix_settles_copies_by_count(spark):
+    """Many equal rows: their number is that of their part, but for one; expectations are kept over seeds."""
+    rows = [(7, "w w", "en", "hot", 1, "x")] * 500 + [(i, "v " * (1 + i % 5), "en", "other", 1, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    out = mixing.mix(docs, fan_in=4).collect()
+    assert len(out) == len(rows)
+    hot = [r for r in out if r.src == "hot"]
+    q = hot[0].target / hot[0].source_size
+    assert abs(sum(r.copies for r in hot) - 500 * q) < 1 and {r.copies for r in hot} <= {int(q), int(q) + 1}
+    sizes = spark.createDataFrame([("a", i, 1 + i % 7, 0.37) for i in range(40)], "src string, k long, s long, p double")
+    total = Counter()
+    for seed in range(40):
+        got = mixing.pivotal(sizes, 40, seed=seed, fan_in=8).collect()
+        assert len(got) == 40 and abs(sum(r.s * r.x for r in got) - 0.37 * sum(1 + i % 7 for i in range(40))) <= 3.5
+        total.update({r.k: r.x for r in got})
+    # 1,600 draws with mean 0.37
+    assert abs(sum(total.values()) / 1600 - 0.37) < 0.03 and max(total.values()) < 30
