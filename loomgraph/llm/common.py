@@ -9,6 +9,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.names import fresh
+
+__all__ = ["count_words", "discard", "fresh", "scratch", "shared_dir", "slices", "table", "tasks", "words"]
+
 #: White space that parts words: 0x20 and 0x09 to 0x0D. bytes.split() parts at the same six.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -18,17 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that the frame doesn't have (names are compared without case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
 def words(text: Column) -> Column:
     """The words of a text, none for null."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

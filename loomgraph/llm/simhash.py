@@ -9,15 +9,18 @@ the Manhattan bound, then against the Hamming distance itself.
 
 Equal fingerprints are one node, so copies never meet each other. Within a cell a spanning forest is made,
 never all pairs: pivots link all that is near them, then the parts that pivots left apart are compared, each
-but the largest against all other parts. A cell holds 8 bytes for each distinct fingerprint.
+but the largest against all other parts. A task holds the fingerprints of one cell, at most `largest` of them: the
+members of larger cells are parted once more in the same way, by groups of the segments that the cell leaves free
+(two vectors differ in at most three of these too), and meet in those smaller cells.
 
 Fingerprints of texts that share 0.8 of their five-word shingles differ in about 3 to 12 bits, too many for the
 grid. near_duplicates(least=0.8), which the pipeline uses, therefore adds candidates that agree in randomly drawn
-bits and differ in at most 14, and lets their shingle sets decide. Here the bits don't decide, so a forest would
+bits and differ in at most 16, and lets their shingle sets decide. Here the bits don't decide, so a forest would
 hide pairs behind candidates that fail: every pair of a cell is a candidate, unless it is linked already.
 
-Defined results: a null or empty text has fingerprint zero and is linked like any other. Repeated rows get
-equal results. Empty tables give empty results.
+Defined results: a null or empty text has fingerprint zero and is linked like any other. Repeated rows, and rows that
+share a key, get a row each; a null key is no candidate for the smallest key of a group. Empty tables give empty results;
+extra columns are never read by near_duplicates() and kept by keep_one(). Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from loomgraph.llm.components import Forest, components
 
 LOW = 0x5555555555555555
 #: Candidates of similar texts: masks, bits in each, masks of the first round, most differing bits.
-TABLES, BITS, FIRST, WIDE = 128, 22, 8, 14
+TABLES, BITS, FIRST, WIDE = 192, 20, 8, 16
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -78,6 +81,13 @@ def masks(groups: int = 6, agree: int = 3) -> list[int]:
     return [sum(part[g] for g in c) for c in combinations(range(groups), agree)]
 
 
+def submasks(mask: int, groups: int = 6, agree: int = 3) -> list[int]:
+    """For a cell whose members agree in the segments of `mask`: the choices of groups of the other segments that must agree."""
+    free = [i for i in range(32) if not mask >> 2 * i & 3]
+    part = [sum(3 << 2 * i for i in free[len(free) * g // groups : len(free) * (g + 1) // groups]) for g in range(groups)]
+    return [sum(part[g] for g in c) for c in combinations(range(groups), agree)]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -129,7 +139,7 @@ def cell_forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(fps: DataFrame, most: int = 3, groups: int = 6, agree: int = 3) -> DataFrame:
+def links(fps: DataFrame, most: int = 3, groups: int = 6, agree: int = 3, largest: int = 4096) -> DataFrame:
     """fps: fp, distinct. Returns u, v: links that join all fingerprints within `most` bits of each other."""
     if groups - most < agree:
         raise ValueError("distance could touch more groups than may differ")
@@ -137,7 +147,7 @@ def links(fps: DataFrame, most: int = 3, groups: int = 6, agree: int = 3) -> Dat
     low = F.lit(LOW)
     half = F.shiftrightunsigned(fp, 1)
     emb = fp.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
-    return cell_links(fps.select("fp", emb.alias("e")), masks(groups, agree), most, True)
+    return cell_links(fps.select("fp", emb.alias("e")), masks(groups, agree), most, True, largest)
 
 
 def samples(tables: int = TABLES, bits: int = BITS, seed: int = 42) -> list[int]:
@@ -146,18 +156,33 @@ def samples(tables: int = TABLES, bits: int = BITS, seed: int = 42) -> list[int]
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
-def cell_links(points: DataFrame, choose: list[int], most: int, stars: bool) -> DataFrame:
+def cell_links(points: DataFrame, choose: list[int], most: int, stars: bool, largest: int = 4096) -> DataFrame:
     """points: fp, e. Links between fingerprints within `most` bits whose e agree under one of the masks: a forest
     of each cell, as it is, or joined over a task's cells into stars."""
     cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col("e").bitwiseAND(F.lit(signed(m))).alias("cell")) for c, m in enumerate(choose)])
-    grid = points.select("fp", F.explode(cells).alias("x")).select("x.c", "x.cell", "fp")
+    grid = points.select("fp", "e", F.explode(cells).alias("x")).select("x.c", "x.cell", "fp", "e")
+    if not stars:
+        return cell_forests(grid, most, False).select("u", "v")
+    found = scratch(cell_forests(grid.select("c", "cell", "fp", "e"), most, True, largest), "cells")
+    crowd = found.where("c >= 0")
+    if crowd.isEmpty():
+        return found.select("u", "v")
+    # members of large cells go on to smaller ones, which agree in half of the other segments too
+    inner = [F.when(F.col("c") == c, F.array(*[F.struct(F.lit(i).alias("i"), F.col("v").bitwiseAND(F.lit(signed(m | n))).alias("cell")) for i, n in enumerate(submasks(m))])) for c, m in enumerate(choose)]
+    finer = crowd.select("c", F.col("u").alias("fp"), F.col("v").alias("e"), F.explode(F.coalesce(*inner)).alias("x")).select((F.col("c") * 32 + F.col("x.i")).alias("c"), "x.cell", "fp", "e")
+    return found.where("c < 0").select("u", "v").unionByName(cell_forests(finer, most, True).select("u", "v"))
+
+
+def cell_forests(grid: DataFrame, most: int, stars: bool, largest: int | None = None) -> DataFrame:
+    """grid: c, cell, fp, e. Returns u, v, c: links within cells (c = -1); of cells with more than `largest` members the
+    members instead (u: fp, v: e, c)."""
     grid = grid.repartition("c", "cell").sortWithinPartitions("c", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held, at, raw = Forest(), [], None, []
+        forest, held, at, raw, n_held = Forest(), [], None, [], 0
 
-        def close(members: np.ndarray) -> None:
-            found = cell_forest(np.unique(members), most)
+        def close(fp: np.ndarray) -> None:
+            found = cell_forest(np.unique(fp), most)
             if not stars:
                 raw.extend(found)
                 return
@@ -166,38 +191,46 @@ def cell_links(points: DataFrame, choose: list[int], most: int, stars: bool) ->
 
         def out(pairs):
             a = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(np.full(len(a), -1, np.int32))], ["u", "v", "c"])
+
+        def crowd(c: int, parts: list) -> pa.RecordBatch:
+            fp, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(e), pa.array(np.full(len(fp), c, np.int32))], ["u", "v", "c"])
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """What is held of a cell that has ended."""
+            if largest is not None and n_held > largest:
+                if held:
+                    yield crowd(at[0], held)
+            elif n_held > 1:
+                close(np.concatenate([x for x, _ in held]))
 
         for b in batches:
             if not b.num_rows:
                 continue
             c, cell = b.column(0).to_numpy(), b.column(1).to_numpy()
-            fp = b.column(2).to_numpy().view(np.uint64)
+            fp, e = b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()
             starts = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (cell[1:] != cell[:-1])) + 1, [len(c)]])
             sizes = np.diff(starts)
             # all but cells of one member, and those at the batch's ends, which may go on
             for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                s, e = starts[g], starts[g + 1]
+                s, t = starts[g], starts[g + 1]
                 key = (int(c[s]), int(cell[s]))
-                if g == 0 and key == at:
-                    held.append(fp[s:e])
-                else:
-                    if held:
-                        if sum(map(len, held)) > 1:
-                            close(np.concatenate(held))
-                        held, at = [], None
-                    if g == len(sizes) - 1:
-                        held, at = [fp[s:e]], key
-                    elif e - s > 1:
-                        close(fp[s:e])
+                if key != at:
+                    yield from settle()
+                    held, at, n_held = [], key, 0
+                held.append((fp[s:t], e[s:t]))
+                n_held += t - s
+                if largest is not None and n_held > largest:  # no more than that is ever held
+                    yield crowd(key[0], held)
+                    held = []
             if len(forest.up) + len(raw) > 200_000:
                 yield out(forest.stars() + raw)
                 forest, raw = Forest(), []
-        if sum(map(len, held)) > 1:
-            close(np.concatenate(held))
+        yield from settle()
         yield out(forest.stars() + raw)
 
-    return grid.mapInArrow(run, "u long, v long")
+    return grid.mapInArrow(run, "u long, v long, c int")
 
 
 def cell_pairs(points: DataFrame, choose: list[int], part: range, most: int) -> DataFrame:
@@ -317,7 +350,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     With `least`, texts that share that part of their distinct shingles of `words` words are linked as well:
     first some that a few masks find, which brings hot groups together, then all pairs between components.
     A pair is a candidate with a probability that falls with the distance of its fingerprints alone, whatever
-    else is in its cells: 0.9999 at 6 bits, 0.97 at 8, 0.71 at 10, 0.35 at 12 and none above 14.
+    else is in its cells: 0.9997 at 8 bits, 0.97 at 10, 0.73 at 12, 0.37 at 14 and none above 16.
     """
     fps = scratch(fingerprints(docs, key, text, shingle), "fps")
     nodes = fps.groupBy("fp").agg(F.min("key").alias("first"))

@@ -57,14 +57,15 @@ def test_links_join_all_that_are_near(spark):
 
     edges = simhash.links(df).collect()
     assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 64 for r in edges)
-    roots = {r.u: r.root for r in components(simhash.links(df)).collect()}
-    got = {f: roots.get(simhash.signed(f), simhash.signed(f)) for f in fps}
     want = brute_components(dict(enumerate(fps)))
-    a, b = Counter(), {}
-    for i, f in enumerate(fps):
-        assert b.setdefault(got[f], want[i]) == want[i]
-        a[want[i]] += 1
-    assert len(b) == len(a)
+    for largest in (4096, 3):  # the latter parts nearly every cell once more
+        roots = {r.u: r.root for r in components(simhash.links(df, largest=largest)).collect()}
+        got = {f: roots.get(simhash.signed(f), simhash.signed(f)) for f in fps}
+        a, b = Counter(), {}
+        for i, f in enumerate(fps):
+            assert b.setdefault(got[f], want[i]) == want[i]
+            a[want[i]] += 1
+        assert len(b) == len(a)
 
 
 def test_near_duplicates_rows(spark):
@@ -271,6 +272,24 @@ def test_packing(spark):
     assert packing.best_fit(frame(spark, []).limit(0)).count() == 0
 
 
+def test_pack_weighs_lengths_against_each_other():
+    """Against every single length, and against each opened length by a plain trial."""
+    rnd = random.Random(14)
+    caps, total = sorted(packing.CAPACITIES), Counter()
+    for _ in range(30):
+        sizes = [rnd.choice([300, 600, 700, 1100, 2500, rnd.randint(1, 8192)]) for _ in range(rnd.randint(1, 300))]
+        of = {c: packing.cost(packing.pack_one(sizes, caps, packing.OVERHEAD, c)[2]) for c in (None, *caps)}
+        assert packing.cost(packing.pack(sizes)[2]) == min(of.values())
+        total.update(of)
+        rest, room, filled = sorted(sizes), rnd.choice(caps), 0
+        while fit := [n for n in rest if n <= room - filled]:
+            filled += fit[-1]
+            rest.remove(fit[-1])
+        assert packing.Remaining(sizes).trial(room) == filled
+    # any one length throughout costs more than the joint choice
+    assert all(total[None] < total[c] for c in caps), total
+
+
 def test_pack_is_no_worse_than_any_single_length():
     rnd = random.Random(4)
     sizes = [rnd.randint(1, 8192) for _ in range(400)]
