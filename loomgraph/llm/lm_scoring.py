@@ -310,7 +310,7 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
 
     # the texts' sums over head words and their other words, written once for the two uses below
     parts = own.select("key", "text", "train").mapInArrow(texts, ", ".join(["key long, train boolean, n long, k long, bs double", *(f"{x} double" for x in lps), "tail array<binary>"]))
-    parts = scratch(parts, "texts").withColumn("row", F.monotonically_increasing_id())  # by the place in the written files
+    parts = scratch(parts.withColumn("row", F.monotonically_increasing_id()), "texts")
     tail = parts.select("row", F.explode("tail").alias("w")).groupBy("row", "w").agg(F.count("*").alias("m"))
     tail = tail.join(scored.select("w", "c", *lps), "w").groupBy("row").agg(
         F.sum(F.col("m") * (F.col("c") > 0).cast("long")).alias("k2"), F.sum(F.col("m") * F.log10(F.col("c") + F.lit(0.1))).alias("bs2"), *[F.sum(F.col("m") * F.col(x)).alias(f"t_{x}") for x in lps]
