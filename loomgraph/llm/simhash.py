@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh, scratch, slices, table
+from loomgraph.llm.common import discard, fresh, scratch, slices, table
 from loomgraph.llm.components import Forest, components
 
 LOW = 0x5555555555555555
@@ -302,7 +302,7 @@ def cell_pairs(points: DataFrame, choose: list[int], part: range, most: int) ->
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, hashes: the distinct XXH64 of each text's shingles (the whole of a shorter text)."""
+    """key, hashes: the distinct XXH64 of each text's shingles (the whole of a shorter text), in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -311,7 +311,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             sets = []
             for t in b.column(1):
                 w = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                sets.append(list({signed(xxh64_intdigest(b" ".join(w[i : i + words]))) for i in range(max(1, len(w) - words + 1))} if w else ()))
+                sets.append(sorted({signed(xxh64_intdigest(b" ".join(w[i : i + words]))) for i in range(max(1, len(w) - words + 1))} if w else ()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, hashes array<long>")
@@ -335,13 +335,22 @@ def similar(docs: DataFrame, key: str, text: str, nodes: DataFrame, roots: DataF
         found = cell_links(nodes.select("fp", F.col("fp").alias("e")), choose, WIDE, False)
         pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = scratch(pairs.join(side("u"), "u").join(side("v"), "v").where("u_root <> v_root").select("u", "v", "u_key", "v_key"), "pairs")
+    if whole:
+        discard(*found)
     ids = scratch(pairs.select(F.col("u_key").alias("_id")).unionByName(pairs.select(F.col("v_key").alias("_id"))).distinct(), "ids")
     some = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text")).join(ids, F.col("_key") == F.col("_id"), "left_semi")
     sets = scratch(shingle_sets(some, "_key", "_text", words), "shingles")
-    of = lambda c: sets.select(F.col("key").alias(f"{c}_key"), F.col("hashes").alias(f"{c}_set"))
+    of = lambda c, col: sets.select(F.col("key").alias(f"{c}_key"), col.alias(f"{c}_set"))
+    # of two similar sets the least common hash is among the first of both: pairs whose first hashes have none in common go
+    n = F.size("hashes")
+    first = F.slice("hashes", F.lit(1), n - F.ceil(n * least).cast("int") + 1)
+    likely = pairs.join(of("u", first), "u_key").join(of("v", first), "v_key").where(F.arrays_overlap("u_set", "v_set"))
+    likely = scratch(likely.select("u", "v", "u_key", "v_key"), "likely")
     both = F.size(F.array_intersect("u_set", "v_set"))
-    x = pairs.join(of("u"), "u_key").join(of("v"), "v_key")
-    return x.where((both > 0) & (both >= (F.size("u_set") + F.size("v_set") - both) * least)).select("u", "v")
+    x = likely.join(of("u", F.col("hashes")), "u_key").join(of("v", F.col("hashes")), "v_key")
+    x = scratch(x.where((both > 0) & (both >= (F.size("u_set") + F.size("v_set") - both) * least)).select("u", "v"), "similar")
+    discard(r, pairs, ids, sets, likely)
+    return x
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3, shingle: int = 3, least: float | None = None, words: int = 5) -> DataFrame:
