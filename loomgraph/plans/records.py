@@ -15,6 +15,7 @@ from loomgraph.plans.catalogue import ANCHORS_SQL, COS_SQL, ORACLES, anchors, bo
 from loomgraph.session import shared_folder, table
 from loomgraph.sources import artefacts as A
 from loomgraph.sources import readers
+from loomgraph.streaming import incremental
 
 LINES_SQL = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '')"
 TEXT_CID = cid_sql("coalesce(text, '')")
@@ -474,3 +475,62 @@ def tool_log_pivot(spark, sf_dir):
     """Calls by kind, a column for each kind."""
     x = table(spark, sf_dir, "conversations").groupBy("conv_id").pivot("role", ["user", "assistant"]).count()
     return x.select("conv_id", F.coalesce("user", F.lit(0)).alias("user"), F.coalesce("assistant", F.lit(0)).alias("assistant"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '' WHEN 2 THEN coalesce(text, '') END AS content FROM documents")
+def page_extracts(spark, sf_dir):
+    """Responses with a missing page, a page without a text, a page with one, and no JSON."""
+    k, no = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    page = F.create_map(F.when(k == 0, "-1").otherwise(no), F.struct(F.when(k == 2, F.col("text")).alias("extract")))
+    value = F.when(k == 3, "no json").otherwise(F.to_json(F.struct(F.struct(page.alias("pages")).alias("query"))))
+    return readers.page_extracts(table(spark, sf_dir, "documents").select("doc_id", value.alias("value")))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Q' || page_id END AS item FROM pages")
+def item_ids(spark, sf_dir):
+    """Responses with an item, without properties, and with an error."""
+    k, no = F.col("page_id") % 3, F.col("page_id").cast("string")
+    props = F.when(k == 0, F.struct(F.concat(F.lit("Q"), no).alias("wikibase_item")))
+    value = F.when(k == 2, '{"error": {"code": "x"}}').otherwise(F.to_json(F.struct(F.struct(F.create_map(no, F.struct(props.alias("pageprops"))).alias("pages")).alias("query"))))
+    return readers.item_ids(table(spark, sf_dir, "pages").select("page_id", value.alias("value")))
+
+
+@query("""SELECT 'schema:P' || p_partkey AS uri, p_name AS label, p_type AS description, CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'property' END AS term_type, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'schema:D0, schema:D1, schema:D2' END AS domain,
+CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'schema:R' || p_size END AS range, CASE WHEN p_partkey % 2 = 0 THEN 'schema:Thing' END AS parent FROM part WHERE p_partkey % 5 <> 0""")
+def vocabulary_scan(spark, sf_dir):
+    """Parts of each brand as a JSON-LD document; one in five is of another vocabulary."""
+    k = F.col("p_partkey")
+    thing = lambda x: F.struct(x.alias("@id"))
+    node = F.struct(
+        F.concat(F.when(k % 5 == 0, "other:P").otherwise("schema:P"), k.cast("string")).alias("@id"),
+        F.when(k % 2 == 0, "rdfs:Class").otherwise("rdf:Property").alias("@type"),
+        F.col("p_name").alias("rdfs:label"),
+        F.struct(F.col("p_type").alias("@value")).alias("rdfs:comment"),
+        F.when(k % 2 != 0, F.array(*[thing(F.lit(f"schema:D{i}")) for i in range(4)])).alias("schema:domainIncludes"),
+        F.when(k % 2 != 0, thing(F.concat(F.lit("schema:R"), F.col("p_size").cast("string")))).alias("schema:rangeIncludes"),
+        F.when(k % 2 == 0, thing(F.lit("schema:Thing"))).alias("rdfs:subClassOf"),
+    )
+    # a document holds 20 parts of a brand at most, so none grows with the table
+    x = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(k / 20)).agg(F.collect_list(node).alias("@graph"))
+    return readers.vocabulary(x.select(F.to_json(F.struct("`@graph`")).alias("value")))
+
+
+@query("SELECT o_orderkey AS run, o_totalprice AS metric, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_traces FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
+def run_search(spark, sf_dir):
+    """The latest run (order) with its metric and its number of traces (line items)."""
+    last = A.search(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 1)
+    x = last.join(table(spark, sf_dir, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return x.groupBy(F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("metric")).agg(F.count("l_orderkey").alias("n_traces"))
+
+
+@query(f"SELECT DISTINCT {TEXT_CID} AS cid FROM documents")
+def stream_upsert(spark, sf_dir):
+    """Documents as a stream: each content is signed and written once, though the stream is begun anew over the same table."""
+    path, at = shared_folder(spark, "signed"), F.lit("2024-01-01 00:00:00").cast("timestamp")  # one time: no row is late
+    shape = table(spark, sf_dir, "documents").schema
+    for _ in range(2):
+        # a pattern, since a stream reads folders only and the table may be a file
+        rows = spark.readStream.schema(shape).parquet(f"{sf_dir}/{{documents}}.parquet").select(body().alias("content"), at.alias("at"))
+        run = incremental.signed(rows, "content", "at").select("cid", "at").writeStream.foreachBatch(incremental.upsert_to(path))
+        run.option("checkpointLocation", shared_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("cid string").parquet(path)

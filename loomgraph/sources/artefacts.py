@@ -158,3 +158,8 @@ def export_graph(entities: DataFrame, relations: DataFrame, path: str) -> None:
     """Two tables that any engine reads."""
     entities.write.mode("overwrite").parquet(f"{path}/entities")
     relations.write.mode("overwrite").parquet(f"{path}/relations")
+
+
+def search(runs: DataFrame, at: str, tie: str, most: int) -> DataFrame:
+    """The latest `most` runs, the last one first; equal times are ordered by `tie`, those without a time come last."""
+    return runs.orderBy(F.desc_nulls_last(at), tie).limit(most)

@@ -34,6 +34,24 @@ def top_pages(responses: DataFrame, limit: int) -> DataFrame:
     return x.where(~skip).orderBy("pos").limit(limit).select(F.translate("article", "_", " ").alias("title"), "views")
 
 
+def page_extracts(responses: DataFrame) -> DataFrame:
+    """responses: value (JSON of the extracts service) and other columns. Returns these with content: the first page's text.
+
+    A page without a text has an empty one; a missing page (id -1), no page and a bad response have none.
+    """
+    page = F.get(F.map_entries(F.from_json("value", "query struct<pages:map<string,struct<extract:string>>>")["query"]["pages"]), F.lit(0))
+    content = F.when(page["key"] != "-1", F.coalesce(page["value"]["extract"], F.lit("")))
+    return responses.select(*[c for c in responses.columns if c not in ("value", "content")], content.alias("content"))
+
+
+def item_ids(responses: DataFrame) -> DataFrame:
+    """responses: value (JSON of the page properties service) and other columns. Returns these with item: the id in the
+    first page's properties, null where there is none or the response is bad."""
+    pages = F.from_json("value", "query struct<pages:map<string,struct<pageprops:struct<wikibase_item:string>>>>")["query"]["pages"]
+    item = F.get(F.map_values(pages), F.lit(0))["pageprops"]["wikibase_item"]
+    return responses.select(*[c for c in responses.columns if c not in ("value", "item")], item.alias("item"))
+
+
 def vocabulary(documents: DataFrame, prefix: str = "schema:") -> DataFrame:
     """documents: value (JSON-LD with a @graph). Returns uri, label, description, term_type, domain, range, parent."""
     node = F.explode(F.from_json("value", "`@graph` array<map<string,string>>")["@graph"]).alias("n")

@@ -127,3 +127,23 @@ def test_entry_works_without_the_optional_subpackage(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) + 2 > 100 and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, timeout=120)
+
+
+def test_responses_of_services(spark):
+    """Missing pages, bad responses, no pages, several pages."""
+    page = lambda **pages: json.dumps({"query": {"pages": {k.strip("_"): v for k, v in pages.items()}}})
+    values = [page(_7={"extract": "a"}, _8={"extract": "b"}), page(**{"-1": {"missing": ""}}), page(_7={"title": "t"}), page(), "{}", "[", "", None]
+    df = spark.createDataFrame([(i, v, "own") for i, v in enumerate(values)], "i long, value string, content string")
+    got = readers.page_extracts(df)
+    assert got.columns == ["i", "content"]
+    assert [r.content for r in got.orderBy("i").collect()] == ["a", None, "", None, None, None, None, None]
+    values = [page(_7={"pageprops": {"wikibase_item": "Q1"}}), page(_7={"pageprops": {}}), page(_7={}), page(), '{"query": 3}', "[", None]
+    df = spark.createDataFrame(enumerate(values), "i long, value string")
+    assert [r.item for r in readers.item_ids(df).orderBy("i").collect()] == ["Q1"] + [None] * 6
+    assert readers.page_extracts(df.limit(0)).count() == readers.item_ids(df.limit(0)).count() == 0
+
+
+def test_search_of_runs(spark):
+    df = spark.createDataFrame([("a", 1), ("c", 3), ("b", 3), ("d", None)], "run string, at int")
+    assert [r.run for r in A.search(df, "at", "run", 3).collect()] == ["b", "c", "a"]
+    assert A.search(df.limit(0), "at", "run", 1).count() == 0
