@@ -318,3 +318,49 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.count() >= docs.count()
+
+
+def test_similar_stage_finds_nine_in_ten_pairs(spark):
+    """Recall against brute force over texts that share 0.8 to 1 of their shingles with a copy."""
+    rnd = random.Random(21)
+    texts = []
+    for _ in range(250):
+        w = [f"w{rnd.randint(0, 3000)}" for _ in range(rnd.randint(150, 400))]
+        texts.append(" ".join(w))
+        for at in rnd.sample(range(len(w)), rnd.randint(1, max(1, len(w) // 45))):
+            w[at] = f"n{rnd.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, a + 1) for a in range(0, len(texts), 2) if 10 * len(sets[a] & sets[a + 1]) >= 8 * len(sets[a] | sets[a + 1])]
+    got = {r.key: r.component_id for r in simhash.near_duplicates(frame(spark, enumerate(texts)), least=0.8).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) > 200 and found >= 0.9 * len(pairs), (found, len(pairs))
+    assert all(len({i // 2 for i in got if got[i] == c}) == 1 for c in set(got.values()))
+
+
+def test_pipeline_runs_over_nulls_clashing_names_and_nothing(spark, tmp_path):
+    """run() over null columns, repeated rows, extra columns that stages use themselves, and an empty table."""
+    rnd = random.Random(22)
+    some = lambda n: " ".join(f"{rnd.choice('abcdefgh')}{rnd.choice('aeiou')}{rnd.choice('lmnrst')}{rnd.randint(0, 99)}" for _ in range(n)) + "."
+    texts = [some(rnd.randint(60, 200)) for _ in range(25)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), "k", "h", 1, "c") for i, t in enumerate(texts)]
+    rows += [(30, texts[3], "en", None, None, None, None, None, None), rows[4], (None, some(80), None, None, None, None, None, None, None), (31, None, None, None, None, None, None, None, None), (None,) * 9]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, h string, _row long, component_id string"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(str(tmp_path / "some/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    out = [corpus_pipeline.run(spark, str(tmp_path / "some")).collect() for _ in range(2)]
+    assert Counter(r.asDict()["doc_id"] for r in out[0]) == Counter(r.asDict()["doc_id"] for r in out[1])  # bins are named anew
+    ids = {r.doc_id for r in out[0]}
+    assert ids and ids <= {r[0] for r in rows} and 30 not in ids and 31 not in ids
+    bins = {}
+    for r in out[0]:
+        if r.n_words:
+            bins.setdefault((r.bin_id, r.capacity), []).append((r.offset, r.n_words))
+    for (_, capacity), pieces in bins.items():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
