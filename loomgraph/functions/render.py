@@ -103,9 +103,25 @@ def emit_error(fields: dict[str, Column]) -> Column:
     return F.when(F.size(issues) > 0, F.concat(F.lit("ERROR: "), F.array_join(issues, "; ")))
 
 
-def rdf_cell(chunk: Column, stmt: Column, statement: Column, block: Column) -> Column:
+#: The tools that emit triples, and how many of their calls a cell shows and how much of each.
+EMITTERS, CALLS_SHOWN, ARGS_SHOWN = ("emit_triple", "emit_triples"), 5, 200
+
+
+def rdf_cell(chunk: Column, stmt: Column, statement: Column, block: Column, calls: Column | None = None) -> Column:
+    """A statement's cell: its triples or, where there are none, a note and the emitting calls of its chunk.
+
+    calls: array of (name, args), args as JSON text, in the order they were made; null entries, null and empty arrays
+    and other tools' calls show nothing, a call without args shows its name only.
+    """
     head = F.concat(F.lit("# Statement ["), chunk.cast("string"), F.lit("."), stmt.cast("string"), F.lit("]: "), statement)
-    return F.concat_ws("\n", head, F.coalesce(given(block), F.lit("# No triples emitted for this statement")))
+    none = F.lit("# No triples emitted for this statement")
+    if calls is not None:
+        emits = F.filter(calls, lambda c: c["name"].isin(*EMITTERS))
+        line = lambda c: F.concat(F.lit("#   "), c["name"], F.lit(": "), F.left(F.coalesce(c["args"], F.lit("")), F.lit(ARGS_SHOWN)))
+        count = F.concat(F.lit("# Debug: "), F.size(emits).cast("string"), F.lit(" emit tool calls made for chunk"))
+        shown = F.concat_ws("\n", count, F.array_join(F.transform(F.slice(emits, 1, CALLS_SHOWN), line), "\n"))
+        none = F.concat_ws("\n", none, F.when(F.size(emits) > 0, shown))
+    return F.concat_ws("\n", head, F.coalesce(given(block), none))
 
 
 def has_triples(cell: Column) -> Column:

@@ -146,6 +146,25 @@ def rdf_cell(spark, sf_dir):
     return x.select("o_orderkey", N.rdf_cell(F.lit(1), F.col("o_orderkey"), F.concat(F.lit("order "), "o_orderkey"), F.col("turtle")).alias("cell"))
 
 
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'emit_triples' WHEN 1 THEN 'emit_triple' ELSE 'find_class' END AS name,
+  '{"subject": "order ' || l_orderkey || '", "object": "' || repeat('part ' || l_partkey || ' ', l_linenumber * 4) || '"}' AS args FROM lineitem),
+e AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, name, args) AS i FROM c WHERE name <> 'find_class'),
+d AS (SELECT l_orderkey, '# Debug: ' || count(*) || ' emit tool calls made for chunk' || chr(10) || string_agg('#   ' || name || ': ' || left(args, 200), chr(10) ORDER BY i) FILTER (WHERE i <= 5) AS calls FROM e GROUP BY l_orderkey)
+SELECT o_orderkey, '# Statement [1.' || o_orderkey || ']: order ' || o_orderkey || chr(10) || CASE WHEN o_orderstatus = 'F' THEN 'ex:o' || o_orderkey || ' ex:status "F" .'
+  ELSE '# No triples emitted for this statement' || coalesce(chr(10) || calls, '') END AS cell FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""")
+def rdf_cell_debug(spark, sf_dir):
+    """Cells of statements with and without triples: the latter show the calls that should have emitted some."""
+    k = F.col("l_linenumber") % 3
+    name = F.when(k == 0, "emit_triples").when(k == 1, "emit_triple").otherwise("find_class")
+    said = F.expr("repeat(concat('part ', l_partkey, ' '), cast(l_linenumber * 4 as int))")
+    args = F.concat(F.lit('{"subject": "order '), "l_orderkey", F.lit('", "object": "'), said, F.lit('"}'))
+    made = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", name.alias("name"), args.alias("args")).alias("call"))
+    calls = made.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("call")).alias("calls"))  # an order's few lines
+    x = table(spark, sf_dir, "orders").join(calls, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    block = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("ex:o"), "o_orderkey", F.lit(' ex:status "F" .')))
+    return x.select("o_orderkey", N.rdf_cell(F.lit(1), F.col("o_orderkey"), F.concat(F.lit("order "), "o_orderkey"), block, F.col("calls")).alias("cell"))
+
+
 @query(f"""WITH k AS (SELECT n_nationkey, {cid_sql("'{\"config_cid\": \"' || n_name || '\", \"devset_cid\": \"d\", \"eval_size\": ' || n_regionkey || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ', \"extractor_cid\": \"x\"' END || '}'")} AS input_cid FROM nation)
 SELECT n_nationkey, input_cid, n_nationkey % 3 = 0 AS hit, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey <> 0 THEN 0.5 END AS improvement FROM k""")
 def baseline_lookup(spark, sf_dir):

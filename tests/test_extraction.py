@@ -80,3 +80,17 @@ def test_rendered_texts(spark):
     assert one(N.improvement(F.lit(1.0), F.lit(0.0))) is None and one(N.improvement(F.lit(0.75), F.lit(0.5))) == 0.25
     for text, want in (("", False), ("# a\n\n # b", False), ('{"@id": "x"}', False), ("# Error: x\na b c .", False), ("# s\na b c .", True)):
         assert one(N.has_triples(F.lit(text))) is want
+
+
+def test_rdf_cell_shows_calls(spark):
+    head, none = "# Statement [1.2]: s", "# No triples emitted for this statement"
+    emit = [("emit_triple", f'{{"n": {i}}}') for i in range(4)] + [("emit_triples", "é" * 300), ("emit_triple", "sixth")]
+    rows = [("a b c .", emit), (None, emit), ("", [("find_class", "x")]), (None, []), (None, None), (None, [None, ("emit_triple", None)])]
+    df = spark.createDataFrame(rows, "block string, calls array<struct<name: string, args: string>>")
+    got = [r[0] for r in df.select(N.rdf_cell(F.lit(1), F.lit(2), F.lit("s"), F.col("block"), F.col("calls"))).collect()]
+    shown = [f'#   emit_triple: {{"n": {i}}}' for i in range(4)] + ["#   emit_triples: " + "é" * 200]
+    bare = f"{head}\n{none}"
+    assert got == [
+        f"{head}\na b c .", "\n".join([bare, "# Debug: 6 emit tool calls made for chunk", *shown]), bare, bare, bare,
+        f"{bare}\n# Debug: 1 emit tool calls made for chunk\n#   emit_triple: ",
+    ]
