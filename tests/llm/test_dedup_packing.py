@@ -1,8 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from loomgraph.llm import packing, simhash, substring_dedup
+from loomgraph.llm.components import Forest, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, h string"
 
@@ -338,6 +341,58 @@ def test_similar_stage_finds_nine_in_ten_pairs(spark):
     assert all(len({i // 2 for i in got if got[i] == c}) == 1 for c in set(got.values()))
 
 
+def family(n, seed=23):
+    """Texts of one template, most of them a little less similar than 0.8."""
+    rnd = random.Random(seed)
+    template = [f"t{rnd.randint(0, 5000)}" for _ in range(150)]
+    texts = []
+    for i in range(n):
+        w = list(template)
+        for at in rnd.sample(range(150), rnd.randint(1, 5)):
+            w[at] = f"n{i}_{at}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_set_forest_joins_what_all_pairs_join():
+    rnd = random.Random(24)
+    texts = [*family(150), "", *family(60, 25), "one", "two words"]
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    root = np.array([rnd.choice([0, i, i]) for i in range(len(texts))])
+    want, got = Forest(), Forest()
+    for i in range(len(texts)):
+        want.join(i, int(np.flatnonzero(root == root[i])[0]))
+        got.join(i, int(np.flatnonzero(root == root[i])[0]))
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if 10 * len(a & b) >= 8 * len(a | b) > 0:
+                want.join(i, j)
+    edges = simhash.set_forest(sets, root, 0.8)
+    for i, j in edges:
+        got.join(i, j)
+    assert [got.find(i) for i in range(len(texts))] == [want.find(i) for i in range(len(texts))]
+    assert 0 < len(edges) < len(texts) and len({want.find(i) for i in range(len(texts))}) > 10
+
+
+def test_similar_makes_rows_by_member_not_by_pair(spark, monkeypatch):
+    """A family's candidates are no rows each, and blocks that meet two by two find what one task finds."""
+    docs, rows, write = frame(spark, enumerate(family(500))), [], simhash.scratch
+
+    def counted(df, name, *more, **options):
+        out = write(df, name, *more, **options)
+        rows.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(simhash, "scratch", counted)
+    whole = {r.key: r.component_id for r in simhash.near_duplicates(docs, least=0.8).collect()}
+    assert max(rows)[0] <= 4 * len(whole), max(rows)
+    assert len(set(whole.values())) > 10
+    nodes = simhash.fingerprints(docs, words=5).withColumnRenamed("key", "first").dropDuplicates(["fp"])
+    none = spark.createDataFrame([], "u long, root long")
+    groups = [{(r.u, r.root) for r in components(simhash.similar(docs, "doc_id", "text", nodes, none, 0.8, 5, block=b)).collect()} for b in (1 << 20, 15_000)]
+    assert groups[0] == groups[1] and groups[0]
+
+
 def test_pipeline_runs_over_nulls_clashing_names_and_nothing(spark, tmp_path):
     """run() over null columns, repeated rows, extra columns that stages use themselves, and an empty table."""
     rnd = random.Random(22)
