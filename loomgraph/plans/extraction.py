@@ -10,6 +10,7 @@ from loomgraph.functions.cid import cid
 from loomgraph.operators import chunks as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import relational as R
+from loomgraph.operators import turtle as U
 from loomgraph.operators import wikitext as W
 from loomgraph.plans.catalogue import ANCHORS_SQL, COS_SQL, TRIPLES_SQL, anchors, body, cid_sql, incr_status, judge_completion, order_triples, query, turtle_block, vocab_topk
 from loomgraph.plans.catalogue import ORACLES
@@ -230,9 +231,10 @@ def notebook_statements(spark, sf_dir):
 
 @query(f"WITH {TRIPLES_SQL} SELECT DISTINCT stmt, stmt % 4 <> 0 AS valid FROM t")
 def turtle_validity(spark, sf_dir):
-    """Blocks of triples, every fourth with prose after it."""
-    text = F.when(F.col("stmt") % 4 == 0, F.concat("turtle", F.lit("\nsome prose {maybe}"))).otherwise(F.col("turtle"))
-    return turtle_block(spark, sf_dir).select("stmt", G.is_valid_turtle(text).alias("valid"))
+    """Blocks of triples after their prefix, every fourth with prose after it."""
+    block = F.concat(F.lit("@prefix ex: <http://example.org/> .\n"), "turtle")
+    text = F.when(F.col("stmt") % 4 == 0, F.concat(block, F.lit("\nsome prose {maybe}"))).otherwise(block)
+    return turtle_block(spark, sf_dir).select("stmt", U.is_valid(text).alias("valid"))
 
 
 @query("SELECT o_custkey AS slug, arg_max(o_orderkey, o_orderkey) AS run, count(*) AS n_runs FROM orders GROUP BY 1")

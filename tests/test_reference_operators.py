@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import chunks as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import relational as R
+from loomgraph.operators import turtle as U
 from loomgraph.sources import readers
 
 
@@ -95,9 +97,10 @@ def test_as_of_and_upsert(spark):
 
 def test_turtle_validity():
     ok = '@prefix schema: <https://schema.org/> .\n@prefix wiki: <https://en.wikipedia.org/wiki/> .\nwiki:Albert_Einstein a schema:Person ; schema:name "Albert Einstein" .'
-    assert G.valid_turtle(ok)
-    assert not G.valid_turtle("This is prose {random json maybe?}")
-    assert not G.valid_turtle("wiki:A a")
+    assert U.parse(ok)
+    for bad in ("This is prose {random json maybe?}", "wiki:A a", ok.split("\n")[2]):
+        with pytest.raises(U.TurtleError):
+            U.parse(bad)
 
 
 def test_graph_pattern(spark):
