@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.cid import cid
 from loomgraph.functions.names import fresh
-from loomgraph.functions.provenance import parse_signature, provenance_block, provenance_header
-from loomgraph.functions.render import in_order
+from loomgraph.functions.provenance import make_signature, parse_signature, provenance_block, provenance_header
+from loomgraph.functions.render import chunk_cell, in_order
+from loomgraph.sources.named_files import register
 
 
 def signatures(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -126,3 +128,58 @@ def save(cells: DataFrame, by: str, path: str) -> None:
         ipynb(cells, [by]).write.mode("overwrite").partitionBy(by).text(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+#: Texts of the notebooks' headers.
+SOURCE_NOTE = "This notebook contains the raw Wikipedia article content as retrieved, before any chunking or processing.\nThe content below is the exact text fetched from the source URL."
+CHUNKS_NOTE = """Each chunk below contains source text with contextual metadata. The context line (before the separator) provides:
+- **Context**: Hierarchical breadcrumb showing article > section path
+- **Chunk**: Position in sequence
+
+The text below the `---` separator is the unchanged source content.
+Each chunk is followed by a signature cell containing its Content ID (CID)."""
+ARTICLE_FIELDS = ("license", "license_url", "attribution")
+
+
+def _cells(rows: DataFrame, by: list[str], cells: list[tuple[Column, str, Column]]) -> DataFrame:
+    made = F.array(*[F.struct(i.cast("int").alias("cell_idx"), F.lit(kind).alias("cell_type"), text.alias("source")) for i, kind, text in cells])
+    return rows.select(*by, F.inline(made))
+
+
+def source_notebook(articles: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of each article's source notebook: header, registry, the content as it is, its signature.
+
+    articles: by, title, url, fetched_at, content, license, license_url, attribution, registry (JSON), generated_by,
+    generated_at. The content's signature is derived from the address.
+    """
+    c = F.col
+    fields = [("source_url", c("url")), ("article_title", c("title")), ("fetched_at", c("fetched_at")), ("content_length", F.length("content")), *((n, c(n)) for n in ARTICLE_FIELDS), ("generated_by", c("generated_by")), ("generated_at", c("generated_at"))]
+    head = header(F.concat(F.lit("Source Content: "), c("title")), fields, [("Description", SOURCE_NOTE)])
+    sig = make_signature(F.lit(1), F.lit("source"), cid(c("content")), cid(c("url")), F.lit("InputData"), F.concat(F.lit("source:"), c("title")))
+    return _cells(articles, by, [(F.lit(0), "markdown", head), (F.lit(1), "raw", c("registry")), (F.lit(2), "code", c("content")), (F.lit(3), "raw", sig)])
+
+
+def chunks_notebook(articles: DataFrame, chunks: DataFrame, by: list[str], size: int, overlap: int) -> DataFrame:
+    """Cells of each article's chunks notebook: header, registry, and each chunk with its signature, derived from the source.
+
+    articles as in source_notebook(); chunks: by, chunk_index (from 0), breadcrumb, content.
+    """
+    c = F.col
+    total = chunks.groupBy(*by).agg(F.count("*").alias("total_chunks"))
+    a = articles.join(total, by, "left").withColumn("total_chunks", F.coalesce("total_chunks", F.lit(0)))
+    fields = [("source_notebook", F.lit("source.ipynb")), ("source_url", c("url")), ("article_title", c("title")), ("fetched_at", c("fetched_at")), ("content_length", F.length("content")), *((n, c(n)) for n in ARTICLE_FIELDS)]
+    fields += [("chunk_size", F.lit(size)), ("chunk_overlap", F.lit(overlap)), ("total_chunks", c("total_chunks")), ("generated_by", c("generated_by")), ("generated_at", c("generated_at"))]
+    head = header(F.concat(F.lit("Chunked Text: "), c("title")), fields, [("Processing Instructions", CHUNKS_NOTE)])
+    first = _cells(a, by, [(F.lit(0), "markdown", head), (F.lit(1), "raw", c("registry"))])
+    x = chunks.select(*by, "chunk_index", "breadcrumb", c("content").alias("text")).join(a.select(*by, "total_chunks", cid(c("content")).alias("source_cid")), by)
+    n = c("chunk_index") + 1
+    x = x.withColumn("cell", chunk_cell(c("breadcrumb"), n, c("total_chunks"), c("text")))
+    sig = make_signature(n, F.lit("chunk"), cid(c("cell")), c("source_cid"), F.lit("Data"), F.concat(F.lit("chunk:"), n.cast("string"), F.lit("/"), c("total_chunks").cast("string")))
+    at = c("chunk_index") * 2 + 2
+    return first.unionByName(_cells(x, by, [(at, "markdown", c("cell")), (at + 1, "raw", sig)]))
+
+
+def write_files(cells: DataFrame, by: list[str], folder: str, path: Column) -> None:
+    """One .ipynb a notebook below a folder, all of them or none; path: of the notebook's names, without the ending."""
+    register(cells.sparkSession)
+    ipynb(cells, by).select(path.alias("path"), "value").write.format("named_files").mode("append").option("suffix", ".ipynb").save(folder)

@@ -1,5 +1,5 @@
 """Registered queries."""
 
-from loomgraph.plans import catalogue, extraction, graphs, records
+from loomgraph.plans import catalogue, extraction, files, graphs, records
 
-__all__ = ["catalogue", "extraction", "graphs", "records"]
+__all__ = ["catalogue", "extraction", "files", "graphs", "records"]
