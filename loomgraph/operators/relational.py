@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.names import fresh
 from loomgraph.functions.text import cosine, dot, entity_key, entity_uri
+from loomgraph.operators import vectors
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -38,17 +39,8 @@ def unchanged(new: DataFrame, signatures: DataFrame, keys: list[str], cid: str,
 
 
 def top_k(queries: DataFrame, terms: DataFrame, qid: str, tid: str, k: int = 5, least: float | None = 0.0, similarity=cosine) -> DataFrame:
-    """queries, terms: id and embedding. The k most similar terms of each query, ties by id.
-
-    Every query meets every term: a stated query set against all rows. The ranking is limited within each
-    task before rows are exchanged.
-    """
-    pairs = terms.select(F.col(tid), F.col("embedding").alias("_t")).join(queries.select(F.col(qid), F.col("embedding").alias("_q")), F.lit(True))
-    scored = pairs.select(qid, tid, similarity(F.col("_q"), F.col("_t")).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") > least)
-    w = Window.partitionBy(qid).orderBy(F.desc("score"), tid)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """queries, terms: id and embedding. qid, tid, score, rank of the k most similar terms of each query, ties by id."""
+    return vectors.top_k(queries.select(qid, "embedding"), terms.select(tid, "embedding"), qid, tid, k, least, similarity is not dot)
 
 
 WIKI = "https://en.wikipedia.org"
@@ -120,12 +112,9 @@ def endpoints(relations: DataFrame, mentions: DataFrame, entities: DataFrame) ->
 
 def merged_top_k(queries: DataFrame, terms: DataFrame, qid: str, tid: str, vocabulary: str, k: int = 5, least: float | None = 0.0) -> DataFrame:
     """The k best of each vocabulary, then the k best of these, for each query; ties by id. Returns qid, vocabulary, tid, score, rank."""
-    pairs = terms.select(F.col(tid), F.col(vocabulary), F.col("embedding").alias("_t")).join(queries.select(F.col(qid), F.col("embedding").alias("_q")), F.lit(True))
-    scored = pairs.select(qid, vocabulary, tid, cosine(F.col("_q"), F.col("_t")).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") > least)
-    best = lambda x, *by: x.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), tid))).where(F.col("rank") <= k)
-    return best(best(scored, qid, vocabulary).drop("rank"), qid).select(qid, vocabulary, tid, "score", "rank")
+    each = vectors.top_k(queries.select(qid, "embedding"), terms.select(tid, vocabulary, "embedding"), qid, tid, k, least, group=vocabulary).drop("rank")
+    best = each.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score"), tid))).where(F.col("rank") <= k)
+    return best.select(qid, vocabulary, tid, "score", "rank")
 
 
 def library_search(queries: DataFrame, terms: DataFrame, qid: str, tid: str, kind: str, order: str, k: int = 20) -> DataFrame:

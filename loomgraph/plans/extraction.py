@@ -136,7 +136,7 @@ def triple_components(spark, sf_dir):
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), part.alias("part"), "embedding")
     one = lambda w, kind: R.top_k(q.where(w), e.where(f"label % 2 = {kind}").select(F.col("vec_id").alias("tid"), "embedding"), "qid", "tid", 3)
     x = one("part <> 'predicate'", 0).unionByName(one("part = 'predicate'", 1))
-    return x.join(F.broadcast(q.select("qid", "part")), "qid").select("qid", "part", "tid", "rank")  # the stated queries
+    return x.join(q.select("qid", "part"), "qid").select("qid", "part", "tid", "rank")
 
 
 @query(f"""WITH {TRIPLES_SQL}, b AS (SELECT stmt, string_agg(s || ' ' || p || ' ' || o || ' .', chr(10) ORDER BY ord) AS turtle FROM t WHERE stmt % 5 <> 0 GROUP BY stmt)
