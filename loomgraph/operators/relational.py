@@ -135,15 +135,6 @@ def nearest_rows(rows: DataFrame, vector: list[float], k: int = 10, *keys: str)
     return rows.select(*keys, F.sqrt(gap).alias("distance")).orderBy("distance", *keys).limit(k)
 
 
-def first_prefix(uris: DataFrame, uri: str, prefixes: DataFrame) -> DataFrame:
-    """uris with prefix: of the namespaces (ord, prefix, ns) that a URI begins with the first; null where there is none.
-
-    prefixes is a library's short list; the optimizer broadcasts it only below its own limit.
-    """
-    x = uris.select(uri).distinct().join(prefixes, F.expr(f"startswith({uri}, ns)")).groupBy(uri).agg(F.min_by("prefix", "ord").alias("prefix"))
-    return uris.join(x, uri, "left")
-
-
 def numbered(rows: DataFrame, order: str, name: str, per: int = 100_000) -> DataFrame:
     """Adds the place of each row, from 1, in the order of a unique whole number; no window covers all rows.
 

@@ -1,5 +1,5 @@
 """Registered queries."""
 
-from loomgraph.plans import catalogue, extraction, files, graphs, records, streams
+from loomgraph.plans import catalogue, extraction, files, graphs, libraries, records, streams
 
-__all__ = ["catalogue", "extraction", "files", "graphs", "records", "streams"]
+__all__ = ["catalogue", "extraction", "files", "graphs", "libraries", "records", "streams"]

@@ -12,6 +12,7 @@ from loomgraph.functions import text as T
 from loomgraph.functions.cid import cid, cid_to_uri, uri_to_cid
 from loomgraph.operators import chunks as C
 from loomgraph.operators import graph as G
+from loomgraph.operators import library as L
 from loomgraph.operators import relational as R
 from loomgraph.session import table
 from loomgraph.sources import readers
@@ -390,10 +391,8 @@ def fewshot_exclude(spark, sf_dir):
 @query("""SELECT string_agg('@prefix ' || p || ': <' || ns || '> .', chr(10) ORDER BY p) AS block FROM (SELECT DISTINCT p, ns FROM (SELECT * FROM (VALUES ('ex', 'http://'), ('exs', 'https://'), ('owl', 'http://www.w3.org/2002/07/owl#'), ('no', 'urn:none')) AS v(p, ns)) WHERE p = 'owl' OR EXISTS (SELECT 1 FROM pages WHERE starts_with(url, ns)))""")
 def prefix_block(spark, sf_dir):
     """Namespaces that are in use, and those that always are."""
-    known = spark.createDataFrame([("ex", "http://", False), ("exs", "https://", False), ("owl", "http://www.w3.org/2002/07/owl#", True), ("no", "urn:none", False)], "p string, ns string, always boolean")
-    used = table(spark, sf_dir, "pages").select(F.col("url")).join(F.broadcast(known), F.expr("startswith(url, ns)")).select("p", "ns").distinct()  # four rows
-    lines = used.unionByName(known.where("always").select("p", "ns")).distinct().select("p", F.concat(F.lit("@prefix "), "p", F.lit(": <"), "ns", F.lit("> .")).alias("l"))
-    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "l"))), lambda v: v["l"]), "\n").alias("block"))
+    known = spark.createDataFrame([(0, "ex", "http://"), (1, "exs", "https://"), (2, "owl", "http://www.w3.org/2002/07/owl#"), (3, "no", "urn:none")], "ord int, prefix string, ns string")
+    return L.prefix_block(table(spark, sf_dir, "pages"), "url", known)
 
 
 @query("""WITH e AS (SELECT lower(c_mktsegment) AS key, min(c_custkey) AS first FROM customer GROUP BY 1) SELECT key, first, 'segment_' || row_number() OVER (ORDER BY first) AS id FROM e""")

@@ -14,7 +14,7 @@ from loomgraph.operators import turtle as U
 from loomgraph.operators import wikitext as W
 from loomgraph.plans.catalogue import ANCHORS_SQL, COS_SQL, TRIPLES_SQL, anchors, body, cid_sql, incr_status, judge_completion, order_triples, query, turtle_block, vocab_topk
 from loomgraph.plans.catalogue import ORACLES
-from loomgraph.session import table
+from loomgraph.session import shared_folder, table
 from loomgraph.sources import artefacts as A
 from loomgraph.sources import readers
 
@@ -197,7 +197,10 @@ def bgp_membership(spark, sf_dir):
 
 @query("SELECT status, count(*) AS n FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'skip' WHEN 1 THEN 'regenerate' ELSE 'generate' END AS status FROM documents) GROUP BY 1")
 def run_counters(spark, sf_dir):
-    return incr_status(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    """Counters of a run, which come with the write of its rows."""
+    names = ("skip", "regenerate", "generate")
+    seen = A.save_counted(incr_status(spark, sf_dir), shared_folder(spark, "status"), {n: F.count_if(F.col("status") == n) for n in names})
+    return spark.createDataFrame([(n, seen[n]) for n in names if seen[n]], "status string, n long")
 
 
 @query("""SELECT conv_id, CAST(count_if(role = 'user') AS BIGINT) AS n_user, CAST(count_if(role = 'assistant') AS BIGINT) AS n_assistant, bool_or(contains(text, '?')) AS has_question, max(turn) AS last_turn FROM conversations GROUP BY 1""")

@@ -10,6 +10,7 @@ from loomgraph.functions import render as N
 from loomgraph.functions import text as T
 from loomgraph.functions.cid import cid
 from loomgraph.operators import notebooks as B
+from loomgraph.operators import library as L
 from loomgraph.operators import relational as R
 from loomgraph.plans.catalogue import ANCHORS_SQL, COS_SQL, ORACLES, anchors, body, cid_sql, query, vocab_topk
 from loomgraph.session import shared_folder, table
@@ -401,7 +402,7 @@ def vocabulary_hints(spark, sf_dir):
 def uri_prefix(spark, sf_dir):
     """Namespaces that begin alike: the first in order wins."""
     known = spark.createDataFrame([(0, "m", "https://m."), (1, "s", "https://"), (2, "p", "http://"), (3, "q", "http")], "ord int, prefix string, ns string")
-    return R.first_prefix(table(spark, sf_dir, "pages").select("page_id", "url"), "url", known).select("page_id", "prefix")
+    return L.first_prefix(table(spark, sf_dir, "pages").select("page_id", "url"), "url", known).select("page_id", "prefix")
 
 
 @query(f"""WITH {ANCHORS_SQL} SELECT page_id, pos, label, 'https://en.wikipedia.org/wiki' || href AS href FROM a""")

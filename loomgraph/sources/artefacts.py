@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import canonical
 from loomgraph.functions.cid import cid
 from loomgraph.functions.render import baseline_input, improvement
 
@@ -19,24 +19,11 @@ SCHEMAS = {
     "trainset": ("chunk_text", "section_context"),
     "devset": ("chunk_text", "section_context"),
     "fewshot_examples": ("chunk_text", "section_context", "statements"),
+    "training_data": ("chunk_text", "section_context", "statements", "chunk_num", "cid"),
+    "evaluation": ("chunk_text", "section_context", "statements", "classifications", "score"),
 }
 
 
-def quoted(c: Column) -> Column:
-    """JSON, ASCII only, of a text or an array of texts; null is written as null."""
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: "null" if s is None else json.dumps(s if isinstance(s, str) else list(s)))
-
-    return run(c)
-
-
-def canonical(of: dict[str, Column]) -> Column:
-    """A row as JSON with sorted keys, which its id is made from."""
-    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), quoted(of[n])) for n in sorted(of)]), F.lit("}"))
-
-
 def rows_cid(rows: DataFrame, order: str, text: str, fan_in: int = 1024) -> DataFrame:
     """cid, n: one id for all rows in order, as a tree: the ids of up to fan_in neighbours are hashed, level by level.
 
@@ -54,16 +41,31 @@ def rows_cid(rows: DataFrame, order: str, text: str, fan_in: int = 1024) -> Data
 
 
 def save_examples(rows: DataFrame, kind: str, path: str, order: str = "ord") -> DataFrame:
-    """kind: a key of SCHEMAS. Saves the rows in order, each with its id, and returns the data set's id and count."""
+    """kind: a key of SCHEMAS. Saves the rows in order, each with its id, and returns the data set's id and count.
+
+    A row's id is that of its columns as canonical JSON.
+    """
     names = list(SCHEMAS[kind])
-    js = canonical({n: F.col(n) for n in names})
-    x = rows.select(F.col(order).cast("long").alias("ord"), *names, js.alias("json")).withColumn("cid", cid(F.col("json")))
+    x = rows.select(F.col(order).cast("long").alias("ord"), *names, canonical.row(rows, names).alias("json"))
+    x = x.withColumn("row_cid" if "cid" in names else "cid", cid(F.col("json")))
     x.drop("json").write.mode("overwrite").parquet(f"{path}/{kind}")
     whole = rows_cid(x, "ord", "json")
     whole.write.mode("overwrite").parquet(f"{path}/{kind}_cid")
     return rows.sparkSession.read.parquet(f"{path}/{kind}_cid")
 
 
+def save_counted(rows: DataFrame, path: str, counters: dict[str, Column]) -> dict[str, int]:
+    """Writes rows and returns counters (aggregates) over them, which come with the write: no second pass."""
+    seen = Observation()
+    rows.observe(seen, *[c.alias(n) for n, c in counters.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def save_settings(rows: DataFrame, path: str, kind: str) -> None:
+    """Configurations, baselines and the like: each row with its id (of all its columns as canonical JSON), kept beside those before."""
+    canonical.with_cid(rows).write.mode("append").parquet(f"{path}/{kind}")
+
+
 def load(spark: SparkSession, path: str, kind: str, required: bool = True) -> DataFrame | None:
     """The rows of a saved artefact; where there is none, an error that says so, or None."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")
