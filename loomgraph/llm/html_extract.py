@@ -1,16 +1,19 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. The elements that a block stands in are evidence: a boilerplate
-container (menu, header, footer, sidebar, form, advert, notice, comments) or an article.
+The page is cut into blocks at block-level tags. The elements that a block stands in are evidence: an article, a
+boilerplate container (menu, header, footer, sidebar, form, advert, comments; by its tag, its role, or a class or id
+that is such a name) or a doubtful one, whose class or id only has such a name as a part, or one that articles use too.
 
 First pass, in this order. Links: a block most of whose text is links is boilerplate, but in an article only
-if it is a list of at least three; other linked text there stays undecided. Container: what is left of a
-boilerplate container is boilerplate, however it reads. Density: long blocks with some stop words and shorter ones with many
-are content; long ones with hardly any are boilerplate, but in an article undecided. Short blocks stay undecided.
+if it is a bare list of at least three, without a word between them; other linked text there stays undecided.
+Container: what is left of a boilerplate container, and outside of articles of a doubtful one, is boilerplate, however
+it reads. Density: long blocks with some stop words and shorter ones with many are content; long ones with hardly any
+are boilerplate, but in an article undecided. Short blocks stay undecided.
 
 Second pass: an undecided block takes the label of the nearest blocks before and after it that the first pass decided by
 their text: that which both have, else that of the nearer one. In an article only the same article's blocks count; of
-equally near ones, and where it has none, the article itself decides for content. Elsewhere containers count too, and the
+equally near ones, and where it has none, the article itself decides for content. In a doubtful container of an article
+only its own blocks count, and where it has none the doubt is for boilerplate. Elsewhere containers count too, and the
 doubt is for boilerplate.
 
 Defined results: a null or empty page has no text, an empty table no rows. A page that ends within a tag, an element or a
@@ -40,12 +43,14 @@ BLOCK = frozenset(
 BAD_TAGS = frozenset("nav header footer aside form button select menu dialog head".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-#: Parts of class names and ids that name boilerplate, as whole words between hyphens, underscores and changes of case.
+#: Words of class names and ids (between hyphens, underscores and changes of case) that name boilerplate.
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar side aside footer "
-    "masthead toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "recommendations comment comments commentlist disqus respond reply replies widget pagination pager legal copyright disclaimer skip search form".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar footer "
+    "masthead toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login "
+    "recommendations comment comments commentlist disqus pagination pager disclaimer".split()
 )
+#: Words that name boilerplate, but parts of articles too.
+DOUBTFUL = frozenset("notice notices alert side aside subscription share sharing social related recommended respond reply replies widget legal copyright skip search form".split())
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on are this from at or an not have has but they which he she we you "
     "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach "
@@ -54,25 +59,49 @@ STOP_WORDS = frozenset(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Words that only say where or how such a part stands.
+FILLERS = frozenset("list section box wrap wrapper container area block body item items content inner outer main site page global top bottom left right bar slot unit group row col primary secondary user thread post js x".split())
+#: One attribute after the other, so that nothing within a value is taken for a name; a stray quoted text is passed over.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?|\"[^\"]*\"|'[^']*'", re.S)
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def boilerplate(tag: str, attributes: str) -> bool:
+NO, DOUBT, YES = 0, 1, 2
+
+
+def named(names: str) -> int:
+    """What class names or ids say, each by itself. YES: bad words, and none but doubtful ones beside; DOUBT: some bad words, or only doubtful ones."""
+    out = NO
+    for one in names.split():
+        words = [w.lower() for w in WORDS.findall(one)]
+        words = [w for w in words if w not in FILLERS] or words
+        bad, doubt = sum(w in BAD_NAMES for w in words), sum(w in DOUBTFUL for w in words)
+        if bad and bad + doubt == len(words):
+            return YES
+        if bad or doubt and doubt == len(words):
+            out = DOUBT
+    return out
+
+
+def boilerplate(tag: str, attributes: str) -> int:
+    """How far an element is a boilerplate container: NO, DOUBT or YES."""
     if tag in BAD_TAGS:
-        return True
+        return YES
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
-    for name, *value in ATTRIBUTE.findall(attributes):
-        name, v = name.lower(), "".join(value)
+        return NO
+    out = NO
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1] is None:
+            continue
+        name, v = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and v.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", v, re.I):
-            return True
+            return YES
         if name == "role" and v.lower() in BAD_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in BAD_NAMES for w in WORDS.findall(v)):
-            return True
-    return False
+            return YES
+        if name in ("class", "id"):
+            out = max(out, named(v))
+    return out
 
 
 @dataclass(frozen=True)
@@ -80,37 +109,40 @@ class Block:
     text: str
     linked: int  # characters in links, but for white space
     links: int
+    bare: bool  # no letter or digit outside of links
     bad: bool  # in a boilerplate container
+    doubt: int  # number of the outermost doubtful container, 0 for none
     article: int  # number of the innermost article, 0 for none
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks with text, in the order of the page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
-    parts, linked, n_links = [], 0, 0
-    bad = links = articles = article = 0
+    stack: list[tuple[str, int, int, int]] = []
+    parts, linked, n_links, bare = [], 0, 0, True
+    bad = links = articles = article = doubts = doubt = 0
 
     def close() -> None:
-        nonlocal parts, linked, n_links
+        nonlocal parts, linked, n_links, bare
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, n_links, bad > 0, article))
-        parts, linked, n_links = [], 0, int(links > 0)
+            out.append(Block(text, linked, n_links, bare, bad > 0, doubt, article))
+        parts, linked, n_links, bare = [], 0, int(links > 0), True
 
     def drop() -> None:
-        nonlocal bad, article, links
-        tag, b, outer = stack.pop()
-        bad -= b
-        article = outer
+        nonlocal bad, article, links, doubt
+        tag, b, article, doubt = stack.pop()
+        bad -= b == YES
         links -= tag == "a"
 
     def text(s: str) -> None:
-        nonlocal linked
+        nonlocal linked, bare
         s = unescape(s)
         parts.append(s)
         if links:
             linked += len("".join(s.split()))
+        elif bare and any(map(str.isalnum, s)):
+            bare = False
 
     at, n = 0, len(html)
     while at < n:
@@ -133,7 +165,7 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 close()
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack[-1][0] != tag:
                     drop()
                 drop()
@@ -160,9 +192,12 @@ def blocks(html: str) -> list[Block]:
             b = boilerplate(tag, m[3])
             # a header within the article holds its title
             if tag == "header" and article and not bad:
-                b = False
-            stack.append((tag, b, article))
-            bad += b
+                b = NO
+            stack.append((tag, b, article, doubt))
+            bad += b == YES
+            if b == DOUBT and not doubt:
+                doubts += 1
+                doubt = doubts
             if tag in MAIN_TAGS:
                 articles += 1
                 article = articles
@@ -176,10 +211,10 @@ def label(block: Block, long: int = 140, dense: float = 0.25, sparse: float = 0.
     """First pass: the label and the rule that gave it."""
     size = sum(map(len, block.text.split()))
     if block.linked > linky * size:
-        if block.bad or not block.article or block.links >= 3:
+        if block.bad or not block.article or block.links >= 3 and block.bare:
             return BAD, "links"
         return OPEN, ""
-    if block.bad:
+    if block.bad or block.doubt and not block.article:
         return BAD, "container"
     w = re.findall(r"[^\W\d_]+", block.text.lower())
     stop = sum(x in STOP_WORDS for x in w) / max(1, len(w))
@@ -225,12 +260,12 @@ def classify(found: list[Block]) -> list[tuple[int, str]]:
     """Both passes: each block's label and the rule that gave it, `neighbours` in the second pass."""
     first = [label(b) for b in found]
     out = list(zip(inherit([x for x, _ in first]), (rule or "neighbours" for _, rule in first), strict=True))
-    runs: dict[int, list[int]] = {}
+    runs: dict[tuple[int, int], list[int]] = {}
     for i, b in enumerate(found):
         if b.article and first[i][1] != "container":
-            runs.setdefault(b.article, []).append(i)
-    for places in runs.values():
-        for i, x in zip(places, inherit([first[i][0] for i in places], GOOD), strict=True):
+            runs.setdefault((b.article, b.doubt), []).append(i)
+    for (_, doubtful), places in runs.items():
+        for i, x in zip(places, inherit([first[i][0] for i in places], BAD if doubtful else GOOD), strict=True):
             out[i] = x, out[i][1]
     return out
 

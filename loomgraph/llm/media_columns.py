@@ -7,8 +7,9 @@ a digest join resolves references, and the array's order and the captions' place
 Payloads are stored as grey images: 24 x 24 samples of 8 bits to a tile, tiles stacked, in the PGM format.
 
 Defined results: null HTML is an empty sequence, a null text an empty payload (one tile of filler). A
-reference whose payload isn't in the store stays, unresolved. Repeated rows get equal results. Empty tables
-give empty results.
+reference whose payload isn't in the store stays, unresolved. Scripts, styles and the like give no text. Repeated rows
+get equal results, rows that share a key a sequence each, a null key stays null. Pages and texts of any length are
+read whole. Empty tables give empty results. Columns beside the named ones are never read, so names can't clash.
 """
 
 from __future__ import annotations
@@ -30,10 +31,18 @@ UNIT = SIDE * SIDE
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string>>"
 
 
+#: Elements that text runs through, and those whose contents are no text of the page.
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time u var wbr".split())
+UNSEEN = frozenset("script style template noscript title textarea".split())
+MEDIA = frozenset("img source video audio".split())
+
+
 class _Sequence(HTMLParser):
+    """A figcaption lasts to its end tag or, where that is missing, to the end of its figure or to the next figure."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.caption = [], [], 0
+        self.items, self.text, self.caption, self.unseen = [], [], False, None
 
     def flush(self):
         t = " ".join("".join(self.text).split())
@@ -42,21 +51,37 @@ class _Sequence(HTMLParser):
         self.text = []
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in ("img", "source", "video", "audio") and (src := a.get("src")):
+        if self.unseen:
+            return
+        if tag in UNSEEN:
+            self.unseen = tag
+            return
+        if tag in MEDIA and (src := dict(attrs).get("src")):
             self.flush()
-            self.items.append({"position": len(self.items), "kind": "media", "text": a.get("alt"), "digest": src.removeprefix("sha256:")})
-        elif tag not in ("a", "b", "i", "em", "strong", "span", "code", "sub", "sup"):
+            self.items.append({"position": len(self.items), "kind": "media", "text": dict(attrs).get("alt"), "digest": src.removeprefix("sha256:")})
+        elif tag not in INLINE:
             self.flush()
-        self.caption += tag == "figcaption"
+        if tag in ("figcaption", "figure"):
+            self.caption = tag == "figcaption"
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in UNSEEN:
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in ("a", "b", "i", "em", "strong", "span", "code", "sub", "sup"):
+        if self.unseen:
+            if tag == self.unseen:
+                self.unseen = None
+            return
+        if tag not in INLINE:
             self.flush()
-        self.caption -= tag == "figcaption" and self.caption > 0
+        if tag in ("figcaption", "figure"):
+            self.caption = False
 
     def handle_data(self, data):
-        self.text.append(data)
+        if not self.unseen:
+            self.text.append(data)
 
 
 def sequence(html: str | None) -> list[dict]:

@@ -1,3 +1,4 @@
+import os
 import math
 import zlib
 from collections import Counter
@@ -219,6 +220,20 @@ def test_html(spark):
     assert html_extract.main_text("<article><p>It was for the dog that they have come to us.</p><p><a>One</a> <a>Two</a> <a>Three</a></p></article>") == "It was for the dog that they have come to us."
     assert len(html_extract.main_text("<article>" + "<p>The cat is on the mat.</p>" * 50_000)) == 50_000 * 24 - 2
     assert html_extract.inherit([0, 0]) == [-1, -1]
+    said = "It was for the dog that they have come to us."
+    for kept in (
+        f'<p title="hidden">{said}</p>', f"<p data-hidden>{said}</p>", f'<p data-role="navigation" title="x class=ad">{said}</p>', f'<section class="related-work"><h2>Related work</h2><p>{said}</p></section>',
+        f'<div class="social-science"><p>{said}</p></div>', f'<p id="form-and-function">{said}</p>', f"<p class=notice>{said}</p>", f"<p>{said}</p><p>See <a>Alpha report</a>, <a>Beta report</a>, <a>Gamma report</a>.</p>",
+        f'<div class="no-comment-policy"><p>{said}</p></div>', f'<p class="legal">{said}</p>',
+    ):
+        got = html_extract.main_text(f"<article>{kept}</article>")
+        assert said in got and ("See" not in kept or got.endswith("See Alpha report, Beta report, Gamma report.")) and ("<h2>" not in kept or got.startswith("Related work")), kept
+    for gone in (
+        f"<p hidden>{said}</p>", f"<p hidden=''>{said}</p>", f'<div class="x ad">{said}</div>', f"<div class=cookie-banner>{said}</div>", f"<div id=commentList><p>{said}</p></div>", f'<div class="social-share"><p>Share this</p></div>',
+        f'<div title=">" role="navigation">{said}</div>', f"<div style='display: none'>{said}</div>", "<p class=related>Also read</p>", f'<div class="newsletter-signup"><p>{said}</p></div>', f'<div class="side&#98;ar">{said}</div>',
+    ):
+        assert html_extract.main_text(f"<article><p>It was so for the dog that they came to us.</p>{gone}</article>") == "It was so for the dog that they came to us.", gone
+    assert html_extract.main_text(f'<div class="related-work"><p>{said}</p></div>') == ("" if html_extract.named("related-work") else said)
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r.key, r.n_chars) for r in html_extract.extract(df).collect()) == [(1, 58), (1, 58), (2, 0)]
     clash = spark.createDataFrame([(1, "u", PAGE, "k", "t"), (None, "u", PAGE, "k", "t")], "page_id long, url string, html string, key string, text string")
@@ -270,3 +285,37 @@ def test_html_against_a_plain_walk(spark):
         rules.update(rule for _, rule in html_extract.classify(found))
         assert html_extract.main_text(r.html) == "\n\n".join(walk.out), r.page_id
     assert set(rules) == {"links", "container", "density", "neighbours"} and rules["density"] > 1000 and rules["neighbours"] > 100, rules
+
+
+def test_media_sequence_of_odd_pages(spark):
+    seq = lambda h: [(i["kind"], i["text"], i["digest"]) for i in media_columns.sequence(h)]
+    page = '<p>a <b>b</b> c</p><script>var x = "<p>no</p>";</script><style>p{}</style><figure><img src="sha256:1" alt="A"><figcaption>cap <i>one</i></figure><p>after</p><template><p>no</p></template><img src="sha256:2"/>end'
+    assert seq(page) == [("text", "a b c", None), ("media", "A", "1"), ("caption", "cap one", None), ("text", "after", None), ("media", None, "2"), ("text", "end", None)]
+    assert [i["position"] for i in media_columns.sequence(page)] == list(range(6))
+    assert seq("<figure><figcaption>x<figure><img src=3>y") == [("caption", "x", None), ("media", None, "3"), ("text", "y", None)]
+    assert seq("<figcaption>x</figcaption>y") == [("caption", "x", None), ("text", "y", None)]
+    assert seq(None) == seq("") == seq("<script>open") == [] and seq("<p>cut off <b") == [("text", "cut off <b", None)]
+    df = spark.createDataFrame([(None, "<p>a</p>", 1), (1, None, 1), (1, "<p>a</p><img src='sha256:q'>", 1), (1, "<p>a</p><img src='sha256:q'>", 1)], "k long, html string, items int")
+    x = media_columns.interleave(df, "k", "html")
+    assert sorted((r.key is None, len(r["items"])) for r in x.collect()) == [(False, 0), (False, 2), (False, 2), (True, 1)]
+    store = media_columns.describe(media_columns.store(spark.createDataFrame([(None, 3), ("", 3), ("t" * 2000, 3)], "text string, digest int"), "text"))
+    assert sorted((r.n_bytes, r.payload_bytes) for r in store.collect()) == [(0, 576), (2000, 2304)]
+    got = media_columns.resolve(x, store).where("kind = 'media'").collect()
+    assert [(r.digest, r.n_bytes) for r in got] == [("q", None)] * 2
+    assert media_columns.interleave(df.limit(0), "k", "html").count() == 0 and media_columns.store(df.select("html").limit(0), "html").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_media_sequences_of_pages_are_a_plain_walk(spark):
+    """Text between tags that part blocks, in order, without what stands in scripts and the like."""
+    import re
+    from html import unescape
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    got = {r.key: [i.text for i in r["items"] if i.kind != "media"] for r in media_columns.interleave(rows, "page_id", "html").collect()}
+    skip = "|".join(sorted(media_columns.UNSEEN))
+    for r in rows.collect():
+        h = re.sub(rf"(?is)<!--.*?-->|<!doctype[^>]*>|<({skip})\b.*?</\1\s*>", "", r.html or "")
+        h = re.sub(rf"(?is)</?(?:{'|'.join(sorted(media_columns.INLINE))})\b[^>]*>", "", h)
+        want = [" ".join(unescape(t).split()) for t in re.split(r"(?s)<[a-zA-Z/][^>]*>", h)]
+        assert got[r.page_id] == [t for t in want if t], r.page_id
