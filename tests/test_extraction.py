@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import render as N
 from loomgraph.operators import chunks as C
-from loomgraph.operators import graph as G
 from loomgraph.sources import readers
 from loomgraph.streaming import incremental
 
@@ -21,11 +20,6 @@ def test_recursive_chunks(spark):
     assert [(r.key, r.chunk_num, r.chunk) for r in got] == [(1, i, c) for i, c in enumerate(["aaa bbb", "bbb ccc", "ccc ddd", "eee fff"])]
 
 
-def test_valid_turtle_column(spark):
-    df = spark.createDataFrame([("a:b a:c a:d .",), ("{",), (None,)], "x string")
-    assert [r[0] for r in df.select(G.is_valid_turtle(F.col("x"))).collect()] == [True, False, True]
-
-
 def test_signed_cells(spark):
     sig = lambda **k: json.dumps(k)
     chunk = "**Context:** T > S\n**Chunk:** 2 of 3\n\n---\n\nbody\n---\nmore\n"
