@@ -99,11 +99,18 @@ def article_links(text: Column, base: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["label"].alias("label"), F.concat(F.lit(base), x["href"]).alias("href")))
 
 
+def one_of_each(links: Column, last: bool = False) -> Column:
+    """links: array of (label, href). The first link of each label, or the last, in the order of the links; one sort, no nested search."""
+    placed = F.transform(links, lambda x, i: F.struct(x["label"].alias("label"), (-i if last else i).alias("i"), x["href"].alias("href")))
+    pairs = F.array_sort(placed)
+    kept = F.filter(F.transform(pairs, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(pairs["label"], i - 1).eqNullSafe(x["label"]) & (i > 0), F.lit(False)).alias("again"))), lambda r: ~r["again"])
+    back = F.array_sort(F.transform(kept, lambda r: F.struct(F.abs(r["x"]["i"]).alias("i"), r["x"]["label"].alias("label"), r["x"]["href"].alias("href"))))
+    return F.transform(back, lambda r: F.struct(r["label"].alias("label"), r["href"].alias("href")))
+
+
 def link_map(links: Column) -> Column:
     """links: array of (label, href). Label to address; the last link of a label wins."""
-    labels = F.transform(links, lambda x: x["label"])
-    last = F.filter(links, lambda x, i: ~F.array_contains(F.slice(labels, i + 2, F.greatest(F.size(labels) - i - 1, F.lit(0))), x["label"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(one_of_each(links, last=True))
 
 
 def first_given(*columns: Column) -> Column:
@@ -192,7 +199,5 @@ def good_share(found: Column, statements: Column) -> Column:
 
 def entity_context(links: Column) -> Column:
     """links: array of (label, href). A line for each label, the first link of a label wins."""
-    labels = F.transform(links, lambda x: x["label"])
-    first = F.filter(links, lambda x, i: F.array_position(labels, x["label"]) == i + 1)
-    lines = F.transform(first, lambda x: F.concat(F.lit("  - ["), x["label"], F.lit("]("), x["href"], F.lit(")")))
+    lines = F.transform(one_of_each(links), lambda x: F.concat(F.lit("  - ["), x["label"], F.lit("]("), x["href"], F.lit(")")))
     return F.when(F.size(links) > 0, F.concat_ws("\n", F.lit(LINKS_HEAD), F.array_join(lines, "\n"))).otherwise(F.lit(NO_LINKS))

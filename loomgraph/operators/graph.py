@@ -46,3 +46,23 @@ def hops(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
         front = front.join(edges, F.col("node") == F.col("u")).select("root", F.col("v").alias("node"), F.lit(d).alias("depth")).distinct()
         out = out.unionByName(front)
     return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+
+
+def distinct_triples(triples: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
+    """by, s, p, o, the least order of each triple of a group and how many more there were."""
+    return triples.groupBy(*by, "s", "p", "o").agg(F.min(order).alias(order), (F.count("*") - 1).alias("n_duplicates"))
+
+
+def pattern_flags(triples: DataFrame, by: list[str]) -> DataFrame:
+    """What a group's triples show: roles, blank nodes, dates, descriptions, comments, quotations, texts."""
+    s, p, o = F.coalesce("s", F.lit("")), F.coalesce("p", F.lit("")), F.coalesce("o", F.lit(""))
+    flags = {
+        "has_role": o.contains("Role"),
+        "has_blank_node": s.startswith("_:") | o.startswith("_:"),
+        "has_dates": F.lower(p).contains("date"),
+        "has_description": p == "schema:description",
+        "has_comment": F.lower(p).contains("comment"),
+        "has_quotation": o.contains("Quotation"),
+        "has_text": p.contains("schema:text"),
+    }
+    return triples.groupBy(*by).agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])

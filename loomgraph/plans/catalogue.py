@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from loomgraph.functions import render as N
 from loomgraph.functions import text as T
 from loomgraph.functions.cid import cid, cid_to_uri, uri_to_cid
+from loomgraph.functions.provenance import parse_signature
 from loomgraph.operators import chunks as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import library as L
 from loomgraph.operators import relational as R
+from loomgraph.operators import runs
 from loomgraph.session import table
 from loomgraph.sources import readers
 
@@ -221,7 +223,7 @@ def processed_set(spark, sf_dir):
 
 @query(f"WITH {TRIPLES_SQL} SELECT stmt, s, p, o, min(ord) AS ord, count(*) - 1 AS n_duplicates FROM t GROUP BY ALL")
 def triples_dedup(spark, sf_dir):
-    return order_triples(spark, sf_dir).groupBy("stmt", "s", "p", "o").agg(F.min("ord").alias("ord"), (F.count("*") - 1).alias("n_duplicates"))
+    return G.distinct_triples(order_triples(spark, sf_dir), ["stmt"])
 
 
 @query(f"WITH {TRIPLES_SQL} SELECT stmt, string_agg(s || ' ' || p || ' ' || o || ' .', chr(10) ORDER BY ord) AS turtle FROM t GROUP BY stmt")
@@ -327,22 +329,13 @@ def views_stats(spark, sf_dir):
 SELECT CAST(b AS INTEGER) AS bin, count(v) AS n FROM (SELECT unnest(range(30)) AS b) LEFT JOIN (SELECT v, least(29, CAST(floor((v - lo) * 30.0 / (hi - lo)) AS BIGINT)) AS k FROM v, m) ON b = k GROUP BY 1""")
 def views_hist(spark, sf_dir):
     x = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("v"))
-    m = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    k = x.join(m, F.lit(True)).select(F.least(F.lit(29), F.floor((F.col("v") - F.col("lo")) * 30.0 / (F.col("hi") - F.col("lo")))).cast("int").alias("bin"))
-    return spark.range(30).select(F.col("id").cast("int").alias("bin")).join(k.groupBy("bin").agg(F.count("*").alias("n")), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return runs.histogram(x, "v", 30)
 
 
 @query("""WITH c AS (SELECT count(*) AS n FROM conversations GROUP BY conv_id), b AS (SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' WHEN n <= 50 THEN '21-50' WHEN n <= 100 THEN '51-100' ELSE '100+' END AS bucket FROM c)
 SELECT x.bucket, count(b.bucket) AS n FROM (SELECT unnest(['1-5', '6-10', '11-20', '21-50', '51-100', '100+']) AS bucket) x LEFT JOIN b ON x.bucket = b.bucket GROUP BY 1""")
 def iteration_buckets(spark, sf_dir):
-    n = F.col("n")
-    edges = [(5, "1-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100")]
-    bucket = F.lit("100+")
-    for top, name in reversed(edges):
-        bucket = F.when(n <= top, name).otherwise(bucket)
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    names = spark.range(1).select(F.explode(F.array(*[F.lit(x) for _, x in edges], F.lit("100+"))).alias("bucket"))
-    return names.join(c, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    return runs.iteration_buckets(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")))
 
 
 @query("SELECT min(n) AS lo, max(n) AS hi, avg(n) AS mean, CAST(count_if(n >= 8) AS BIGINT) AS n_limit FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)")
@@ -378,8 +371,7 @@ def training_examples(spark, sf_dir):
 
 @query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) BETWEEN 2 AND 50 ORDER BY n DESC, conv_id LIMIT 10")
 def fewshot_select(spark, sf_dir):
-    x = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).where("n between 2 and 50")
-    return x.orderBy(F.desc("n"), "conv_id").limit(10)
+    return runs.fewshot(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id", "n", 10)
 
 
 @query("SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2')")
@@ -415,10 +407,9 @@ def sig_parse(spark, sf_dir):
     """Signatures of the two layouts, and text that is none."""
     h = F.sha2("text", 256)
     k = F.col("doc_id") % 3
-    raw = F.when(k == 0, F.to_json(F.struct(F.concat(F.lit("ipfs://"), h).alias("@id"), F.lit("chunk").alias("_type")))).when(k == 1, F.to_json(F.struct(h.alias("cid"), F.lit("facts").alias("type")))).otherwise("not json")
-    x = table(spark, sf_dir, "documents").select("doc_id", F.try_parse_json(raw).alias("v"))
-    get = lambda p: F.try_variant_get("v", p, "string")
-    return x.select("doc_id", F.coalesce(F.regexp_replace(get('$["@id"]'), "^ipfs://", ""), get("$.cid")).alias("cid"), F.coalesce(get("$._type"), get("$.type")).alias("type"))
+    raw = F.when(k == 0, F.to_json(F.struct(F.concat(F.lit("ipfs://"), h).alias("@id"), F.lit("chunk").alias("_type")))).when(k == 1, F.to_json(F.struct(h.alias("cid"), F.lit("facts").alias("type"), F.lit(1).alias("cell")))).otherwise("not json")
+    x = table(spark, sf_dir, "documents").select("doc_id", parse_signature(raw).alias("sig"))
+    return x.select("doc_id", "sig.cid", "sig.type")
 
 
 @query("""SELECT doc_id, '**Context:** ' || source || chr(10) || '**Chunk:** 1 of 1' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) AS cell FROM documents""")
