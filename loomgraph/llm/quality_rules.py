@@ -148,6 +148,17 @@ def op7(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def ablation_report(spark, sf_dir: str) -> DataFrame:
+    """Query quality_ablations: for each policy and rule over `documents`, what the rule rejects, alone rejects, and what is kept without it."""
+    from loomgraph.llm.common import scratch, table
+
+    led, bits, _ = ledger(table(spark, sf_dir, "documents").select("text"))
+    # the rules are evaluated once; both policies read the bits
+    led = scratch(led.select(F.col(bits).alias("bits")), "bits")
+    of = lambda p: ablations(led, "bits", p).select(F.lit(p.name).alias("policy"), F.lit(p.version).alias("version"), "*")
+    return of(BASE).unionByName(of(STRICT))
+
+
 OP7_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
@@ -164,3 +175,9 @@ b AS (SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_wo
   + 32 * (10 * n_upper > 3 * word_chars)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+#: Of the query quality_ablations, over op7's bits.
+ABLATIONS_SQL = f"""WITH q AS ({OP7_SQL}), p AS (SELECT * FROM (VALUES ('base', 3), ('strict', 63)) AS v(policy, mask)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeats', 2), ('symbols', 4), ('dup_lines', 8), ('word_length', 16), ('shouting', 32)) AS v(rule, bit))
+SELECT policy, 1 AS version, rule, CAST(count_if(fail_bits & mask & bit <> 0) AS BIGINT) AS n_failed, CAST(count_if(fail_bits & mask = bit) AS BIGINT) AS n_only,
+CAST(count_if(fail_bits & mask = 0 OR fail_bits & mask = bit) AS BIGINT) AS n_kept_without FROM q, p, r WHERE mask & bit <> 0 GROUP BY policy, rule"""

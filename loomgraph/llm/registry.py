@@ -24,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_url_filters": url_filter.op11,
         "op12_periodic_runs": periodic_runs.op12,
         "op13_conversation_repair": conversation_repair.op13,
+        "quality_ablations": quality_rules.ablation_report,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the method."""
-    return {"op5_substring_dedup": substring_dedup.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op11_url_filters": url_filter.OP11_SQL}
+    return {"op5_substring_dedup": substring_dedup.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op11_url_filters": url_filter.OP11_SQL, "quality_ablations": quality_rules.ABLATIONS_SQL}
