@@ -124,7 +124,7 @@ def with_listed(rows: DataFrame, url: str, listed: DataFrame, listed_url: str, m
     # any salt is right: each listed URL comes with all of them
     yes = x.where(may).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     every = entries.select(F.col("entry").alias(key), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt), F.lit(True).alias(is_listed))
-    yes = yes.join(every, [key, salt], "left").select(*own, may, F.coalesce(is_listed, F.lit(False)).alias(is_listed))
+    yes = yes.join(every.hint("shuffle_hash"), [key, salt], "left").select(*own, may, F.coalesce(is_listed, F.lit(False)).alias(is_listed))
     return no.unionByName(yes), may, is_listed
 
 
