@@ -176,7 +176,19 @@ def chunk_fixed(spark, sf_dir):
     return x.select("doc_id", "chunk_num", "char_start", "char_end", F.sha2("chunk", 256).alias("h"))
 
 
-@query()
+#: Splits texts at headers, and each section's text again and again at the last blank line, sentence end or hard limit.
+CHUNKS_SQL = r"""WITH RECURSIVE h AS (SELECT doc_id, string_split_regex(text, '\n==+\s+.+?\s+==+\n') AS b, regexp_extract_all(text, '\n(==+\s+.+?\s+==+)\n', 1) AS hs FROM documents WHERE regexp_matches(text, '[^ \t\r\n]')),
+p AS (SELECT doc_id, i, trim(b[i], chr(32) || chr(9) || chr(10) || chr(13)) AS t, CASE WHEN i > 1 THEN regexp_extract(hs[i - 1], '==+\s+(.+?)\s+==+', 1) END AS section FROM (SELECT doc_id, b, hs, unnest(range(1, len(b) + 1)) AS i FROM h)),
+r AS (SELECT doc_id, i, section, 0 AS n, t AS cur, CAST(NULL AS VARCHAR) AS piece FROM p WHERE NOT regexp_matches(t, '^==+\s+.+?\s+==+')
+UNION ALL SELECT doc_id, i, section, n + 1, CASE WHEN length(cur) > 1500 THEN ltrim(substr(cur, cut + 1), chr(32) || chr(9) || chr(10) || chr(13)) ELSE '' END, CASE WHEN length(cur) > 1500 THEN left(cur, cut) ELSE cur END
+FROM (SELECT *, CASE WHEN blank > 0 THEN blank WHEN blank < 0 AND stop > 0 THEN stop ELSE 1500 END AS cut FROM (SELECT *, CASE WHEN strpos(back, chr(10) || chr(10)) > 0 THEN 1500 - strpos(back, chr(10) || chr(10)) - 1 ELSE -1 END AS blank,
+CASE WHEN strpos(back, ' .') > 0 THEN 1500 - strpos(back, ' .') - 1 ELSE -1 END AS stop FROM (SELECT *, reverse(left(cur, 1500)) AS back FROM r WHERE cur <> '')))),
+c AS (SELECT doc_id, i, n, section, trim(piece, chr(32) || chr(9) || chr(10) || chr(13)) AS piece FROM r WHERE piece IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, n) - 1 AS INTEGER) AS chunk_num, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks,
+'Doc ' || doc_id || coalesce(' > ' || section, '') AS section_context, CAST(length(piece) AS INTEGER) AS n_chars, {cid} AS cid FROM c WHERE length(piece) >= 60"""
+
+
+@query(CHUNKS_SQL.replace("{cid}", cid_sql("piece")))
 def chunk_article(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doc "), "doc_id").alias("title"), "text")
     x = C.chunk_articles(x, "doc_id", "title", "text", 1500, 60)

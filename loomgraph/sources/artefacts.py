@@ -61,6 +61,11 @@ def save_counted(rows: DataFrame, path: str, counters: dict[str, Column]) -> dic
     return seen.get
 
 
+def dump(rows: DataFrame, path: str) -> None:
+    """Rows as canonical JSON, one a line: samples, evaluations, results."""
+    rows.select(canonical.row(rows).alias("value")).write.mode("overwrite").text(path)
+
+
 def save_settings(rows: DataFrame, path: str, kind: str) -> None:
     """Configurations, baselines and the like: each row with its id (of all its columns as canonical JSON), kept beside those before."""
     canonical.with_cid(rows).write.mode("append").parquet(f"{path}/{kind}")

@@ -195,3 +195,36 @@ def bad_classifications(found: DataFrame) -> DataFrame:
 
 def with_missing_facts(found: DataFrame) -> DataFrame:
     return found.where("missing_facts <> '' and lower(missing_facts) <> 'none'")
+
+
+def bootstrap_chunks(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The oldest layout: by, chunk_num (as written, or null), section_context, text, cid.
+
+    A raw cell of type chunk takes the last cell with a context before it, whatever else stands between; any raw cell
+    ends that, and one of the newer layout or that isn't JSON takes none. Lines --- and further context and number lines
+    are no text; cells without a line after --- are passed over. One window over each notebook's own cells.
+    """
+    lines = F.split(strip(F.col("source")), "\n")
+    after = F.slice(lines, F.array_position(lines, "---").cast("int") + 1, F.size(lines))
+    is_context, is_number = (lambda x: x.startswith("**Context:**")), (lambda x: x.startswith("**Chunk:**"))
+    text = F.filter(after, lambda x: ~is_context(x) & ~is_number(x) & (x != "---"))
+    last = lambda found: F.get(found, F.size(found) - 1)
+    context = strip(F.replace(last(F.filter(lines, is_context)), F.lit("**Context:**"), F.lit("")))
+    number = last(F.filter(F.transform(F.filter(lines, is_number), lambda x: F.regexp_extract(x, r"(\d+) of \d+", 1)), lambda x: x != "")).try_cast("int")
+    w = Window.partitionBy(*by).orderBy("cell_idx").rowsBetween(Window.unboundedPreceding, -1)
+    is_raw = F.col("cell_type") == "raw"
+    x = cells.withColumn("_part", F.coalesce(F.count_if(is_raw).over(w), F.lit(0)))
+    has = (F.col("cell_type") == "markdown") & F.col("source").contains("**Context:**") & (F.array_position(lines, "---") > 0) & (F.size(text) > 0)
+    found = F.struct(number.alias("chunk_num"), F.coalesce(context, F.lit("")).alias("section_context"), strip(F.array_join(text, "\n")).alias("text"))
+    x = x.groupBy(*by, "_part").agg(F.max_by(F.when(has, found), F.when(has, F.col("cell_idx"))).alias("c"), F.max(F.when(is_raw, F.col("source"))).alias("raw"))
+    x = x.where("c is not null").withColumn("sig", F.try_parse_json("raw"))
+    return x.where(F.try_variant_get("sig", "$.type", "string") == "chunk").select(*by, "c.*", F.try_variant_get("sig", "$.cid", "string").alias("cid"))
+
+
+#: The address of the page views service.
+PAGEVIEWS = "https://wikimedia.org/api/rest_v1/metrics/pageviews/top"
+
+
+def pageviews_address(project: Column, access: Column, year: Column, month: Column) -> Column:
+    """The address of a month's most viewed pages, which top_pages() reads the response of."""
+    return F.concat_ws("/", F.lit(PAGEVIEWS), project, access, year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lit("all-days"))

@@ -126,3 +126,25 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_chunker_and_its_sql_agree():
+    """Random texts with headers, blank lines, sentences and long runs."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from loomgraph.plans.catalogue import CHUNKS_SQL
+
+    rng = random.Random(4)
+    part = lambda: rng.choice(["word ", "A sentence here. ", "\n\n", f"\n== Head {rng.randrange(9)} ==\n", "\n=== Sub ===\n", "x" * rng.randrange(400), " ", " \n", "== no =="])
+    rows = [(d, "".join(part() for _ in range(rng.randrange(80)))) for d in range(400)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = con.sql(CHUNKS_SQL.replace("{cid}", "piece")).fetchall()
+    want = []
+    for d, t in rows:
+        found = C.chunk_text(f"Doc {d}", t, 1500, 60)
+        want += [(d, i, len(found), s, len(p), p) for i, (p, s) in enumerate(found)]
+    assert sorted(got) == sorted(want)
