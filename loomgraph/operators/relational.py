@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.names import fresh
 from loomgraph.functions.text import cosine, dot, entity_key, entity_uri
 from loomgraph.operators import vectors
+from loomgraph.session import shared_folder
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -136,16 +137,17 @@ def nearest_rows(rows: DataFrame, vector: list[float], k: int = 10, *keys: str)
 
 
 def numbered(rows: DataFrame, order: str, name: str, per: int = 100_000) -> DataFrame:
-    """Adds the place of each row, from 1, in the order of a unique whole number; no window covers all rows.
+    """Adds the place of each row, from 1, in the order of a unique value; no window covers all rows.
 
-    Rows are dealt to equal ranges of the number, about `per` rows each if it is spread evenly; the counts of the
-    ranges before give each row's place.
+    Rows are dealt to ranges of about `per` rows by a sample of the values, however these are spread, and written with
+    their range, so that counts and places are taken of the same ranges; the counts of the ranges before give each
+    row's place. Null values come first.
     """
     r, c, before = fresh(rows, "_range", "_count", "_before")
-    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count(order)).first()
-    ranges = max(1, -(-n // per))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
-    x = rows.withColumn(r, F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)))
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "numbered")
+    ranges = max(1, -(-rows.count() // per))
+    rows.repartitionByRange(ranges, order).withColumn(r, F.spark_partition_id()).write.parquet(path)
+    x = spark.read.parquet(path)
     counts = x.groupBy(r).agg(F.count("*").alias(c))
     counts = counts.select(r, (F.sum(c).over(Window.orderBy(r)) - F.col(c)).alias(before))  # a row for each range
     place = F.col(before) + F.row_number().over(Window.partitionBy(r).orderBy(order))

@@ -1,5 +1,5 @@
 """Registered queries."""
 
-from loomgraph.plans import catalogue, composed, extraction, files, graphs, libraries, records, streams
+from loomgraph.plans import catalogue, composed, extraction, files, graphs, libraries, records, streams, texts
 
-__all__ = ["catalogue", "composed", "extraction", "files", "graphs", "libraries", "records", "streams"]
+__all__ = ["catalogue", "composed", "extraction", "files", "graphs", "libraries", "records", "streams", "texts"]

@@ -100,3 +100,15 @@ def test_one_link_of_each_label(spark):
                 if last or k not in keep:
                     keep[k] = (i, k, h)
             assert [tuple(x) for x in found] == [(k, h) for _, k, h in sorted(keep.values())]
+
+
+def test_numbered_ranges(spark):
+    """Clustered and negative numbers, texts, and nothing."""
+    from loomgraph.operators import relational
+
+    values = [*range(300), *range(10**15, 10**15 + 200), -5, 10**18]
+    df = spark.createDataFrame([(v, str(v), "x") for v in values], "v long, t string, _range string").repartition(4)
+    for order, key in (("v", lambda v: v), ("t", str)):
+        got = {r.v: r.n for r in relational.numbered(df, order, "n", per=40).collect()}
+        assert got == {v: i + 1 for i, v in enumerate(sorted(values, key=key))}
+    assert relational.numbered(df.limit(0), "v", "n").count() == 0
