@@ -45,7 +45,24 @@ def chunk_position(spark, sf_dir):
     return x.select("doc_id", "chunk_num", F.col("c.p").alias("char_start"), (F.col("c.p") + F.length("c.l")).alias("char_end"))
 
 
-@query()
+#: Splits at the coarsest separator that occurs; neighbours that fit are merged, from one emitted chunk to the next; long parts go one level down.
+RECURSIVE_SQL = r"""WITH RECURSIVE g AS (SELECT doc_id, CAST([] AS INTEGER[]) AS path, text, 1 AS lvl FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, list_append(path, CAST(i AS INTEGER)), part, s + 1 FROM (SELECT doc_id, path, s, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT *, list_filter(CASE s WHEN 4 THEN list_transform(range(1, length(text) + 1), lambda k: text[k]) ELSE string_split(text, [chr(10) || chr(10), chr(10), ' '][s]) END, lambda x: x <> '') AS parts
+  FROM (SELECT *, CASE WHEN lvl <= 1 AND contains(text, chr(10) || chr(10)) THEN 1 WHEN lvl <= 2 AND contains(text, chr(10)) THEN 2 WHEN lvl <= 3 AND contains(text, ' ') THEN 3 ELSE 4 END AS s FROM g))) WHERE length(part) > 2000 AND s < 4),
+p AS (SELECT doc_id, path, s, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT *, list_filter(CASE s WHEN 4 THEN list_transform(range(1, length(text) + 1), lambda k: text[k]) ELSE string_split(text, [chr(10) || chr(10), chr(10), ' '][s]) END, lambda x: x <> '') AS parts
+  FROM (SELECT *, CASE WHEN lvl <= 1 AND contains(text, chr(10) || chr(10)) THEN 1 WHEN lvl <= 2 AND contains(text, chr(10)) THEN 2 WHEN lvl <= 3 AND contains(text, ' ') THEN 3 ELSE 4 END AS s FROM g))),
+q AS (SELECT *, length(part) > 2000 AND s < 4 AS long, [2, 1, 1, 0][s] AS w FROM p),
+u AS (SELECT *, count_if(long) OVER (PARTITION BY doc_id, path ORDER BY i) AS run FROM q),
+v AS (SELECT *, CAST(sum(length(part) + w) OVER (PARTITION BY doc_id, path, run ORDER BY i) AS INTEGER) AS t FROM u WHERE NOT long),
+r AS (SELECT doc_id, path, run, s, w, CAST(min(i) AS INTEGER) AS base, list(part ORDER BY i) AS parts, list(t ORDER BY i) AS t FROM v GROUP BY ALL),
+e AS (SELECT doc_id, path, run, 0 AS n, 1 AS lo, CAST(NULL AS INTEGER) AS first, CAST(NULL AS INTEGER) AS until FROM r
+UNION ALL SELECT doc_id, path, run, n + 1, CASE WHEN k > len(t) THEN NULL ELSE least(k, CAST(len(list_filter(list_prepend(0, t), lambda x: x < greatest(t[k - 1] - w - 128, t[k] - w - 2000))) AS INTEGER) + 1) END, lo, k - 1
+FROM (SELECT e.*, r.t, r.w, CAST(len(list_filter(r.t, lambda x: x <= 2000 + r.w + list_prepend(0, r.t)[e.lo])) AS INTEGER) + 1 AS k FROM e JOIN r ON e.doc_id = r.doc_id AND e.path = r.path AND e.run = r.run WHERE e.lo IS NOT NULL)),
+c AS (SELECT e.doc_id, list_append(e.path, base + first - 1) AS place, trim(CASE s WHEN 1 THEN array_to_string(parts[first:until], E'\n\n') WHEN 2 THEN array_to_string(parts[first:until], E'\n') WHEN 3 THEN array_to_string(parts[first:until], ' ') ELSE array_to_string(parts[first:until], '') END, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS chunk FROM e JOIN r ON e.doc_id = r.doc_id AND e.path = r.path AND e.run = r.run WHERE first IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS chunk_num, CAST(length(chunk) AS INTEGER) AS n_chars, {cid} AS cid FROM c WHERE chunk <> ''"""
+
+
+@query(RECURSIVE_SQL.replace("{cid}", cid_sql("c.chunk")))
 def chunk_recursive(spark, sf_dir):
     x = C.recursive_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
     return x.select(F.col("key").alias("doc_id"), "chunk_num", F.length("chunk").alias("n_chars"), cid(F.col("chunk")).alias("cid"))

@@ -148,3 +148,22 @@ def test_chunker_and_its_sql_agree():
         found = C.chunk_text(f"Doc {d}", t, 1500, 60)
         want += [(d, i, len(found), s, len(p), p) for i, (p, s) in enumerate(found)]
     assert sorted(got) == sorted(want)
+
+
+def test_recursive_splitter_and_its_sql_agree():
+    """Random texts of paragraphs, lines, words and runs longer than a chunk."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from loomgraph.plans.extraction import RECURSIVE_SQL
+
+    rng, rows = random.Random(4), []
+    for d in range(40):
+        kinds = rng.sample(["word ", "A sentence here. ", "\n\n", "\n", "x" * 300, "y" * 50 + " ", "z" * 2100, " ", "ü "], rng.randint(2, 7))
+        rows.append((d, "".join(rng.choice(kinds) for _ in range(rng.randrange(40)))))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = con.sql(RECURSIVE_SQL.replace("{cid}", "chunk")).fetchall()
+    assert sorted(got) == sorted((d, i, len(p), p) for d, t in rows for i, p in enumerate(C.split_recursive(t, 2000, 128)))
