@@ -14,12 +14,11 @@ from loomgraph.functions.names import fresh
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
-#: The prefixes of exported files.
+#: The prefixes of exported files; a vocabulary of one's own is added by the caller.
 PREFIXES = {
     "schema": "https://schema.org/",
     "rdfs": "http://www.w3.org/2000/01/rdf-schema#",
     "xsd": XSD,
-    "wiki3": "https://wiki3.ai/vocab/",
     "prov": "http://www.w3.org/ns/prov#",
     "repro": "https://w3id.org/reproduceme#",
     "pplan": "http://purl.org/net/p-plan#",

@@ -77,8 +77,8 @@ def agent_versions(spark, sf_dir):
     """Activities (orders) by their agent and its version; some orders are no activities, some agents have no version."""
     o = table(spark, sf_dir, "orders")
     activity = P.triples_of(o, F.concat(F.lit("ex:o"), "o_orderkey"), [("a", F.when(F.col("o_orderstatus") != "P", "prov:Activity").otherwise("prov:Entity")), ("prov:wasAssociatedWith", F.concat(F.lit("ex:c"), "o_custkey"))])
-    agent = P.triples_of(table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0"), F.concat(F.lit("ex:c"), "c_custkey"), [("wiki3:version", F.col("c_mktsegment"))])
-    x = P.solutions(P.union(activity, agent), [("?extraction", "a", "prov:Activity"), ("?extraction", "prov:wasAssociatedWith", "?agent"), ("?agent", "wiki3:version", "?version")])
+    agent = P.triples_of(table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0"), F.concat(F.lit("ex:c"), "c_custkey"), [("ex:version", F.col("c_mktsegment"))])
+    x = P.solutions(P.union(activity, agent), [("?extraction", "a", "prov:Activity"), ("?extraction", "prov:wasAssociatedWith", "?agent"), ("?agent", "ex:version", "?version")])
     return x.groupBy("agent", "version").agg(F.count("*").alias("num_extractions"))
 
 
@@ -90,8 +90,8 @@ def confident_facts(spark, sf_dir):
     conf = F.round(1 - F.col("l_discount"), 2).cast("decimal(4,2)")
     t = F.concat_ws("_", F.lit("ex:t"), "l_orderkey", "l_partkey", "l_suppkey", conf.cast("string"))
     fact = P.triples_of(li, F.concat(F.lit("ex:o"), "l_orderkey"), [("ex:contains", F.concat(F.lit("ex:p"), "l_partkey"))], t)
-    notes = P.triples_of(li, t, [("wiki3:confidence", conf), ("prov:wasAttributedTo", F.concat(F.lit("ex:s"), "l_suppkey"))])
-    asked = P.annotated("?subject", "?predicate", "?object", [("wiki3:confidence", "?c"), ("prov:wasAttributedTo", "?agent")])
+    notes = P.triples_of(li, t, [("ex:confidence", conf), ("prov:wasAttributedTo", F.concat(F.lit("ex:s"), "l_suppkey"))])
+    asked = P.annotated("?subject", "?predicate", "?object", [("ex:confidence", "?c"), ("prov:wasAttributedTo", "?agent")])
     x = P.solutions(P.union(fact, notes), asked, filters=["cast(?c as double) >= 0.95"])
     return x.select("subject", "predicate", "object", F.col("c").cast("double").alias("confidence"), "agent").distinct().orderBy(F.desc("confidence"))
 
