@@ -17,6 +17,7 @@ from loomgraph.functions.render import rdf_cell
 from loomgraph.operators import chunks as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import notebooks as B
+from loomgraph.session import shared_folder
 from loomgraph.sources import artefacts as A
 from loomgraph.sources import readers
 
@@ -29,13 +30,14 @@ def slug(title: Column) -> Column:
     return F.translate(F.lower(title), " /", "__")
 
 
-def sample_run(listed: DataFrame, articles: DataFrame, folder: str, saved: DataFrame | None = None, most: int = 1500, least: int = 60) -> DataFrame:
+def sample_run(listed: DataFrame, articles: DataFrame, folder: str, saved: DataFrame | None = None, most: int = 1500, least: int = 60, index: str | None = None) -> DataFrame:
     """Chunks of the listed pages: title, chunk_num (from 0), section_context, text, saved.
 
     listed: id, title; articles: as notebooks.source_notebook() takes them, by title; saved: cells of the notebooks that
     are in the folder (path, cell_idx, cell_type, source), None where there are none. Pages whose notebook is there
     are read from it; the others are cut into chunks of up to `most` characters, those under `least` left out, and a
     notebook for each page that has chunks is written, all or none. Pages without an article or chunks are passed over.
+    index: a folder that lists the notebooks. Pages are cut once: chunks are written down before they are used.
     """
     page = listed.select("id", "title", slug(F.col("title")).alias("slug"))
     rest = page
@@ -47,9 +49,12 @@ def sample_run(listed: DataFrame, articles: DataFrame, folder: str, saved: DataF
     todo = rest.join(articles, "title")
     cut = C.chunk_articles(todo, "id", "title", "content", most, least)
     cut = cut.join(rest, F.col("key") == F.col("id")).select("title", F.col("chunk_num").alias("chunk_index"), F.col("section_context").alias("breadcrumb"), F.col("text").alias("content"))
+    path = shared_folder(listed.sparkSession, "cut")
+    cut.write.parquet(path)
+    cut = listed.sparkSession.read.parquet(path)
     with_chunks = todo.join(cut.select("title").distinct(), "title", "left_semi")
     cells = B.chunks_notebook(with_chunks, cut, ["title"], most, 0)
-    B.write_files(cells, ["title"], folder, F.concat(slug(F.col("title")), F.lit("_chunks")))
+    B.write_files(cells, ["title"], folder, F.concat(slug(F.col("title")), F.lit("_chunks")), index)
     new = cut.select("title", F.col("chunk_index").alias("chunk_num"), F.col("breadcrumb").alias("section_context"), F.col("content").alias("text"), F.lit(False).alias("saved"))
     return new if out is None else out.unionByName(new)
 

@@ -16,10 +16,10 @@ from loomgraph.sources import readers
 @query()
 def sample_run(spark, sf_dir):
     """Documents as listed pages in two runs: the second one takes the notebooks that the first has written for a third of them."""
-    d, folder = document_articles(spark, sf_dir), shared_folder(spark, "sample")
+    d, folder, index = document_articles(spark, sf_dir), shared_folder(spark, "sample"), shared_folder(spark, "sample_index")
     listed = d.select(F.col("doc_id").alias("id"), "title")
-    R.sample_run(listed.where("id % 3 = 0"), d, folder)
-    saved = readers.notebook_cells(spark, f"{folder}/*.ipynb")
+    R.sample_run(listed.where("id % 3 = 0"), d, folder, index=index)
+    saved = readers.listed_cells(spark, folder, index)
     x = R.sample_run(listed, d, folder, saved)
     return x.select("title", "chunk_num", "section_context", F.sha2("text", 256).alias("h"), "saved")
 

@@ -112,3 +112,14 @@ def test_numbered_ranges(spark):
         got = {r.v: r.n for r in relational.numbered(df, order, "n", per=40).collect()}
         assert got == {v: i + 1 for i, v in enumerate(sorted(values, key=key))}
     assert relational.numbered(df.limit(0), "v", "n").count() == 0
+
+
+def test_sample_run_cuts_once(spark, tmp_path):
+    """The chunks that are returned are those written down, not cut again."""
+    listed = spark.createDataFrame([(1, "Ada")], "id long, title string")
+    got = R.sample_run(listed, articles(spark, [("Ada", "word " * 100)]), str(tmp_path / "o"), index=str(tmp_path / "i"))
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.saved for r in got.collect()] == [False]
+    back = readers.listed_cells(spark, str(tmp_path / "o"), str(tmp_path / "i"))
+    again = R.sample_run(listed, articles(spark, [("Ada", "word " * 100)]), str(tmp_path / "o"), back)
+    assert [(r.saved, r.text) for r in again.collect()] == [(True, got.first().text)]
