@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of queries and of a block of terms: their product takes 32 MB.
 QUERIES, TERMS = 1024, 4096
+#: Queries of a block that are multiplied at once: 8 MB of the product are held, with a copy for the ranking.
+SLICE = 256
 #: What a matrix product may be off, for unit vectors; candidates within it are measured again, pair by pair.
 SLACK = 1e-9
 #: The cells of an index are fitted on this many rows at most, the first by a hash of the vector.
@@ -105,6 +107,15 @@ def best_pairs(q_ids: pa.Array, q: np.ndarray, t_ids: pa.Array, t: np.ndarray, k
     return out_q, out_t, out_s
 
 
+def sliced_pairs(q_ids: pa.Array, q: np.ndarray, t_ids: pa.Array, t: np.ndarray, k: int, least: float | None, cosine: bool) -> tuple[list, list, list]:
+    """best_pairs() by slices of the queries, so that no product of whole blocks is held."""
+    out = [], [], []
+    for at in range(0, len(q), SLICE):
+        for found, more in zip(out, best_pairs(q_ids.slice(at, SLICE), q[at : at + SLICE], t_ids, t, k, least, cosine), strict=True):
+            found += more
+    return out
+
+
 def _score(pairs: DataFrame, q_kind: str, t_kind: str, g_kind: str, k: int, least: float | None, cosine: bool, names: tuple[str, str, str]) -> DataFrame:
     """pairs of blocks: q_ids, q_dims, q_v, ids, dims, v, grp. Rows of the best pairs of each."""
 
@@ -114,8 +125,8 @@ def _score(pairs: DataFrame, q_kind: str, t_kind: str, g_kind: str, k: int, leas
                 q_ids, q_dims, q_v, ids, dims, v, g = (b.column(c)[i] for c in range(7))
                 if q_dims.as_py() != dims.as_py():
                     raise ValueError("vectors of unequal length")
-                q, t = (np.frombuffer(x.as_py()).reshape(len(y.values), -1) for x, y in ((q_v, q_ids), (v, ids)))
-                a, z, s = best_pairs(q_ids.values, q, ids.values, t, k, least, cosine)
+                q, t = (np.frombuffer(x.as_buffer()).reshape(len(y.values), -1) for x, y in ((q_v, q_ids), (v, ids)))
+                a, z, s = sliced_pairs(q_ids.values, q, ids.values, t, k, least, cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(a, q_ids.values.type), pa.array(z, ids.values.type), pa.array([g.as_py()] * len(a), b.column(6).type), pa.array(s, pa.float64())], [*names, "score"])
 
     return pairs.select("q_ids", "q_dims", "q_v", "ids", "dims", "v", "grp").mapInArrow(run, f"`{names[0]}` {q_kind}, `{names[1]}` {t_kind}, `{names[2]}` {g_kind}, score double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.operators import vectors as V
@@ -84,3 +85,15 @@ def test_index_of_nothing_and_of_one_vector(spark, tmp_path):
     assert [r.tid for r in V.search(spark, str(tmp_path / "i"), q, "qid", "tid", 3, probes=4).orderBy("rank").collect()] == [0, 1, 2]
     V.build_index(t.limit(0), "tid", str(tmp_path / "none"))
     assert V.search(spark, str(tmp_path / "none"), q, "qid", "tid").count() == 0
+
+
+def test_slices_of_a_block(monkeypatch):
+    """A block's queries are multiplied in slices, with the result of the whole."""
+    rng = np.random.default_rng(3)
+    q, t = rng.normal(size=(600, 5)), rng.normal(size=(90, 5))
+    args = pa.array(range(600)), q, pa.array(range(90)), t, 4, 0.0
+    sizes, whole = [], V.best_pairs
+    monkeypatch.setattr(V, "best_pairs", lambda ids, m, *rest: sizes.append(len(m)) or whole(ids, m, *rest))
+    for cosine in (True, False):
+        assert V.sliced_pairs(*args, cosine) == whole(*args, cosine)
+    assert max(sizes) <= 256 and sum(sizes) == 1200
