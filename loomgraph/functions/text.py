@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"(?U)^\s+|(?U)\s+$"
+#: Unicode white space, what (?U)\s matches.
+BLANK = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: English month names.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
 def strip(c: Column) -> Column:
     """Trims all Unicode white space."""
-    return F.regexp_replace(c, BLANK, "")
+    return F.btrim(c, F.lit(BLANK))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: an expression that a lambda names is else computed again for each entry."""
+    return F.transform(F.array(value), body)[0]
 
 
 def entity_key(label: Column) -> Column:

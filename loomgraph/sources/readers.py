@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.cid import cid as content_id
 from loomgraph.functions.names import fresh
 from loomgraph.functions.provenance import parse_signature
-from loomgraph.functions.text import strip
+from loomgraph.functions.text import let, strip
 from loomgraph.sources.named_files import read_named
 
 #: Titles and prefixes that page lists leave out.
@@ -211,23 +211,29 @@ def bootstrap_chunks(cells: DataFrame, by: list[str]) -> DataFrame:
 
     A raw cell of type chunk takes the last cell with a context before it, whatever else stands between; any raw cell
     ends that, and one of the newer layout or that isn't JSON takes none. Lines --- and further context and number lines
-    are no text; cells without a line after --- are passed over. One window over each notebook's own cells.
+    are no text; cells without a line after --- are passed over. Cells are read before the one shuffle, each once, and only
+    raw cells and those with a context go into it; one window over each notebook's own cells.
     """
-    lines = F.split(strip(F.col("source")), "\n")
-    after = F.slice(lines, F.array_position(lines, "---").cast("int") + 1, F.size(lines))
     is_context, is_number = (lambda x: x.startswith("**Context:**")), (lambda x: x.startswith("**Chunk:**"))
-    text = F.filter(after, lambda x: ~is_context(x) & ~is_number(x) & (x != "---"))
-    last = lambda found: F.get(found, F.size(found) - 1)
-    context = strip(F.replace(last(F.filter(lines, is_context)), F.lit("**Context:**"), F.lit("")))
-    number = last(F.filter(F.transform(F.filter(lines, is_number), lambda x: F.regexp_extract(x, r"(\d+) of \d+", 1)), lambda x: x != "")).try_cast("int")
-    w = Window.partitionBy(*by).orderBy("cell_idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda found: F.try_element_at(found, F.lit(-1))
+
+    def chunk(lines: Column) -> Column:
+        context = strip(F.replace(last(F.filter(lines, is_context)), F.lit("**Context:**"), F.lit("")))
+        number = last(F.filter(F.transform(F.filter(lines, is_number), lambda x: F.regexp_extract(x, r"(\d+) of \d+", 1)), lambda x: x != "")).try_cast("int")
+        after = F.slice(lines, F.array_position(lines, "---").cast("int") + 1, F.size(lines))
+        text = F.filter(after, lambda x: ~is_context(x) & ~is_number(x) & (x != "---"))
+        found = lambda t: F.when(F.size(t) > 0, F.struct(number.alias("chunk_num"), F.coalesce(context, F.lit("")).alias("section_context"), strip(F.array_join(t, "\n")).alias("text")))
+        return F.when(F.array_position(lines, "---") > 0, let(text, found))
+
     is_raw = F.col("cell_type") == "raw"
-    x = cells.withColumn("_part", F.coalesce(F.count_if(is_raw).over(w), F.lit(0)))
-    has = (F.col("cell_type") == "markdown") & F.col("source").contains("**Context:**") & (F.array_position(lines, "---") > 0) & (F.size(text) > 0)
-    found = F.struct(number.alias("chunk_num"), F.coalesce(context, F.lit("")).alias("section_context"), strip(F.array_join(text, "\n")).alias("text"))
-    x = x.groupBy(*by, "_part").agg(F.max_by(F.when(has, found), F.when(has, F.col("cell_idx"))).alias("c"), F.max(F.when(is_raw, F.col("source"))).alias("raw"))
-    x = x.where("c is not null").withColumn("sig", F.try_parse_json("raw"))
-    return x.where(F.try_variant_get("sig", "$.type", "string") == "chunk").select(*by, "c.*", F.try_variant_get("sig", "$.cid", "string").alias("cid"))
+    has_context = (F.col("cell_type") == "markdown") & F.col("source").contains("**Context:**")
+    x = cells.where(is_raw | has_context).select(
+        *by, "cell_idx", is_raw.alias("_raw"), F.when(has_context, let(F.split(strip(F.col("source")), "\n"), chunk)).alias("c"), F.when(is_raw, F.try_parse_json("source")).alias("_sig")
+    )
+    x = x.select(*by, "cell_idx", "_raw", "c", (F.try_variant_get("_sig", "$.type", "string") == "chunk").alias("_chunk"), F.try_variant_get("_sig", "$.cid", "string").alias("cid"))
+    w = Window.partitionBy(*by).orderBy("cell_idx").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_last", F.last(F.when(F.col("_raw") | F.col("c").isNotNull(), F.struct("c")), ignorenulls=True).over(w))
+    return x.where(F.col("_raw") & F.col("_chunk") & F.col("_last.c").isNotNull()).select(*by, "_last.c.*", "cid")
 
 
 #: The address of the page views service.
