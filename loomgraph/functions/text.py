@@ -182,22 +182,22 @@ def classifications(raw: Column, statements: Column) -> Column:
     Other lines are passed over. Statements without a line are BAD; an index beyond the statements keeps an
     empty statement, and one beyond a long is passed over. Null texts have no lines, null arrays no statements.
     """
-    given = F.coalesce(statements, F.array().cast("array<string>"))
     pattern = r"(?i)^(\d+):\s*(GOOD|BAD)\s*[-–:]\s*(.+)"
-    lines = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), strip), lambda x: x.rlike(pattern) & F.regexp_extract(x, pattern, 1).try_cast("long").isNotNull())
-    said = F.transform(
-        lines,
-        lambda x: F.struct(
-            F.regexp_extract(x, pattern, 1).cast("long").alias("index"), F.upper(F.regexp_extract(x, pattern, 2)).alias("classification"), strip(F.regexp_extract(x, pattern, 3)).alias("reason")
-        ),
-    )
-    text = lambda i: F.coalesce(F.get(given, F.least(i, F.size(given)).cast("int")), F.lit(""))
-    full = F.transform(said, lambda r: F.struct(r["index"].alias("index"), text(r["index"]).alias("statement"), r["classification"].alias("classification"), r["reason"].alias("reason")))
-    every = F.transform(given, lambda s, i: F.struct(i.cast("long").alias("index"), s.alias("statement"), F.lit("BAD").alias("classification"), F.lit(UNCLASSIFIED).alias("reason")))
-    known = F.transform(said, lambda r: r["index"])
-    rest = F.filter(every, lambda r: ~F.array_contains(known, r["index"]))
-    # lines of equal index stay in their order
-    return F.array_sort(F.concat(full, rest), lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0))
+    part = lambda x, n: F.regexp_extract(x, pattern, n)
+    read = lambda x: F.struct(part(x, 1).try_cast("long").alias("index"), F.upper(part(x, 2)).alias("classification"), strip(part(x, 3)).alias("reason"))
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), strip)
+    said = F.filter(F.transform(lines, read), lambda r: r["index"].isNotNull())
+
+    def merged(given: Column, said: Column) -> Column:
+        entry = lambda index, place, statement, classification, reason: F.struct(index.alias("index"), place.alias("place"), statement.alias("statement"), classification.alias("classification"), reason.alias("reason"))
+        text = lambda i: F.coalesce(F.get(given, F.least(i, F.size(given)).cast("int")), F.lit(""))
+        full = F.transform(said, lambda r, k: entry(r["index"], k, text(r["index"]), r["classification"], r["reason"]))
+        every = F.when(F.size(given) > 0, F.sequence(F.lit(0).cast("long"), F.size(given).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+        rest = F.transform(F.array_except(every, said["index"]), lambda i: entry(i, F.lit(0), F.get(given, i.cast("int")), F.lit("BAD"), F.lit(UNCLASSIFIED)))
+        # lines of equal index stay in their order
+        return F.transform(F.sort_array(F.concat(full, rest)), lambda r: F.struct(*[r[c].alias(c) for c in ("index", "statement", "classification", "reason")]))
+
+    return let(F.coalesce(statements, F.array().cast("array<string>")), lambda g: let(said, lambda s: merged(g, s)))
 
 
 def good_share(found: Column, statements: Column) -> Column:

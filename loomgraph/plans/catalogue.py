@@ -443,8 +443,10 @@ def judge_completion(spark, sf_dir):
     lines = F.filter(F.split(body(), "\n"), lambda x: F.trim(x) != "")
     x = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
     said = F.transform("l", lambda x, i: F.concat(i.cast("string"), F.when(i % 3 == 0, ": good - fine").when(i % 3 == 1, ":BAD: no ").otherwise(" nothing")))
-    x = x.withColumn("c", T.classifications(F.concat_ws("\n", F.concat(F.size("l"), F.lit(": GOOD – extra")), F.array_join(said, "\n")), F.col("l")))
-    return x.select("doc_id", T.good_share(F.col("c"), F.col("l")).alias("score"), F.inline("c"))
+    found = T.classifications(F.concat_ws("\n", F.concat(F.size("l"), F.lit(": GOOD – extra")), F.array_join(said, "\n")), F.col("l"))
+    # a column of its own would be computed for the score, for the rows and for the filters that inline() brings
+    scored = lambda c: T.let(T.good_share(c, F.col("l")), lambda score: F.transform(c, lambda r: F.struct(score.alias("score"), *[r[n].alias(n) for n in ("index", "statement", "classification", "reason")])))
+    return x.select("doc_id", F.inline(T.let(found, scored)))
 
 
 @query(f"""WITH {ANCHORS_SQL}, f AS (SELECT page_id, label, arg_min(href, pos) AS href, min(pos) AS pos FROM a GROUP BY 1, 2)
