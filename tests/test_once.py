@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.operators import answers as Y
 from loomgraph.plans import catalogue
 from loomgraph.sources import readers
 
@@ -60,3 +61,21 @@ def test_classifications_of_many_lines(spark):
 def test_judge_completion_reads_answers_once(spark):
     p = plan(catalogue.judge_completion(spark, DIR))
     assert p.count("regexp_extract(") == 3
+
+
+def test_answers_look_fields_up_once(spark):
+    said = [
+        '{"entities": [{"id": "a", "label": " ", "type": null}, null, [1], {}, {"id": "b", "label": "L", "type": "T", "description": ""}, {"id": true, "label": 1.5, "type": {"x": 1}, "description": 3}], "relations": {"a": 1}}',
+        '```json\n{"relations": [{"source": "a", "target": "b", "type": "t", "more": 1}], "entities": null}\n```', "{}", "[]", "null", '"x"', "", None,
+    ]
+    x = Y.parse(spark.createDataFrame(list(enumerate(said)), "n int, a string"), "a")
+    p = plan(x.select("errors"))
+    got = [r.asDict(True) for r in x.orderBy("n").collect()]
+    assert got[0]["entities"] == [{"id": "b", "label": "L", "type": "T", "description": ""}] and got[0]["relations"] == [] and got[0]["corrupt"] is None
+    assert got[0]["errors"] == [
+        "entities[0].label: empty", "entities[0].type: missing", "entities[1]: an object expected", "entities[2]: an object expected", "entities[3].id: missing", "entities[3].label: missing", "entities[3].type: missing",
+        "entities[5].id: a text expected, not boolean", "entities[5].label: a text expected, not decimal", "entities[5].type: a text expected, not object", "entities[5].description: a text expected, not bigint", "relations: a list expected",
+    ]
+    assert got[1]["relations"] == [{"source": "a", "target": "b", "type": "t", "description": None}] and got[1]["errors"] == []
+    assert [(r["corrupt"], r["entities"], r["errors"]) for r in got[2:]] == [(None, [], []), *[(t, [], []) for t in said[3:]]]
+    assert p.count("$.label") == 2, p  # its kind and its text
