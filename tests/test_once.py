@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import answers as Y
+from loomgraph.operators import wikitext as W
 from loomgraph.plans import catalogue
 from loomgraph.sources import readers
 
@@ -79,3 +80,11 @@ def test_answers_look_fields_up_once(spark):
     assert got[1]["relations"] == [{"source": "a", "target": "b", "type": "t", "description": None}] and got[1]["errors"] == []
     assert [(r["corrupt"], r["entities"], r["errors"]) for r in got[2:]] == [(None, [], []), *[(t, [], []) for t in said[3:]]]
     assert p.count("$.label") == 2, p  # its kind and its text
+
+
+def test_article_is_parsed_once(monkeypatch):
+    n, parse = [], W.parse
+    monkeypatch.setattr(W, "parse", lambda text: n.append(text) or parse(text))
+    got = W.article("Order", "{{Infobox order\n| date = {{birth date|2020|1|2}}\n| list = {{hlist|a|[[C1|c1]]}}\n}}\n''Text'' <ref>x</ref>[[D]].", "https://x", 1000)
+    assert got["content"] == "=== Infobox: order ===\n\n**date**: 2 January 2020\n\n**list**: a, [c1](/wiki/C1)\n\n\n*Text* [D](/wiki/D)."
+    assert got["links"] == [("c1", "https://x/wiki/C1"), ("D", "https://x/wiki/D")] and len(n) == 1
