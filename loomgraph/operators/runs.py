@@ -88,9 +88,11 @@ def rdf_run(facts: DataFrame, old: DataFrame, make: Callable[[DataFrame], DataFr
     A chunk of whose statements one has changed or is new is redone whole: make(statements) gives chunk, stmt_key, ord, s,
     p, o, which are deduplicated and become a cell for each statement; a statement without triples gets a note.
     Returns processed and skipped (statements), errors (chunks of facts that hold one), without (statements for which
-    nothing was made) and triples.
+    nothing was made) and triples. Statements are taken from the facts once: they are written down before they are used.
     """
-    statements = statements_of(facts)
+    given = shared_folder(facts.sparkSession, "statements")
+    statements_of(facts).write.parquet(given)
+    statements = facts.sparkSession.read.parquet(given)
 
     def cells(todo: DataFrame) -> DataFrame:
         keyed = todo.select("chunk", "stmt_key", "statement", F.regexp_extract("stmt_key", r"_(\d+)$", 1).cast("int").alias("stmt_idx"))

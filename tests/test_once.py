@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import answers as Y
+from loomgraph.operators import runs as R
 from loomgraph.operators import wikitext as W
 from loomgraph.plans import catalogue
 from loomgraph.sources import readers
@@ -88,3 +89,19 @@ def test_article_is_parsed_once(monkeypatch):
     got = W.article("Order", "{{Infobox order\n| date = {{birth date|2020|1|2}}\n| list = {{hlist|a|[[C1|c1]]}}\n}}\n''Text'' <ref>x</ref>[[D]].", "https://x", 1000)
     assert got["content"] == "=== Infobox: order ===\n\n**date**: 2 January 2020\n\n**list**: a, [c1](/wiki/C1)\n\n\n*Text* [D](/wiki/D)."
     assert got["links"] == [("c1", "https://x/wiki/C1"), ("D", "https://x/wiki/D")] and len(n) == 1
+
+
+def test_rdf_run_takes_statements_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    facts = spark.createDataFrame([(1, "- a\n- b"), (2, "# Error: x\n- c"), (3, None)], "chunk long, facts string")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    old = spark.createDataFrame([], "chunk long, stmt_key string, from_cid string, content string")
+    make = lambda x: x.where("stmt_idx = 1").select("chunk", "stmt_key", F.lit(0).alias("ord"), F.lit("ex:s").alias("s"), F.lit("ex:p").alias("p"), F.lit("ex:o").alias("o"))
+    got = R.rdf_run(facts.mapInArrow(count, facts.schema), old, make, str(tmp_path / "o"))
+    assert got == {"processed": 2, "skipped": 0, "without": 1, "triples": 1, "errors": 1}
+    assert seen.value == 6  # for the statements and for the errors
