@@ -96,18 +96,21 @@ def lookup_entities(labels: DataFrame, label: str, entities: DataFrame, aliases:
     return x.join(entities.select(F.col("key").alias(c), F.col("key").alias(found)), c, "left").select(*labels.columns, found)
 
 
-def endpoints(relations: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+def endpoints(relations: DataFrame, mentions: DataFrame, entities: DataFrame, per: int = 250_000) -> DataFrame:
     """relations: chunk, source_id, target_id, ...; mentions: chunk, id, label; entities: key, id.
 
     Ids of a chunk's relations become those of the entities: by the chunk's own mentions, then by their labels in lower
     case. Both ends must be among the chunk's mentions (of several with one id the least label); an end whose label is no
-    entity keeps its id.
+    entity keeps its id. Relations are counted first: mentions and relations meet in as many tasks as leave about `per`
+    relations to one, so a task's sorts don't grow with the input.
     """
     rest = [c for c in relations.columns if c not in ("source_id", "target_id")]
-    one = mentions.groupBy("chunk", "id").agg(F.min("label").alias("label"))
+    tasks = max(int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-relations.count() // per))
+    one = mentions.repartition(tasks, "chunk", "id").groupBy("chunk", "id").agg(F.min("label").alias("label"))
     known = one.join(entities.select("key", F.col("id").alias("global")), F.lower("label") == F.col("key"), "left")
-    end = lambda name: known.select("chunk", F.col("id").alias(name), F.coalesce("global", "id").alias(f"new_{name}"))
-    x = relations.join(end("source_id"), ["chunk", "source_id"]).join(end("target_id"), ["chunk", "target_id"])
+    end = lambda name: known.select("chunk", F.col("id").alias(name), F.coalesce("global", "id").alias(f"new_{name}")).repartition(tasks, "chunk", name)
+    x = relations.repartition(tasks, "chunk", "source_id").join(end("source_id"), ["chunk", "source_id"])
+    x = x.repartition(tasks, "chunk", "target_id").join(end("target_id"), ["chunk", "target_id"])
     return x.select(*rest, F.col("new_source_id").alias("source_id"), F.col("new_target_id").alias("target_id"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import answers as Y
+from loomgraph.operators import relational as O
 from loomgraph.operators import runs as R
 from loomgraph.operators import wikitext as W
 from loomgraph.plans import catalogue
@@ -105,3 +106,15 @@ def test_rdf_run_takes_statements_once(spark, tmp_path):
     got = R.rdf_run(facts.mapInArrow(count, facts.schema), old, make, str(tmp_path / "o"))
     assert got == {"processed": 2, "skipped": 0, "without": 1, "triples": 1, "errors": 1}
     assert seen.value == 6  # for the statements and for the errors
+
+
+def test_endpoints_tasks_grow_with_relations(spark):
+    rel = spark.range(40).selectExpr("id % 7 AS chunk", "id AS line", "concat('p', id % 5) AS source_id", "concat('s', id % 3) AS target_id")
+    m = spark.range(60).selectExpr("id % 7 AS chunk", "IF(id % 2 = 0, concat('p', id % 5), concat('s', id % 3)) AS id", "IF(id % 4 < 2, 'A', 'x') AS label")
+    known = spark.createDataFrame([("a", "e1")], "key string, id string")
+    x = O.endpoints(rel, m, known, per=2)
+    assert x.rdd.getNumPartitions() == 20
+    rows = m.groupBy("chunk", "id").agg(F.min("label").alias("label")).collect()
+    ids = {(r.chunk, r.id): "e1" if r.label == "A" else r.id for r in rows}
+    want = [(r.chunk, r.line, ids[r.chunk, r.source_id], ids[r.chunk, r.target_id]) for r in rel.collect() if (r.chunk, r.source_id) in ids and (r.chunk, r.target_id) in ids]
+    assert want and sorted(map(tuple, x.collect())) == sorted(want)
