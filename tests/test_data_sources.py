@@ -137,6 +137,15 @@ def test_files_read_by_an_index(spark, tmp_path):
     assert len(pickle.dumps(written)) < 1000
 
 
+def test_files_are_not_broadcast(spark, tmp_path):
+    """By the size of the list alone, files of any size would go through the driver."""
+    sink(spark, [(f"n{i}", "text") for i in range(20)], tmp_path / "o", index=str(tmp_path / "i"))
+    files, other = N.read_named(spark, str(tmp_path / "o"), str(tmp_path / "i")), spark.range(20).select(F.concat(F.lit("n"), "id").alias("path"))
+    for x in (files.join(other, "path"), other.join(files.select("path").distinct(), "path", "left_anti"), files.join(files.groupBy("path").agg(F.max("value")), "path")):
+        assert "Broadcast" not in x._jdf.queryExecution().sparkPlan().toString()
+        assert x.count() in (0, 20)
+
+
 def test_a_customer_has_one_file(spark):
     """Not one for each range of keys: that was up to a file an order."""
     from loomgraph.plans.graphs import order_files
