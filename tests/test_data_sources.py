@@ -120,6 +120,17 @@ def test_notebooks_written_and_read(spark, tmp_path):
     assert {s.from_cid for s in sigs} == {content.c} and [s.label for s in sorted(sigs, key=lambda s: s.cell)] == ["chunk:1/3", "chunk:2/3", "chunk:3/3"]
 
 
+def test_notebooks_out_of_articles_rows(spark):
+    """The same text as by cells, without a shuffle; also for none, a null and what JSON escapes."""
+    rows = [ARTICLE | {"title": f"T{i}", "n": n} for i, n in enumerate([0, 1, 3, 12, None])]
+    a = spark.createDataFrame(rows).withColumn("l", F.expr("transform(sequence(1, n), i -> struct('A > \"' || i as breadcrumb, 'text ' || i || chr(10) || 'ü\\\\ ' as content))"))
+    a = a.withColumn("l", F.when(F.col("n") == 0, F.expr("filter(l, x -> false)")).otherwise(F.col("l")))
+    cells = B.chunks_notebook(a, a.select("title", F.posexplode("l").alias("chunk_index", "c")).select("title", "chunk_index", "c.*"), ["title"], 2000, 128)
+    got = B.chunked(a, ["title"], F.col("l"), 2000, 128)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.ipynb(cells, ["title"]).collect())) and got.count() == 5
+    assert "Exchange" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_files_read_by_an_index(spark, tmp_path):
     """Messages to the driver hold no paths; the index, not a listing, says what is read."""
     rows = [(f"d{i % 7}/n{i}", f"text {i} ü\n" * (i % 3)) for i in range(500)]
